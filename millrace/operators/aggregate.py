@@ -95,10 +95,11 @@ def call_stats(
 ) -> DataFrame:
     """Calls, total and mean duration per event-time window; windows start at the epoch.
 
-    On a stream pass `watermark`: windows close once it has passed their end.
+    On a stream pass `watermark`: windows close once it has passed their end. Watermarks
+    need a zoned timestamp, so a zone-less one is read as session time.
     """
     if watermark is not None:
-        df = df.withWatermark(ts, watermark)
+        df = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     grouped = df.groupBy(F.window(ts, group_by_window), *keys).agg(
         F.count(F.lit(1)).alias("calls"),
         F.sum(duration).alias("total_duration"),

@@ -20,15 +20,15 @@ COMPRESSED = r"\.(gz|bz2|zst|zstd|snappy|lz4|deflate|xz)\z"
 
 _SCAN = [
     "value",
-    F.col("_metadata.file_path").alias("path"),
-    F.col("_metadata.file_size").alias("size"),
-    F.col("_metadata.file_block_start").alias("block"),
+    "_metadata.file_path AS path",
+    "_metadata.file_size AS size",
+    "_metadata.file_block_start AS block",
 ]
 
 
 def read_json_pieces(spark: SparkSession, path: str) -> DataFrame:
     """The files cut at every `}`, so that neither long lines nor large files are one row."""
-    return spark.read.option("lineSep", "}").text(path).select(*_SCAN)
+    return spark.read.option("lineSep", "}").text(path).selectExpr(*_SCAN)
 
 
 def stream_json_pieces(
@@ -38,7 +38,7 @@ def stream_json_pieces(
     reader = spark.readStream.option("lineSep", "}")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.text(path).select(*_SCAN)
+    return reader.text(path).selectExpr(*_SCAN)
 
 
 def frame_json(pieces: DataFrame, big_file: int = BIG_FILE) -> DataFrame:

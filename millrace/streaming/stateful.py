@@ -170,4 +170,5 @@ def stream_deduplicated(
     stream: DataFrame, key: Sequence[str], ts: str, within: str
 ) -> DataFrame:
     """Drop repeats of a key that arrive within the watermark delay."""
-    return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(list(key))
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, within)
+    return timed.dropDuplicatesWithinWatermark(list(key))
