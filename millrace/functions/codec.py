@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from millrace.operators.routing import split
+from millrace.functions.scalars import once
 
 _CORRUPT = "_corrupt"
 
@@ -28,14 +28,17 @@ def decoded(text: Column, schema: StructType) -> Column:
         "allowSingleQuotes": "false",
         "allowNonNumericNumbers": "false",
     }
-    parsed = F.from_json(text, marked, options)
     # The parser stops after the first value; as the only element of an array, text behind
     # the object becomes an error.
     alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     is_object = text.rlike(r"^\s*\{")
-    record = F.struct(*[parsed[f.name].alias(f.name) for f in schema.fields])
-    good = is_object & alone & parsed[_CORRUPT].isNull() & _required(parsed, schema)
-    return F.when(F.coalesce(good, F.lit(False)), record)
+
+    def record(parsed: Column) -> Column:
+        good = is_object & alone & parsed[_CORRUPT].isNull() & _required(parsed, schema)
+        fields = F.struct(*[parsed[f.name].alias(f.name) for f in schema.fields])
+        return F.when(F.coalesce(good, F.lit(False)), fields)
+
+    return once(F.from_json(text, marked, options), record)
 
 
 def _required(record: Column, schema: StructType) -> Column:
@@ -50,31 +53,38 @@ def _required(record: Column, schema: StructType) -> Column:
     return result
 
 
-def _flatten(df: DataFrame, text: str, schema: StructType) -> DataFrame:
-    others = [c for c in df.columns if c not in (text, "_record")]
-    return df.select(*others, *[f"_record.{f.name}" for f in schema.fields])
+def _present(df: DataFrame, text: str, record: Column, schema: StructType) -> DataFrame:
+    """The fields of each non-NULL record beside the other columns.
+
+    Written as a flat-map of 0..1 records: a filter would be pushed below the decoding and
+    run it a second time.
+    """
+    others = [c for c in df.columns if c != text]
+    return df.select(*others, F.inline(F.array_compact(F.array(record)))).select(
+        *others, *[f.name for f in schema.fields]
+    )
 
 
 def decode_skip(
     df: DataFrame, text: str, schema: StructType, seen: Observation | None = None
 ) -> DataFrame:
     """Drop undecodable records. `seen` counts `records` and `skipped` as the query runs."""
-    marked = df.withColumn("_record", decoded(F.col(text), schema))
-    if seen is not None:
-        marked = marked.observe(
-            seen,
-            F.count(F.lit(1)).alias("records"),
-            F.count_if(F.col("_record").isNull()).alias("skipped"),
-        )
-    return _flatten(marked.where(F.col("_record").isNotNull()), text, schema)
+    if seen is None:
+        return _present(df, text, decoded(F.col(text), schema), schema)
+    marked = df.withColumn(text, decoded(F.col(text), schema))
+    counted = marked.observe(
+        seen,
+        F.count(F.lit(1)).alias("records"),
+        F.count_if(F.col(text).isNull()).alias("skipped"),
+    )
+    return _present(counted, text, F.col(text), schema)
 
 
 def decode_replace(df: DataFrame, text: str, schema: StructType, replacement: Column) -> DataFrame:
     """Put `replacement`, a struct of this schema, where a record is undecodable; where it
     is NULL too the record is dropped."""
     value = F.coalesce(decoded(F.col(text), schema), replacement.cast(_nullable(schema)))
-    marked = df.withColumn("_record", value)
-    return _flatten(marked.where(F.col("_record").isNotNull()), text, schema)
+    return _present(df, text, value, schema)
 
 
 def _nullable(schema: StructType) -> StructType:
@@ -85,15 +95,15 @@ def decode_dead_letter(
     df: DataFrame, text: str, schema: StructType
 ) -> tuple[DataFrame, DataFrame]:
     """(decoded records, dead letters: the raw text and a reason)."""
-    marked = df.withColumn("_record", decoded(F.col(text), schema))
-    dead, good = split(marked, F.col("_record").isNotNull())
+    good = _present(df, text, decoded(F.col(text), schema), schema)
     reason = F.when(F.col(text).isNull(), "no value").otherwise("undecodable")
-    others = [c for c in df.columns if c != text]
-    return _flatten(good, text, schema), dead.select(*others, text, reason.alias("reason"))
+    dead = df.where(decoded(F.col(text), schema).isNull()).withColumn("reason", reason)
+    return good, dead
 
 
 def decode_strict(df: DataFrame, text: str, schema: StructType) -> DataFrame:
     """Fail the query on the first undecodable record."""
-    wrong = F.raise_error(F.concat(F.lit("undecodable record: "), F.coalesce(F.col(text), F.lit("NULL"))))
-    value = decoded(F.col(text), schema)
-    return _flatten(df.withColumn("_record", F.coalesce(value, wrong.cast(_nullable(schema)))), text, schema)
+    shown = F.coalesce(F.col(text), F.lit("NULL"))
+    wrong = F.raise_error(F.concat(F.lit("undecodable record: "), shown))
+    value = F.coalesce(decoded(F.col(text), schema), wrong.cast(_nullable(schema)))
+    return _present(df, text, value, schema)

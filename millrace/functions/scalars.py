@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -38,7 +38,18 @@ DURATION_UNITS = {
 TRUE_WORDS = ("true", "yes", "on")
 FALSE_WORDS = ("false", "no", "off")
 
-_NUMBER_AND_UNIT = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*([a-zA-Z]*)\z"
+_NUMBER_AND_UNIT = (
+    r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*([a-zA-Z]*)\s*\z"
+)
+_WHOLE = "[+-]?[0-9]+"
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed one time, however often `use` mentions it.
+
+    Inside CASE branches Spark may repeat a shared expression; a lambda variable is bound.
+    """
+    return F.transform(F.array(value), use)[0]
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -84,89 +95,103 @@ def parse_bool(text: Column) -> Column:
     )
 
 
-def _number_and_unit(text: Column) -> tuple[Column, Column]:
-    trimmed = F.regexp_replace(text, r"^\s+|\s+\z", "")
-    number = F.regexp_extract(trimmed, _NUMBER_AND_UNIT, 1)
-    return F.when(number != "", number), F.regexp_extract(trimmed, _NUMBER_AND_UNIT, 2)
+def _quantity(text: Column, units: dict[str, int], result: Callable[[Column, Column], Column]) -> Column:
+    """`result(number text, factor)` of a number with a unit; NULL where either is missing."""
+    factors = F.create_map(
+        *[x for name, size in units.items() for x in (F.lit(name), F.lit(str(size)).cast("decimal(25,0)"))]
+    )
+    number = F.regexp_extract(text, _NUMBER_AND_UNIT, 1)
+    unit = F.regexp_extract(text, _NUMBER_AND_UNIT, 2)
+    parts = F.struct(number.alias("number"), F.try_element_at(factors, unit).alias("factor"))
+    return once(parts, lambda p: F.when(p["number"] != "", result(p["number"], p["factor"])))
 
 
 def duration_nanos(text: Column) -> Column:
     """Duration text ("7 minute", "10s", "1.5h", "500" = milliseconds) to nanoseconds;
     NULL when it is none or out of range."""
-    number, unit = _number_and_unit(text)
-    factor = F.lit(None).cast("long")
-    for names, nanos in DURATION_UNITS.items():
-        factor = F.when(unit.isin(*names), F.lit(nanos).cast("long")).otherwise(factor)
-    whole = F.try_multiply(number.try_cast("long"), factor)
-    fraction = (number.try_cast("double") * factor).try_cast("long")
-    return F.when(matches(number, "[+-]?[0-9]+"), whole).otherwise(fraction)
+    units = {name: nanos for names, nanos in DURATION_UNITS.items() for name in names}
+
+    def nanos(number: Column, factor: Column) -> Column:
+        whole = F.try_multiply(number.try_cast("long"), factor.cast("long"))
+        fraction = (number.try_cast("double") * factor.cast("double")).try_cast("long")
+        return F.when(matches(number, _WHOLE), whole).otherwise(fraction)
+
+    return _quantity(text, units, nanos)
 
 
 @lru_cache(maxsize=1)
-def _size_units() -> dict[int, list[str]]:
-    """Bytes per unit -> unit names, by rule: SI names are powers of 1000; binary names
-    and single letters are powers of 1024."""
-    units: dict[int, list[str]] = {1: ["", "B", "b", "byte", "bytes"]}
+def _size_units() -> dict[str, int]:
+    """Unit name -> bytes, by rule: SI names are powers of 1000; binary names and single
+    letters are powers of 1024."""
+    units = dict.fromkeys(["", "B", "b", "byte", "bytes"], 1)
     si = ["kilo", "mega", "giga", "tera", "peta", "exa", "zetta", "yotta"]
     for power, prefix in enumerate(si, 1):
-        letter = prefix[0].upper()
+        letter, binary = prefix[0].upper(), prefix[:2] + "bi"
         short = "kB" if power == 1 else f"{letter}B"
-        units[1000**power] = [short, f"{prefix}byte", f"{prefix}bytes"]
-        binary = prefix[:2] + "bi"
-        units[1024**power] = [
+        decimal_names = [short, f"{prefix}byte", f"{prefix}bytes"]
+        binary_names = [
             letter, letter.lower(), f"{letter}i", f"{letter}iB", f"{binary}byte", f"{binary}bytes",
         ]
+        units |= dict.fromkeys(decimal_names, 1000**power)
+        units |= dict.fromkeys(binary_names, 1024**power)
     return units
 
 
 def memory_bytes(text: Column) -> Column:
     """Size text ("64k" = 65536, "64kB" = 64000, "1MiB", "12") to bytes as DECIMAL(38,0);
     NULL when it is none, negative or out of range."""
-    number, unit = _number_and_unit(text)
     wide = "decimal(38,0)"
-    factor = F.lit(None).cast("decimal(25,0)")
-    for size, names in _size_units().items():
-        factor = F.when(unit.isin(*names), F.lit(str(size)).cast("decimal(25,0)")).otherwise(factor)
-    whole = F.try_multiply(number.try_cast("decimal(20,0)"), factor).try_cast(wide)
-    fraction = F.floor(number.try_cast("double") * factor.cast("double")).try_cast(wide)
-    result = F.when(matches(number, "[+-]?[0-9]+"), whole).otherwise(fraction)
-    return F.when(result >= 0, result)
+
+    def size(number: Column, factor: Column) -> Column:
+        whole = F.try_multiply(number.try_cast("decimal(20,0)"), factor).try_cast(wide)
+        fraction = (number.try_cast("double") * factor.cast("double")).try_cast(wide)
+        bytes_ = F.when(matches(number, _WHOLE), whole).otherwise(fraction)
+        return F.when(~number.startswith("-"), bytes_)
+
+    return _quantity(text, _size_units(), size)
+
+
+_SEVERAL = "\0"
+"""Stands for a character that several letters replace."""
 
 
 @lru_cache(maxsize=1)
-def _ascii_forms() -> tuple[str, str, dict[str, str]]:
-    """The ASCII part of each code point's compatibility decomposition: two aligned
-    strings for one-letter results, a dict for longer ones."""
-    single: dict[str, str] = {}
-    longer: dict[str, str] = {}
-    for code in range(0x80, 0x110000):
-        if 0xD800 <= code < 0xE000:
+def _label_letters() -> tuple[str, str, dict[str, str]]:
+    """What each character contributes to a label: two aligned strings for `translate`,
+    and the spelling of characters that contribute several letters.
+
+    By rule: compatibility decomposition, lower case, `_` and `.` to `-`.
+    """
+    source, target, spelled = [], [], {}
+    for char in map(chr, range(0x110000)):
+        if not char.isascii() and not unicodedata.decomposition(char):
             continue
-        char = chr(code)
-        plain = unicodedata.normalize("NFKD", char)
-        if plain != char:
-            kept = "".join(c for c in plain.lower() if c.isascii() and (c.isalnum() or c in "-_."))
-            if len(kept) == 1:
-                single[char] = kept
-            elif kept:
-                longer[char] = kept
-    return "".join(single), "".join(single.values()), longer
+        plain = unicodedata.normalize("NFKD", char).lower().translate({0x5F: "-", 0x2E: "-"})
+        kept = "".join(c for c in plain if c.isascii() and (c.isalnum() or c == "-"))
+        if kept and kept != char:
+            source.append(char)
+            target.append(kept if len(kept) == 1 else _SEVERAL)
+            if len(kept) > 1:
+                spelled[char] = kept
+    return "".join(source), "".join(target), spelled
 
 
 def _normalized(text: Column) -> Column:
     """NFKD, lower case, `_` and `.` to `-`, everything but [-a-z0-9] dropped."""
-    source, target, longer = _ascii_forms()
-    spelled = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
-    # Ligatures, fractions and squared units spell out as several letters; only texts
-    # that hold one pay for the per-character lookup.
-    expanded = F.when(
-        text.rlike("[" + "".join(longer) + "]"),
-        F.array_join(
-            F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), ""
-        ),
-    ).otherwise(text)
-    folded = F.lower(F.translate(expanded, source, target))
-    return F.regexp_replace(F.translate(folded, "_.", "--"), "[^-a-z0-9]", "")
+    source, target, spelled = _label_letters()
+    spelling = F.create_map(*[F.lit(x) for pair in spelled.items() for x in pair])
+    spelled_out = F.array_join(
+        F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelling, c), c)), ""
+    )
+
+    def letters(mapped: Column) -> Column:
+        # Ligatures, fractions and squared units spell out as several letters; only texts
+        # that hold one pay for the per-character lookup.
+        several = F.contains(mapped, F.lit(_SEVERAL))
+        chosen = F.when(several, F.translate(spelled_out, source, target)).otherwise(mapped)
+        return F.regexp_replace(chosen, "[^-a-z0-9]+", "")
+
+    return once(F.translate(text, source, target), letters)
 
 
 def _trimmed(label: Column) -> Column:

@@ -17,6 +17,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+TOPIC_FILES = 8
+FILES_PER_SLICE = 2
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query (spark, table folder) -> DataFrame with its SQL equivalent."""
 
@@ -48,12 +52,13 @@ def _loaded(application: str, folder: str, name: str) -> Topic:
     spark = SparkSession.active()
     df = table(spark, folder, name)
     topic = topic_for(spark, df, name)
-    topic.write(df)
+    topic.write(df.repartition(TOPIC_FILES))
     return topic
 
 
 def loaded_topic(spark: SparkSession, folder: str, name: str) -> Topic:
-    """A topic holding a whole table, written once and shared by its consumers."""
+    """A topic holding a whole table, written once and shared by its consumers. It comes in
+    several files, so that a limit of files per trigger yields several micro-batches."""
     return _loaded(spark.sparkContext.applicationId, folder, name)
 
 
@@ -61,13 +66,14 @@ def loaded_topic(spark: SparkSession, folder: str, name: str) -> Topic:
 def _event_topic(application: str, folder: str) -> Topic:
     spark = SparkSession.active()
     events = table(spark, folder, "events")
-    topic = Topic(scratch(spark, "events-by-time"), events.schema, partitions=2)
+    topic = Topic(scratch(spark, "events-by-time"), events.schema)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = events.agg(F.percentile_approx(micros, [0.33, 0.66])).first()[0]
     low, high = (F.timestamp_micros(F.lit(c)).cast("timestamp_ntz") for c in cuts)
     slices = [F.col("ts") < low, (F.col("ts") >= low) & (F.col("ts") < high), F.col("ts") >= high]
     for number, condition in enumerate(slices):
-        topic.write_batch(events.where(condition), "feed", number)
+        part = events.where(condition).repartition(FILES_PER_SLICE)
+        topic.write_batch(part, "feed", number)
     return topic
 
 
@@ -75,6 +81,3 @@ def event_topic(spark: SparkSession, folder: str) -> Topic:
     """All events, appended in three time slices of two files each. Reading two files per
     trigger gives micro-batches in event-time order."""
     return _event_topic(spark.sparkContext.applicationId, folder)
-
-
-FILES_PER_SLICE = 2

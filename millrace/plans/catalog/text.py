@@ -114,7 +114,7 @@ def dir_json_ingest(spark, folder):
     landing.ingest_json_stream(
         spark, f"{path}/*", EVENT,
         lambda records, batch_id: out.write_batch(records, "ingress", batch_id),
-        scratch(spark, "ingress"), max_files_per_trigger=1,
+        scratch(spark, "ingress"), max_files_per_trigger=4,
     ).awaitTermination()
     return out.read(spark)
 

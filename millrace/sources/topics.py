@@ -92,11 +92,9 @@ class Topic:
         """Records with key and partition, laid out for writing."""
         rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
         if self.key is None:
-            return (
-                rows.repartition(self.partitions)
-                .withColumn(KEY, F.lit(None).cast("string"))
-                .withColumn(PARTITION, F.spark_partition_id())
-            )
+            # Each writing task deals its records out in turn; nothing is shuffled.
+            turn = F.pmod(F.monotonically_increasing_id(), F.lit(self.partitions)).cast("int")
+            return rows.withColumns({KEY: F.lit(None).cast("string"), PARTITION: turn})
         keyed = rows.withColumn(KEY, F.col(self.key).cast("string"))
         placed = keyed.withColumn(PARTITION, partition_of(F.col(KEY), self.partitions))
         # Rebalancing keeps a partition's records together but splits an oversized one.
