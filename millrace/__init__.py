@@ -1,3 +1,11 @@
 """Record-flow operators for PySpark: typed topics, routing, keyed running state,
 count and event-time windows, schema contracts and model scoring on batch and
 streaming DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the query, so executors need no copy of
+# this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

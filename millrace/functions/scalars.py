@@ -65,7 +65,8 @@ def instant(millis: Column) -> Column:
 def instant_from_text(text: Column) -> Column:
     """As `instant` for a number in text form; any other text fails the query."""
     wrong = F.raise_error(F.concat(F.lit("not epoch milliseconds: "), text))
-    return F.timestamp_millis(F.when(matches(text, "-?[0-9]+"), text.cast("long")).otherwise(wrong))
+    millis = F.when(text.isNull() | matches(text, "-?[0-9]+"), text.cast("long"))
+    return F.timestamp_millis(millis.otherwise(wrong))
 
 
 def epoch_millis(ts: Column) -> Column:
@@ -97,9 +98,8 @@ def parse_bool(text: Column) -> Column:
 
 def _quantity(text: Column, units: dict[str, int], result: Callable[[Column, Column], Column]) -> Column:
     """`result(number text, factor)` of a number with a unit; NULL where either is missing."""
-    factors = F.create_map(
-        *[x for name, size in units.items() for x in (F.lit(name), F.lit(str(size)).cast("decimal(25,0)"))]
-    )
+    pairs = ", ".join(f"'{name}', {size}BD" for name, size in units.items())
+    factors = F.expr(f"map({pairs})").cast("map<string, decimal(25,0)>")
     number = F.regexp_extract(text, _NUMBER_AND_UNIT, 1)
     unit = F.regexp_extract(text, _NUMBER_AND_UNIT, 2)
     parts = F.struct(number.alias("number"), F.try_element_at(factors, unit).alias("factor"))
@@ -151,7 +151,7 @@ def memory_bytes(text: Column) -> Column:
     return _quantity(text, _size_units(), size)
 
 
-_SEVERAL = "\0"
+_SEVERAL = "\1"
 """Stands for a character that several letters replace."""
 
 
@@ -179,7 +179,7 @@ def _label_letters() -> tuple[str, str, dict[str, str]]:
 def _normalized(text: Column) -> Column:
     """NFKD, lower case, `_` and `.` to `-`, everything but [-a-z0-9] dropped."""
     source, target, spelled = _label_letters()
-    spelling = F.create_map(*[F.lit(x) for pair in spelled.items() for x in pair])
+    spelling = F.expr("map(" + ", ".join(f"'{c}', '{word}'" for c, word in spelled.items()) + ")")
     spelled_out = F.array_join(
         F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelling, c), c)), ""
     )
