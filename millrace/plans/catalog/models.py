@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars
@@ -76,9 +77,10 @@ def vector_argmax(spark, folder):
 
 
 def _load(path):
-    from glob import glob
-
-    text = "".join(open(name).read() for name in glob(f"{path.removeprefix('file:')}/part-*"))
+    """The weights of a linear model, from whatever file system the path is on."""
+    files, root = fs.FileSystem.from_uri(path)
+    parts = [f.path for f in files.get_file_info(fs.FileSelector(root)) if "/part-" in f.path]
+    text = b"".join(files.open_input_stream(p).read() for p in parts)
     weights = np.array(json.loads(text), dtype=np.float64)
     return lambda matrix: matrix.astype(np.float64) @ weights.T
 

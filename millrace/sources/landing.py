@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import WindowSpec
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from millrace.functions.codec import decode_dead_letter, decode_skip
@@ -60,27 +61,31 @@ def frame_json(pieces: DataFrame, big_file: int = BIG_FILE) -> DataFrame:
 def _frame(pieces: DataFrame, by_block: bool) -> DataFrame:
     # Escape pairs go first, so every quote left opens or closes a string.
     plain = F.regexp_replace("value", r"(?s)\\.", "")
-    df = pieces.withColumn("pos", F.monotonically_increasing_id()).withColumn("plain", plain)
-    df = df.withColumn("quotes", _count(F.col("plain"), '"'))
-    df = _before(df, "quotes", "quotes_before", by_block)
+    df = pieces.withColumns(
+        {
+            "pos": F.monotonically_increasing_id(),
+            "quotes": _count(plain, '"'),
+            "bytes": F.octet_length("value") + 1,
+        }
+    )
+    df = _before(df, {"quotes": "quotes_before", "bytes": "bytes_before"}, by_block)
     inside = F.col("quotes_before") % 2 == 1
     ends_outside = (F.col("quotes_before") + F.col("quotes")) % 2 == 0
     # The scan cuts at `}` without keeping it. A file not ending in one has a last piece
     # that is one byte shorter than the cutting suggests.
-    df = _before(df.withColumn("bytes", F.octet_length("value") + 1), "bytes", "bytes_before", by_block)
     closed = (F.col("bytes_before") + F.col("bytes") <= F.col("size")) | F.col("path").rlike(
         COMPRESSED
     )
     outside = F.regexp_replace(
-        F.concat(F.when(inside, '"').otherwise(""), F.col("plain")), r'(?s)"[^"]*(?:"|\z)', ""
+        F.concat(F.when(inside, '"').otherwise(""), plain), r'(?s)"[^"]*(?:"|\z)', ""
     )
     brace = (closed & ends_outside).cast("long")
     df = df.withColumn("brace", brace).withColumn("delta", _count(outside, "{") - F.col("brace"))
     df = df.withColumn("body", F.concat("value", F.when(closed, "}").otherwise("")))
     df = df.select("path", "block", "pos", "body", "brace", "delta")
-    df = _before(df, "delta", "depth", by_block)
+    df = _before(df, {"delta": "depth"}, by_block)
     ends = (F.col("brace") == 1) & (F.col("depth") + F.col("delta") == 0)
-    df = _before(df.withColumn("ends", ends.cast("long")), "ends", "position", by_block)
+    df = _before(df.withColumn("ends", ends.cast("long")), {"ends": "position"}, by_block)
     piece = F.struct("block", "pos", "body")
     # One object's pieces: as many as it has closing braces.
     objects = df.groupBy("path", "position").agg(
@@ -96,30 +101,30 @@ def _count(text: Column, char: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))).cast("long")
 
 
-def _before(df: DataFrame, value: str, name: str, by_block: bool) -> DataFrame:
-    """Add the sum of `value` over the earlier pieces of the same file."""
+def _before(df: DataFrame, names: dict[str, str], by_block: bool) -> DataFrame:
+    """Per entry value -> name, add the sum of `value` over earlier pieces of the file."""
+
+    def sums(spec: WindowSpec, columns: list[str]) -> list[Column]:
+        earlier = spec.rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in columns]
+
+    values = list(names)
     if not by_block:
-        earlier = (
-            Window.partitionBy("path")
-            .orderBy("block", "pos")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return df.withColumn(name, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
-    totals = df.groupBy("path", "block").agg(F.sum(value).alias("total"))
-    blocks = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        whole_file = Window.partitionBy("path").orderBy("block", "pos")
+        return df.withColumns(dict(zip(names.values(), sums(whole_file, values))))
+    totals = df.groupBy("path", "block").agg(*[F.sum(v).alias(v) for v in values])
+    blocks = sums(Window.partitionBy("path").orderBy("block"), values)
     starts = totals.select(
         F.col("path").alias("s_path"),
         F.col("block").alias("s_block"),
-        F.coalesce(F.sum("total").over(blocks), F.lit(0)).alias("s_total"),
+        *[start.alias(f"s_{v}") for v, start in zip(values, blocks)],
     )
     joined = df.join(
         starts, (F.col("path") == F.col("s_path")) & (F.col("block") == F.col("s_block"))
     )
-    earlier = (
-        Window.partitionBy("path", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = F.coalesce(F.sum(value).over(earlier), F.lit(0))
-    return joined.withColumn(name, local + F.col("s_total")).drop("s_path", "s_block", "s_total")
+    local = sums(Window.partitionBy("path", "block").orderBy("pos"), values)
+    shifted = {n: s + F.col(f"s_{v}") for (v, n), s in zip(names.items(), local)}
+    return joined.withColumns(shifted).drop("s_path", "s_block", *[f"s_{v}" for v in values])
 
 
 def ingest_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -209,6 +209,33 @@ def test_deduplication_within_watermark(spark, source):
     assert ids(out.read(spark)) == list(range(30))
 
 
+def test_stateful_stream_replays_a_stored_batch(spark, source, monkeypatch):
+    for part in range(3):
+        feed(spark, source, records(60)[part * 20 : part * 20 + 20], part)
+        source.write_batch(frame(spark, records(60)[part * 20 : part * 20 + 20]), "again", part)
+    out = Topic(scratch(spark, "out"), source.schema)
+    checkpoint = scratch(spark, "c")
+    real, seen = Topic.write_batch, []
+
+    def crash_after_second(self, df, producer, batch_id):
+        real(self, df, producer, batch_id)
+        seen.append(batch_id)
+        if len(seen) == 2:
+            raise Crash("lost")
+
+    monkeypatch.setattr(Topic, "write_batch", crash_after_second)
+
+    def run():
+        limited = source.read_stream(spark, max_files_per_trigger=2)
+        stream = stateful.stream_deduplicated(limited, ["id"], "ts", "1 hour")
+        write_stream(stream, out, checkpoint, "p").awaitTermination()
+
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    assert ids(out.read(spark)) == list(range(60))
+
+
 def test_kafka_options_later_win():
     topic = KafkaTopic("t", "h:1", connection=(("a", "1"), ("b", "1")), settings=(("b", "2"),))
     assert topic.options() == {"kafka.bootstrap.servers": "h:1", "kafka.a": "1", "kafka.b": "2"}
