@@ -9,6 +9,7 @@ before it. Both ways give the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,30 +25,41 @@ BROADCAST_ROWS = 100_000
 """Most key rows that are ever sent to all executors; more are joined by shuffle."""
 
 
+@dataclass(frozen=True)
+class HotRows:
+    """The records of keys too large for one task, and how they are to be spread."""
+
+    rows: DataFrame
+    keys: int
+    chunks: int
+
+
 def split_hot(
     df: DataFrame, keys: Sequence[str], max_rows_per_key: int = MAX_ROWS_PER_KEY
-) -> tuple[DataFrame | None, DataFrame | None, int]:
-    """(rows of ordinary keys, rows of hot keys, number of hot keys); None where empty.
+) -> tuple[DataFrame | None, HotRows | None]:
+    """(records of ordinary keys, records of hot keys); None where there are none.
 
     The key count is aggregated map-side and reads the key columns only. At most
-    rows / max_rows_per_key keys can be hot.
+    rows / max_rows_per_key keys can be hot. Without keys the whole frame is one hot group.
     """
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not keys:
-        return None, df, 1
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > max_rows_per_key)
-        .select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+        return None, HotRows(df, 1, max(least, -(-df.count() // max_rows_per_key)))
+    counted = df.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(
+        F.count(F.lit(1)).alias("_rows")
     )
+    hot = counted.where(F.col("_rows") > max_rows_per_key)
     if hot.isEmpty():
-        return df, None, 0
-    workspace(df.sparkSession)
+        return df, None
+    workspace(spark)
     hot = hot.checkpoint()
-    n_hot = hot.count()
-    side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+    n_keys, n_rows = hot.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    hot = hot.drop("_rows")
+    side = F.broadcast(hot) if n_keys <= BROADCAST_ROWS else hot
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    return df.join(side, same, "left_anti"), df.join(side, same, "left_semi"), n_hot
+    chunks = max(least, -(-n_rows // max_rows_per_key))
+    return df.join(side, same, "left_anti"), HotRows(df.join(side, same, "left_semi"), n_keys, chunks)
 
 
 def running_totals(
@@ -79,12 +91,12 @@ def running_totals(
             scanned = scanned.where("_fresh = 1").drop("_fresh")
         return then(scanned)
 
-    cold, hot, n_hot = split_hot(rows, keys, max_rows_per_key)
+    cold, hot = split_hot(rows, keys, max_rows_per_key)
     parts = []
     if cold is not None:
         parts.append(finish(_scan(cold, keys, order, names)))
     if hot is not None:
-        parts.append(finish(_chunked(hot, keys, order, names, n_hot)))
+        parts.append(finish(_chunked(hot, keys, order, names)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -100,12 +112,12 @@ def _scan(
 
 
 def _chunked(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], names: Sequence[str], n_hot: int
+    hot: HotRows, keys: Sequence[str], order: Sequence[str], names: Sequence[str]
 ) -> DataFrame:
-    workspace(df.sparkSession)
+    workspace(hot.rows.sparkSession)
     # The chunk number must not change once totals were taken from it, hence the checkpoint.
     ranged = (
-        df.repartitionByRange(*keys, *order)
+        hot.rows.repartitionByRange(hot.chunks, *keys, *order)
         .withColumn("_chunk", F.spark_partition_id())
         .checkpoint()
     )
@@ -119,7 +131,7 @@ def _chunked(
         F.col("_chunk").alias("_start_chunk"),
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_start_{n}") for n in names],
     )
-    if n_hot <= BROADCAST_ROWS:
+    if hot.keys + hot.chunks <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
     same = reduce(
         lambda a, b: a & b,
@@ -127,7 +139,7 @@ def _chunked(
         F.col("_chunk") == F.col("_start_chunk"),
     )
     scanned = _scan(ranged.join(starts, same), [*keys, "_chunk"], order, names)
-    shifted = scanned.withColumns({n: F.col(n) + F.col(f"_start_{n}") for n in names})
+    shifted = scanned.withColumns({n: F.coalesce(n, F.lit(0)) + F.col(f"_start_{n}") for n in names})
     return shifted.drop(
         "_chunk", "_start_chunk", *[f"_start_{k}" for k in keys], *[f"_start_{n}" for n in names]
     )

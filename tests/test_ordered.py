@@ -71,6 +71,28 @@ def test_count_window_edges(spark, n, full, partial):
     assert count_window(*args, keep_partial=False).count() == full
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_hot_rows_are_spread_over_chunks(spark, keys, monkeypatch):
+    """One key with every record: the scan must run in many balanced chunks."""
+    from millrace.operators import ordered
+
+    seen = []
+    real = ordered._chunked
+
+    def watch(hot, *rest):
+        seen.append(hot)
+        return real(hot, *rest)
+
+    monkeypatch.setattr(ordered, "_chunked", watch)
+    data = [("hot", i % 7, i, 1.0) for i in range(1000)]
+    got = count_window(
+        frame(spark, data), 3, ["ts", "id"], [F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")],
+        keys, max_rows_per_key=100,
+    ).withColumn("k", F.lit("hot"))
+    assert rows(got, "k", "window", "s", "n") == brute_windows(data, 3)
+    assert [h.chunks for h in seen] == [10]
+
+
 def brute_mean(data):
     out, state = [], {}
     for k, ts, i, v in sorted(data, key=lambda r: (r[1], r[2])):
