@@ -255,13 +255,15 @@ def merge_via_topic(spark, folder):
 def fan_out(spark, folder):
     source = loaded_topic(spark, folder, "orders")
     base = scratch(spark, "fan-out")
-    outputs = []
+    outputs, running = [], []
     for name in ("a", "b", "c"):
         stream = source.read_stream(spark).select("o_orderkey", "o_custkey")
         out = Topic(f"{base}/{name}", stream.schema)
         outputs.append((name, out))
         checkpoint = Group(base, "fan", name, "in").checkpoint()
-        write_stream(stream, out, checkpoint, name).awaitTermination()
+        running.append(write_stream(stream, out, checkpoint, name))
+    for consumer in running:
+        consumer.awaitTermination()
     return transforms.merge(
         *[out.read(spark).select(F.lit(name).alias("consumer"), "*") for name, out in outputs]
     )

@@ -68,7 +68,7 @@ class Topic:
         """The topic as a stream. Where it resumes is up to the checkpoint of the query.
 
         `latest` passes only files that land from now on; Spark prunes the others by their
-        modification time without opening them.
+        modification time without opening them. The driver's clock decides what "now" is.
         """
         make_dirs(spark, self.path)
         reader = spark.readStream.schema(self.stored).option("recursiveFileLookup", "true")

@@ -108,18 +108,19 @@ def stream_count_window(
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = counts.before(spark, batch_id)
-        one = {"_index": F.lit(1).cast("long")}
-        indexed = running_totals(batch, keys, order_by, one, before, max_rows_per_key)
-        open_rows = indexed.unionByName(waiting.before(spark, batch_id))
-        # A run holds at most `size` rows, so this window is small for any key.
-        run = Window.partitionBy(*keys, "window")
-        grouped = (
-            open_rows.withColumn("window", window_number(F.col("_index"), size))
-            .withColumn("_in_run", F.count(F.lit(1)).over(run))
-            .persist()
-        )
+        batch.persist()
         try:
+            before = counts.before(spark, batch_id)
+            one = {"_index": F.lit(1).cast("long")}
+            indexed = running_totals(batch, keys, order_by, one, before, max_rows_per_key)
+            open_rows = indexed.unionByName(waiting.before(spark, batch_id))
+            # A run holds at most `size` rows, so this window is small for any key. The
+            # result is not cached: cached frames keep all their shuffle partitions, and
+            # each would become a file.
+            run = Window.partitionBy(*keys, "window")
+            grouped = open_rows.withColumn(
+                "window", window_number(F.col("_index"), size)
+            ).withColumn("_in_run", F.count(F.lit(1)).over(run))
             full = grouped.where(F.col("_in_run") == size).groupBy(*keys, "window")
             out.write_batch(full.agg(*aggregates), producer, batch_id)
             waiting.after(grouped.where(F.col("_in_run") < size), batch_id)
@@ -127,7 +128,7 @@ def stream_count_window(
             totals = fresh.unionByName(before).groupBy(*keys)
             counts.after(totals.agg(F.sum("_index").alias("_index")), batch_id)
         finally:
-            grouped.unpersist()
+            batch.unpersist()
 
     return start(stream, each, checkpoint)
 
