@@ -34,6 +34,16 @@ class HotRows:
     chunks: int
 
 
+def divide_by_keys(
+    df: DataFrame, keys: Sequence[str], listed: DataFrame, prefix: str, size: int
+) -> tuple[DataFrame, DataFrame]:
+    """(records whose key is not listed, records whose key is). `listed` has `size` rows and
+    names each key column with `prefix`; NULL counts as a key."""
+    side = F.broadcast(listed) if size <= BROADCAST_ROWS else listed
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
+    return df.join(side, same, "left_anti"), df.join(side, same, "left_semi")
+
+
 def split_hot(
     df: DataFrame, keys: Sequence[str], max_rows_per_key: int = MAX_ROWS_PER_KEY
 ) -> tuple[DataFrame | None, HotRows | None]:
@@ -55,11 +65,8 @@ def split_hot(
     workspace(spark)
     hot = hot.checkpoint()
     n_keys, n_rows = hot.agg(F.count(F.lit(1)), F.sum("_rows")).first()
-    hot = hot.drop("_rows")
-    side = F.broadcast(hot) if n_keys <= BROADCAST_ROWS else hot
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    chunks = max(least, -(-n_rows // max_rows_per_key))
-    return df.join(side, same, "left_anti"), HotRows(df.join(side, same, "left_semi"), n_keys, chunks)
+    ordinary, large = divide_by_keys(df, keys, hot, "_hot_", n_keys)
+    return ordinary, HotRows(large, n_keys, max(least, -(-n_rows // max_rows_per_key)))
 
 
 def running_totals(

@@ -1,10 +1,11 @@
 """Keyed state across micro-batches: running means, count windows, event-time windows.
 
-State is a table in the shared folder, rewritten by each micro-batch from the one before
-under the batch id, so a replayed batch finds its input untouched. The rows of a batch go
-through the same operators as in batch mode, hence a key that owns a third of a batch is
+State is a table in the shared folder, written anew by each micro-batch from the one before
+under the batch id, so a replayed batch finds its input untouched. Only the state of keys
+that occur in the batch takes part in its shuffles; the rest is copied. The rows of a batch
+go through the same operators as in batch mode, hence a key that owns a third of a batch is
 still spread over many tasks, and order within a batch is by `order_by`, not by arrival.
-Choose triggers large enough that rewriting one row per key is small beside the batch.
+Choose triggers large enough that copying one row per key is small beside the batch.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructField, StructType
 
 from millrace.operators.aggregate import call_stats, running_mean, window_number
-from millrace.operators.ordered import MAX_ROWS_PER_KEY, running_totals
+from millrace.operators.ordered import MAX_ROWS_PER_KEY, divide_by_keys, running_totals
 from millrace.operators.reference import drop_listed, read_key_list
 from millrace.session import delete_path
 from millrace.sources.topics import Topic, start
@@ -48,6 +49,18 @@ class StateTable:
             delete_path(state.sparkSession, self._folder(batch_id - 2))
 
 
+def _keys_of(batch: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    seen = batch.select(*[F.col(k).alias(f"_seen_{k}") for k in keys]).distinct()
+    return seen, seen.count()
+
+
+def _divide(
+    state: DataFrame, keys: Sequence[str], seen: tuple[DataFrame, int]
+) -> tuple[DataFrame, DataFrame]:
+    """(state of other keys, state of the keys in this batch)."""
+    return divide_by_keys(state, keys, seen[0], "_seen_", seen[1])
+
+
 def stream_running_mean(
     stream: DataFrame,
     keys: Sequence[str],
@@ -68,7 +81,8 @@ def stream_running_mean(
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            prior = state.before(spark, batch_id)
+            here = _keys_of(batch, keys)
+            untouched, prior = _divide(state.before(spark, batch_id), keys, here)
             rows = running_mean(batch, keys, order_by, value, carry, prior, max_rows_per_key)
             out.write_batch(rows, producer, batch_id)
             seen = batch.select(
@@ -77,9 +91,8 @@ def stream_running_mean(
                 F.col(value).isNotNull().cast("long").alias("_count"),
             )
             totals = seen.unionByName(prior).groupBy(*keys)
-            state.after(
-                totals.agg(F.sum("_sum").alias("_sum"), F.sum("_count").alias("_count")), batch_id
-            )
+            touched = totals.agg(F.sum("_sum").alias("_sum"), F.sum("_count").alias("_count"))
+            state.after(untouched.unionByName(touched), batch_id)
         finally:
             batch.unpersist()
 
@@ -110,10 +123,12 @@ def stream_count_window(
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            before = counts.before(spark, batch_id)
+            here = _keys_of(batch, keys)
+            untouched, before = _divide(counts.before(spark, batch_id), keys, here)
+            still_waiting, resumed = _divide(waiting.before(spark, batch_id), keys, here)
             one = {"_index": F.lit(1).cast("long")}
             indexed = running_totals(batch, keys, order_by, one, before, max_rows_per_key)
-            open_rows = indexed.unionByName(waiting.before(spark, batch_id))
+            open_rows = indexed.unionByName(resumed)
             # A run holds at most `size` rows, so this window is small for any key. The
             # result is not cached: cached frames keep all their shuffle partitions, and
             # each would become a file.
@@ -123,10 +138,12 @@ def stream_count_window(
             ).withColumn("_in_run", F.count(F.lit(1)).over(run))
             full = grouped.where(F.col("_in_run") == size).groupBy(*keys, "window")
             out.write_batch(full.agg(*aggregates), producer, batch_id)
-            waiting.after(grouped.where(F.col("_in_run") < size), batch_id)
+            partial = grouped.where(F.col("_in_run") < size).drop("window", "_in_run")
+            waiting.after(still_waiting.unionByName(partial), batch_id)
             fresh = batch.select(*keys, F.lit(1).cast("long").alias("_index"))
             totals = fresh.unionByName(before).groupBy(*keys)
-            counts.after(totals.agg(F.sum("_index").alias("_index")), batch_id)
+            touched = totals.agg(F.sum("_index").alias("_index"))
+            counts.after(untouched.unionByName(touched), batch_id)
         finally:
             batch.unpersist()
 
