@@ -50,6 +50,8 @@ class StateTable:
 
 
 def _keys_of(batch: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    if not keys:
+        return batch, 0
     seen = batch.select(*[F.col(k).alias(f"_seen_{k}") for k in keys]).distinct()
     return seen, seen.count()
 
@@ -57,7 +59,9 @@ def _keys_of(batch: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
 def _divide(
     state: DataFrame, keys: Sequence[str], seen: tuple[DataFrame, int]
 ) -> tuple[DataFrame, DataFrame]:
-    """(state of other keys, state of the keys in this batch)."""
+    """(state of other keys, state of the keys in this batch); without keys there is one."""
+    if not keys:
+        return state.where(F.lit(False)), state
     return divide_by_keys(state, keys, seen[0], "_seen_", seen[1])
 
 

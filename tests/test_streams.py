@@ -308,6 +308,29 @@ def test_stream_count_window_equals_full_batch_windows(spark, source, limit):
     assert rows(out.read(spark), *columns) == rows(expected, *columns)
 
 
+def test_stream_windows_and_means_without_key(spark, source):
+    data = records(130)
+    windows = Topic(scratch(spark, "w"), spark.createDataFrame([], "window long, s double").schema)
+    means = Topic(scratch(spark, "m"), spark.createDataFrame([], "id long, mean double").schema)
+    progress = scratch(spark, "c")
+    for start, stop in ((0, 3), (3, 70), (70, 130)):
+        feed(spark, source, data[start:stop], start)
+        stream = source.read_stream(spark, max_files_per_trigger=1)
+        stateful.stream_count_window(
+            stream, 8, [], ORDER, [F.sum("v").alias("s")], windows, f"{progress}-w", "p", 20
+        ).awaitTermination()
+        stateful.stream_running_mean(
+            stream, [], ORDER, "v", means, f"{progress}-m", "p", max_rows_per_key=20
+        ).awaitTermination()
+    df = frame(spark, data)
+    full = count_window(df, 8, ORDER, [F.sum("v").alias("s")], keep_partial=False)
+    assert rows(windows.read(spark), "window", "s") == rows(full, "window", "s")
+    expected = rows(running_mean(df, [], ORDER, "v"), "id", "mean")
+    got = rows(means.read(spark), "id", "mean")
+    assert [i for i, _ in got] == [i for i, _ in expected]
+    assert [m for _, m in got] == pytest.approx([m for _, m in expected])
+
+
 def test_stream_call_stats(spark, source):
     data = records(120)
     for part in range(3):
