@@ -52,7 +52,16 @@ def workspace(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; never handed out twice."""
-    return f"{workspace(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    return f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{workspace(spark)}/millrace/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this Spark application got from `scratch`."""
+    delete_path(spark, _own_scratch(spark))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(HERE))
 # Python workers unpickle functions defined in test modules by name.
 os.environ["PYTHONPATH"] = os.pathsep.join([HERE, os.environ.get("PYTHONPATH", "")])
 
-from millrace.session import build_session  # noqa: E402
+from millrace.session import build_session, clear_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -25,6 +25,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 

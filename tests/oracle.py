@@ -56,7 +56,7 @@ def compare(con, sql, df):
 
 def main():
     from __spark_entry__ import oracle_sql, queries
-    from millrace.session import build_session
+    from millrace.session import build_session, clear_scratch
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     chosen = sys.argv[2:]
@@ -79,6 +79,7 @@ def main():
         failed += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - began:.1f}s {problem or ''}", flush=True)
     print(f"{failed} failed")
+    clear_scratch(spark)
     sys.exit(failed > 0)
 
 
