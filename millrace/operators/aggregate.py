@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import MAX_ROWS_PER_KEY, running_totals
+from millrace.operators.ordered import MAX_ROWS_PER_KEY, KeySizes, running_totals
 
 
 def count_window(
@@ -58,6 +58,7 @@ def running_mean(
     carry: Sequence[str] = (),
     prior: DataFrame | None = None,
     max_rows_per_key: int = MAX_ROWS_PER_KEY,
+    sizes: KeySizes | None = None,
 ) -> DataFrame:
     """One output per input: mean and count of the key's values so far, this one included.
 
@@ -74,6 +75,7 @@ def running_mean(
         },
         prior=prior,
         max_rows_per_key=max_rows_per_key,
+        sizes=sizes,
     )
     mean = F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count"))
     return scanned.select(

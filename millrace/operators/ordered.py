@@ -35,37 +35,55 @@ class HotRows:
 
 
 def divide_by_keys(
-    df: DataFrame, keys: Sequence[str], listed: DataFrame, prefix: str, size: int
+    df: DataFrame, keys: Sequence[str], listed: DataFrame, size: int
 ) -> tuple[DataFrame, DataFrame]:
     """(records whose key is not listed, records whose key is). `listed` has `size` rows and
-    names each key column with `prefix`; NULL counts as a key."""
+    columns `_key_<name>`; NULL counts as a key."""
     side = F.broadcast(listed) if size <= BROADCAST_ROWS else listed
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
     return df.join(side, same, "left_anti"), df.join(side, same, "left_semi")
 
 
+@dataclass(frozen=True)
+class KeySizes:
+    """How many records each key has (columns `_key_<name>`, `_rows`), how many keys there
+    are, and the size of the largest."""
+
+    counted: DataFrame
+    keys: int
+    largest: int
+
+
+def key_sizes(df: DataFrame, keys: Sequence[str]) -> KeySizes:
+    """Aggregated map-side; reads the key columns only."""
+    named = [F.col(k).alias(f"_key_{k}") for k in keys]
+    counted = df.groupBy(*named).agg(F.count(F.lit(1)).alias("_rows"))
+    n_keys, largest = counted.agg(F.count(F.lit(1)), F.max("_rows")).first()
+    return KeySizes(counted, n_keys, largest or 0)
+
+
 def split_hot(
-    df: DataFrame, keys: Sequence[str], max_rows_per_key: int = MAX_ROWS_PER_KEY
+    df: DataFrame,
+    keys: Sequence[str],
+    max_rows_per_key: int = MAX_ROWS_PER_KEY,
+    sizes: KeySizes | None = None,
 ) -> tuple[DataFrame | None, HotRows | None]:
     """(records of ordinary keys, records of hot keys); None where there are none.
 
-    The key count is aggregated map-side and reads the key columns only. At most
-    rows / max_rows_per_key keys can be hot. Without keys the whole frame is one hot group.
+    At most rows / max_rows_per_key keys can be hot. Without keys the whole frame is one
+    hot group. `sizes` saves a pass where they are known.
     """
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not keys:
         return None, HotRows(df, 1, max(least, -(-df.count() // max_rows_per_key)))
-    counted = df.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    hot = counted.where(F.col("_rows") > max_rows_per_key)
-    if hot.isEmpty():
+    sizes = sizes or key_sizes(df, keys)
+    if sizes.largest <= max_rows_per_key:
         return df, None
     workspace(spark)
-    hot = hot.checkpoint()
+    hot = sizes.counted.where(F.col("_rows") > max_rows_per_key).checkpoint()
     n_keys, n_rows = hot.agg(F.count(F.lit(1)), F.sum("_rows")).first()
-    ordinary, large = divide_by_keys(df, keys, hot, "_hot_", n_keys)
+    ordinary, large = divide_by_keys(df, keys, hot.drop("_rows"), n_keys)
     return ordinary, HotRows(large, n_keys, max(least, -(-n_rows // max_rows_per_key)))
 
 
@@ -76,6 +94,7 @@ def running_totals(
     measures: dict[str, Column],
     prior: DataFrame | None = None,
     max_rows_per_key: int = MAX_ROWS_PER_KEY,
+    sizes: KeySizes | None = None,
     then: Callable[[DataFrame], DataFrame] = lambda d: d,
 ) -> DataFrame:
     """Add, per row, the running sum of every measure over its key up to and including it.
@@ -98,7 +117,7 @@ def running_totals(
             scanned = scanned.where("_fresh = 1").drop("_fresh")
         return then(scanned)
 
-    cold, hot = split_hot(rows, keys, max_rows_per_key)
+    cold, hot = split_hot(rows, keys, max_rows_per_key, sizes)
     parts = []
     if cold is not None:
         parts.append(finish(_scan(cold, keys, order, names)))

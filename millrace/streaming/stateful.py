@@ -18,8 +18,15 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructField, StructType
 
 from millrace.operators.aggregate import call_stats, running_mean, window_number
-from millrace.operators.ordered import MAX_ROWS_PER_KEY, divide_by_keys, running_totals
+from millrace.operators.ordered import (
+    MAX_ROWS_PER_KEY,
+    KeySizes,
+    divide_by_keys,
+    key_sizes,
+    running_totals,
+)
 from millrace.operators.reference import drop_listed, read_key_list
+from millrace.operators.transforms import merge
 from millrace.session import delete_path
 from millrace.sources.topics import Topic, start
 
@@ -34,9 +41,10 @@ class StateTable:
     def _folder(self, batch_id: int) -> str:
         return f"{self.path}/batch_id={batch_id}"
 
-    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """The state a batch starts from; None for the first."""
         if batch_id == 0:
-            return spark.createDataFrame([], self.schema)
+            return None
         stored = spark.read.schema(self.schema).option("recursiveFileLookup", "true")
         return stored.parquet(self._folder(batch_id - 1))
 
@@ -49,20 +57,17 @@ class StateTable:
             delete_path(state.sparkSession, self._folder(batch_id - 2))
 
 
-def _keys_of(batch: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
-    if not keys:
-        return batch, 0
-    seen = batch.select(*[F.col(k).alias(f"_seen_{k}") for k in keys]).distinct()
-    return seen, seen.count()
-
-
 def _divide(
-    state: DataFrame, keys: Sequence[str], seen: tuple[DataFrame, int]
-) -> tuple[DataFrame, DataFrame]:
+    state: DataFrame | None, keys: Sequence[str], sizes: KeySizes | None
+) -> tuple[DataFrame | None, DataFrame | None]:
     """(state of other keys, state of the keys in this batch); without keys there is one."""
-    if not keys:
-        return state.where(F.lit(False)), state
-    return divide_by_keys(state, keys, seen[0], "_seen_", seen[1])
+    if state is None or sizes is None:
+        return None, state
+    return divide_by_keys(state, keys, sizes.counted.drop("_rows"), sizes.keys)
+
+
+def _together(*frames: DataFrame | None) -> DataFrame:
+    return merge(*[f for f in frames if f is not None])
 
 
 def stream_running_mean(
@@ -85,18 +90,20 @@ def stream_running_mean(
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            here = _keys_of(batch, keys)
-            untouched, prior = _divide(state.before(spark, batch_id), keys, here)
-            rows = running_mean(batch, keys, order_by, value, carry, prior, max_rows_per_key)
+            sizes = key_sizes(batch, keys) if keys else None
+            untouched, prior = _divide(state.before(spark, batch_id), keys, sizes)
+            rows = running_mean(
+                batch, keys, order_by, value, carry, prior, max_rows_per_key, sizes
+            )
             out.write_batch(rows, producer, batch_id)
             seen = batch.select(
                 *keys,
                 F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_sum"),
                 F.col(value).isNotNull().cast("long").alias("_count"),
             )
-            totals = seen.unionByName(prior).groupBy(*keys)
+            totals = _together(seen, prior).groupBy(*keys)
             touched = totals.agg(F.sum("_sum").alias("_sum"), F.sum("_count").alias("_count"))
-            state.after(untouched.unionByName(touched), batch_id)
+            state.after(_together(untouched, touched), batch_id)
         finally:
             batch.unpersist()
 
@@ -127,12 +134,14 @@ def stream_count_window(
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            here = _keys_of(batch, keys)
-            untouched, before = _divide(counts.before(spark, batch_id), keys, here)
-            still_waiting, resumed = _divide(waiting.before(spark, batch_id), keys, here)
+            sizes = key_sizes(batch, keys) if keys else None
+            untouched, before = _divide(counts.before(spark, batch_id), keys, sizes)
+            still_waiting, resumed = _divide(waiting.before(spark, batch_id), keys, sizes)
             one = {"_index": F.lit(1).cast("long")}
-            indexed = running_totals(batch, keys, order_by, one, before, max_rows_per_key)
-            open_rows = indexed.unionByName(resumed)
+            indexed = running_totals(
+                batch, keys, order_by, one, before, max_rows_per_key, sizes
+            )
+            open_rows = _together(indexed, resumed)
             # A run holds at most `size` rows, so this window is small for any key. The
             # result is not cached: cached frames keep all their shuffle partitions, and
             # each would become a file.
@@ -143,11 +152,11 @@ def stream_count_window(
             full = grouped.where(F.col("_in_run") == size).groupBy(*keys, "window")
             out.write_batch(full.agg(*aggregates), producer, batch_id)
             partial = grouped.where(F.col("_in_run") < size).drop("window", "_in_run")
-            waiting.after(still_waiting.unionByName(partial), batch_id)
+            waiting.after(_together(still_waiting, partial), batch_id)
             fresh = batch.select(*keys, F.lit(1).cast("long").alias("_index"))
-            totals = fresh.unionByName(before).groupBy(*keys)
+            totals = _together(fresh, before).groupBy(*keys)
             touched = totals.agg(F.sum("_index").alias("_index"))
-            counts.after(untouched.unionByName(touched), batch_id)
+            counts.after(_together(untouched, touched), batch_id)
         finally:
             batch.unpersist()
 
