@@ -1,6 +1,6 @@
 """All queries of the subpackage; importing this registers them."""
 
-from millrace.llm import bpe, compression, jaccard, lines, sharding, toxicity, urls  # noqa: F401
+from millrace.llm import bpe, compression, jaccard, lines, sharding, suffixes, toxicity, urls  # noqa: F401
 from millrace.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
