@@ -1,36 +1,43 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over the words cuts a text into chunks at white space, at the same places wherever
-the same words occur. A task encodes each distinct chunk once; within a new chunk each distinct
-word is encoded once, and all unknown words of a slice go to the tokenizer in one call. At a join the
-two words that meet are encoded together: if that differs from encoding them apart, the joined
-chunks are encoded as one, and so on until both ways agree.
+A hash over the last bytes before white space cuts a text into chunks, at the same places wherever
+the same words occur. A task encodes each distinct chunk once, from its distinct words, and all words
+new to a slice of documents go to the tokenizer in one call. What meets at a join (the end of one
+word, white space, the start of the next) is encoded together and apart when it is first seen; where
+the two differ, the joined text is encoded again as a whole, so the result is always the tokenizer's.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from millrace.llm.common import Cache, map_text
+from millrace.llm.common import arrow_schema, map_text
 from millrace.llm.registry import query, table
 
 CHUNK_WORDS = 16
 """Mean words of a chunk; a power of two."""
 
-CHUNK_CACHE, WORD_CACHE = 10_000, 200_000
-"""Entries of one generation of a task's caches; both hold short strings only."""
+WINDOW = 8
+"""Bytes the rolling hash looks at."""
 
-LONGEST = 256
-"""Longer words are encoded in place and not kept; chunks end there."""
+CHUNK_CACHE, WORD_CACHE = 50_000, 250_000
+"""Entries of a task's caches: chunks are dropped when there are more after a slice, words are kept
+for one more generation."""
 
-WORD = re.compile(r"[\t-\r ]*[^\t-\r ]+")
+CACHE_BYTES = 32 << 20
+"""Words of more bytes in all start a new generation too."""
+
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, *range(9, 14)]] = True
+KEPT_WORDS = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+$")
+
+STOPS = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 
 def default_tokenizer() -> str:
@@ -40,12 +47,8 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    """Encodes texts exactly as the tokenizer does, reusing chunks.
-
-    A value is (ids as text joined by spaces, tokens joined by spaces, number of ids). Texts are
-    str; the tokenizer is one whose pre-tokenizer never lets a token span ASCII white space after
-    a word, which the joins check.
-    """
+    """Encodes texts (UTF-8) exactly as the tokenizer does, reusing chunks and words. A value is the
+    ids and the tokens, each joined by spaces."""
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
@@ -53,107 +56,146 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.words = Cache(WORD_CACHE, self._word)
-        self.chunks = Cache(CHUNK_CACHE, self._chunk)
-        self.joins = Cache(50_000, self._fits)
-        self.cuts = Cache(WORD_CACHE, lambda w: xxhash.xxh32_intdigest(w) % CHUNK_WORDS == 0)
-
-    def _value(self, ids: Sequence[int]) -> tuple[str, str, int]:
-        return " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]), len(ids)
-
-    def raw(self, text: str) -> tuple[str, str, int]:
-        return self._value(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _word(self, word: str) -> tuple[str, str, int]:
-        return self.raw(word)
-
-    def learn(self, words) -> None:
-        """Encode unknown words in one call."""
-        known, old = self.words, self.words.old
-        new = [w for w in words if w not in known and w not in old and len(w) <= LONGEST]
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for word, encoded in zip(part, made):
-                value = self._value(encoded.ids)
-                if len(known) >= known.limit:
-                    known.old = dict(known)
-                    known.clear()
-                known[word] = value
-
-    def _fits(self, pair: tuple[str, str]) -> bool:
-        """Whether two neighbours encode together as they do apart."""
-        left, right = pair
-        return self.raw(left + right)[0] == _joined([self.raw(left), self.raw(right)])[0]
-
-    def _agree(self, left: str, right: str) -> bool:
-        """Checked by the characters that meet: what a pre-tokenizer sees at a cut is the end of
-        one word, white space, and the start of the next."""
-        return self.joins[left[-1:], right[:2]]
-
-    def _chunk(self, chunk: tuple[str, ...]) -> tuple[str, str, int]:
-        parts: list[tuple[str, str, int]] = []
-        held = chunk[0]
-        for left, right in zip(chunk, chunk[1:]):
-            if self._agree(left, right):
-                parts.append(self.words[held] if len(held) <= LONGEST else self.raw(held))
-                held = right
-            else:
-                held += right
-        parts.append(self.words[held] if len(held) <= LONGEST else self.raw(held))
-        return _joined(parts)
-
-    def split(self, text: str) -> tuple[list[str], str]:
-        """Words with the white space before them, and what follows the last word."""
-        words = WORD.findall(text)
-        return words, text[sum(map(len, words)) :]
-
-    def chunked(self, words: list[str]) -> list[tuple[str, ...]]:
-        """Chunks end after words whose hash says so."""
-        cuts, out, start = self.cuts, [], 0
-        for at, word in enumerate(words, 1):
-            if cuts[word] if len(word) <= LONGEST else True:
-                out.append(tuple(words[start:at]))
-                start = at
-        if start < len(words):
-            out.append(tuple(words[start:]))
+        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.digits = list(map(str, range(size)))
+        added = self.tokenizer.get_added_tokens_decoder()
+        # Between words, a special token keeps them apart in one call.
+        self.mark = next((i for i, t in added.items() if t.special and not t.normalized), None)
+        probe = "".join(f"a{chr(c)}b {chr(c)}{chr(c)}7.{chr(c)}" for c in (32, *range(9, 14)))
+        self.drops_space = self.raw(probe.encode()) == self.raw(" ".join(probe.split()).encode())
+        # Spellings that encode alike are made alike, so that more words and chunks are shared.
+        letters = bytes(range(97, 123))
+        self.folds_case = all(
+            self.raw(letters[i:] + letters[:i]) == self.raw((letters[i:] + letters[:i]).upper()) for i in range(26)
+        )
+        self.parts_stops = self.drops_space and all(
+            self.raw(b"%c%s" % (c, stop)) == self.raw(b"%c %s" % (c, stop)) for c in letters for stop in (b".", b",")
+        )
+        self.special = [t.content.lower().encode() for t in added.values()]
+        self.ids: dict[bytes, str] = {}
+        self.tokens: dict[bytes, str] = {}
+        self.old: tuple[dict, dict] = {}, {}
+        self.bytes = 0
+        self.chunk_ids: dict[bytes, str] = {}
+        self.chunk_tokens: dict[bytes, str] = {}
+        self.agrees = np.zeros((256, 256), dtype=np.int8)
+
+    def _strings(self, ids) -> tuple[str, str]:
+        return " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids])
+
+    def raw(self, text: bytes) -> tuple[str, str]:
+        """The whole text in one call."""
+        return self._strings(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids)
+
+    def split(self, chunk: bytes) -> list[bytes]:
+        return chunk.split() if self.drops_space else KEPT_WORDS.findall(chunk)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Values of words not known yet; afterwards all of them are."""
+        if len(self.ids) > WORD_CACHE or self.bytes > CACHE_BYTES:
+            self.old = self.ids, self.tokens
+            self.ids, self.tokens, self.bytes = {}, {}, 0
+        new = [w for w in words if w not in self.ids]
+        if self.old[0]:
+            for w in new:
+                if w in self.old[0]:
+                    self.ids[w], self.tokens[w] = self.old[0][w], self.old[1][w]
+            new = [w for w in new if w not in self.ids]
+        self.bytes += sum(map(len, new))
+        name = self.names[self.mark] if self.mark is not None else None
+        for start in range(0, len(new), 10_000):
+            part = new[start : start + 10_000]
+            joined = name.encode().join(part).decode("utf-8") if name else ""
+            if name and joined.count(name) == len(part) - 1:
+                made = self.tokenizer.encode(joined, add_special_tokens=False).ids
+                ids, tokens = self._strings(made)
+                ids, tokens = ids.split(f" {self.mark} "), tokens.split(f" {name} ")
+                if len(ids) == len(part) == len(tokens):
+                    self.ids.update(zip(part, ids))
+                    self.tokens.update(zip(part, tokens))
+                    continue
+            # A word that holds the mark itself, or one without any token.
+            for w in part:
+                self.ids[w], self.tokens[w] = self.raw(w)
+
+    def chunks(self, raw: bytes) -> list[bytes] | None:
+        """Chunks of a text; None if something at a join encodes differently apart."""
+        if len(raw) <= WINDOW + 1:
+            return [raw] if self._joins_agree(raw) else None
+        data = np.frombuffer(raw, np.uint8)
+        space = SPACE[data]
+        starts = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        # The byte before a run of white space and the one after it.
+        after = ends[np.minimum(np.searchsorted(ends, starts), len(ends) - 1)] if len(ends) else ends[:0]
+        if len(after):
+            met = after > starts
+            left, right = data[starts[met] - 1], data[after[met]]
+            unknown = np.flatnonzero(self.agrees[left, right] == 0)
+            for i in unknown:
+                if not self.agrees[left[i], right[i]]:
+                    self._learn_join(raw, int(starts[met][i]), int(after[met][i]))
+            if (self.agrees[left, right] < 0).any():
+                return None
+        starts = starts[starts >= WINDOW]
+        words = np.ndarray(len(raw) - WINDOW + 1, "<u8", raw, strides=(1,))[starts - WINDOW]
+        with np.errstate(over="ignore"):
+            hashed = (words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        cuts = starts[hashed % np.uint64(CHUNK_WORDS) == 0].tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])]
+
+    def _joins_agree(self, raw: bytes) -> bool:
+        words = self.split(raw)
+        return len(words) < 2 or self._joined([self.raw(w) for w in words]) == self.raw(raw)
+
+    def prepare(self, raw: bytes) -> bytes | None:
+        """The text in the spelling that is shared; None if special tokens may be in it."""
+        low = raw.lower()
+        if any(t in low for t in self.special):
+            return None
+        if self.folds_case:
+            raw = low
+        return STOPS.sub(rb" \1", raw) if self.parts_stops else raw
+
+    def _learn_join(self, raw: bytes, start: int, after: int) -> None:
+        """Encode the two words that meet together and apart."""
+        a = start
+        while a > 0 and not SPACE[raw[a - 1]]:
+            a -= 1
+        b = after
+        while b < len(raw) and not SPACE[raw[b]]:
+            b += 1
+        apart = self._joined([self.raw(raw[a:start]), self.raw(raw[start:b])])
+        self.agrees[raw[start - 1], raw[after]] = 1 if apart == self.raw(raw[a:b]) else -1
+
+    @staticmethod
+    def _joined(values) -> tuple[str, str]:
+        return " ".join(filter(None, (v[0] for v in values))), " ".join(filter(None, (v[1] for v in values)))
+
+    def encode(self, texts: list[bytes]) -> list[tuple[str, str]]:
+        """Values of texts; chunks new to the task are encoded together first."""
+        made = [self.prepare(x) for x in texts]
+        parts = [None if x is None else self.chunks(x) for x in made]
+        new = {c for p in parts if p for c in p if c not in self.chunk_ids}
+        split = {c: self.split(c) for c in new}
+        self.learn({w for words in split.values() for w in words})
+        ids, tokens = self.ids.__getitem__, self.tokens.__getitem__
+        for chunk, words in split.items():
+            self.chunk_ids[chunk] = " ".join(filter(None, map(ids, words)))
+            self.chunk_tokens[chunk] = " ".join(filter(None, map(tokens, words)))
+        ids, tokens = self.chunk_ids.__getitem__, self.chunk_tokens.__getitem__
+        out = [
+            self.raw(x) if p is None else (" ".join(filter(None, map(ids, p))), " ".join(filter(None, map(tokens, p))))
+            for x, p in zip(texts, parts)
+        ]
+        if len(self.chunk_ids) > CHUNK_CACHE:
+            self.chunk_ids, self.chunk_tokens = {}, {}
         return out
 
-    def encode(self, words: list[str], rest: str) -> tuple[str, str, int]:
-        """The value of the text whose `split` is given."""
-        parts, held = [], ()
-        for chunk in self.chunked(words):
-            if held and not self._agree(held[-1], chunk[0]):
-                held += chunk
-                continue
-            if held:
-                parts.append(self._get(held))
-            held = chunk
-        if held:
-            # White space after the last word belongs to it.
-            held = (*held[:-1], held[-1] + rest)
-            parts.append(self._get(held))
-        elif rest:
-            parts.append(self.raw(rest))
-        return _joined(parts)
-
-    def _get(self, chunk):
-        if len(chunk) > 8 * CHUNK_WORDS or len(chunk[0]) > LONGEST or len(chunk[-1]) > LONGEST:
-            return self._chunk(chunk)
-        return self.chunks[chunk]
-
-
-def _joined(parts) -> tuple[str, str, int]:
-    full = [p for p in parts if p[2]]
-    return " ".join([p[0] for p in full]), " ".join([p[1] for p in full]), sum(p[2] for p in full)
-
-
-def _values(encoder: ChunkEncoder, raw: list[bytes]):
-    """The value of each text; words new to the task are encoded together first."""
-    pieces = [encoder.split(x.decode("utf-8")) for x in raw]
-    encoder.learn({w for words, _ in pieces for w in words})
-    return [encoder.encode(words, rest) for words, rest in pieces]
+
+def _size(ids: str) -> int:
+    return ids.count(" ") + 1 if ids else 0
 
 
 def encode(df: DataFrame, row_id: str, text: str, tokenizer: str) -> DataFrame:
@@ -171,33 +213,31 @@ def encode(df: DataFrame, row_id: str, text: str, tokenizer: str) -> DataFrame:
         ]
     )
 
+    kind = arrow_schema(schema).field("ids").type
+
     def make():
         encoder = ChunkEncoder(tokenizer)
 
         def run(piece):
-            made = _values(encoder, piece[text])
-            ids = pa.array([[int(x) for x in v[0].split()] for v in made], pa.list_(pa.int32()))
-            return {row_id: piece[row_id], "ids": ids.cast(_list_type(schema)), "n_tokens": [v[2] for v in made]}
+            made = [v[0] for v in encoder.encode(piece[text])]
+            ids = [np.fromstring(v, dtype=np.int32, sep=" ") for v in made]
+            return {
+                row_id: piece[row_id],
+                "ids": pa.array(ids, kind),
+                "n_tokens": list(map(_size, made)),
+            }
 
         return run
 
     return map_text(df, [row_id], text, schema, make)
 
 
-def _list_type(schema: T.StructType):
-    from millrace.llm.common import arrow_schema
-
-    return arrow_schema(schema).field("ids").type
-
-
 def decode(df: DataFrame, row_id: str, ids: str, tokenizer: str) -> DataFrame:
     """`row_id`, `text`: the tokenizer's own decoding with special tokens kept. NULL ids give an
     empty text."""
     schema = T.StructType(
         [T.StructField(row_id, df.schema[row_id].dataType), T.StructField("text", T.StringType())]
     )
-    from millrace.llm.common import arrow_schema
-
     out = arrow_schema(schema)
 
     def run(batches):
@@ -240,10 +280,10 @@ def digests(df: DataFrame, row_id: str, text: str, tokenizer: str) -> DataFrame:
             return encoder.tokenizer.decode([int(x) for x in value[0].split()], skip_special_tokens=False)
 
         def run(piece):
-            made = _values(encoder, piece[text])
+            made = encoder.encode(piece[text])
             return {
                 row_id: piece[row_id],
-                "n_tokens": [v[2] for v in made],
+                "n_tokens": [_size(v[0]) for v in made],
                 "ids_sha256": [sha(v[0]) for v in made],
                 "decoded_sha256": [sha(text_of(v)) for v in made],
             }
