@@ -87,6 +87,24 @@ def map_text(
     return df.select(*dict.fromkeys([*columns, text])).mapInArrow(run, schema)
 
 
+def filter_rows(
+    df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes]], list[bool]]]
+) -> DataFrame:
+    """Rows of `df`, all columns, whose text passes. `make()` runs once per task and returns the
+    function from texts (bytes, NULL as empty) to whether each row stays."""
+
+    def run(batches):
+        function = make()
+        for batch in batches:
+            at = 0
+            for piece in byte_slices([batch], [], text):
+                rows = batch.slice(at, len(piece[text]))
+                at += len(rows)
+                yield rows.filter(pa.array(function(piece[text]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 class Cache(dict):
     """A dict of at most twice `limit` entries: a full young generation replaces the old one."""
 
@@ -142,8 +160,3 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         low = np.minimum(low[:-step], low[step:])
         done += step
     return low
-
-
-def bit_count_limit(total: int, limit: int) -> int:
-    """Bits needed to number `total / limit` equal parts."""
-    return max(0, int(total // max(1, limit)).bit_length())

@@ -30,8 +30,9 @@ EDIT_PERCENT = 12
 SAMPLED = 3
 TARGET = 0.95
 MOST_REPEATS = 12
-MAX_ITEMS, MAX_ITEM_WORDS = 100_000, 5_000_000
-"""Items go to every task; more are refused."""
+MAX_ITEMS, MAX_ITEM_WORDS = 20_000, 50_000
+"""Items, and their distinct words, that one search takes: they go to every task (about 1 KB for each
+distinct word). A larger benchmark is searched for in parts; more at once is refused."""
 
 STRIPPED = " .,;:!?\"'()[]{}…¡¿«»"
 
@@ -127,9 +128,9 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]], seed: int = 7):
         found = [(i, plain_words(raw)) for i, raw in items]
         self.items = [(i, w) for i, w in found if len(w) >= MIN_WORDS]
-        if len(self.items) > MAX_ITEMS or sum(len(w) for _, w in self.items) > MAX_ITEM_WORDS:
-            raise ValueError("too many benchmark items to send to every task")
         words = sorted({w for _, own in self.items for w in own})
+        if len(self.items) > MAX_ITEMS or len(words) > MAX_ITEM_WORDS:
+            raise ValueError("too many benchmark items to send to every task")
         self.numbers = {w: k for k, w in enumerate(words, 1)}
         self.other = len(words) + 1
         self.coded = [[self.numbers[w] for w in own] for _, own in self.items]
@@ -148,7 +149,7 @@ class Index:
         # The step and the sampled positions come before the end of the shortest item most times.
         walks = []
         for _ in range(MOST_REPEATS):
-            bits = random.randint(0, 2, (steps, self.other + 1)).astype(np.int64)
+            bits = random.randint(0, 2, (steps, self.other + 1)).astype(np.int8)
             walks.append((bits, sorted(random.choice(steps, SAMPLED, replace=False).tolist())))
         tried = [k for k in own for _ in range(max(1, 200 // len(own)))][:400]
         hits = np.zeros((len(tried), MOST_REPEATS), dtype=bool)
@@ -312,10 +313,9 @@ def find_passages(docs: DataFrame, row_id: str, text: str, items: DataFrame, ite
     schema = T.StructType(
         [T.StructField(row_id, docs.schema[row_id].dataType), T.StructField("matches", T.ArrayType(match))]
     )
-    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def make():
-        search = shared.value.searcher()
+        search = index.searcher()
 
         def run(piece):
             made = [[dict(zip(match.names, m)) for m in found] for found in search(piece[text])]

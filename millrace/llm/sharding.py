@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bit_count_limit, stored
+from millrace.llm.common import stored
 from millrace.llm.registry import query, table
 
 SHARD_BYTES = 1 << 20
@@ -73,7 +73,7 @@ def shards(
     total, count = sized.agg(F.sum("_bytes"), F.count(F.lit(1))).first()
     found: list[DataFrame] = []
     base, todo = 0, sized.withColumn("_p", F.lit(0).cast("bigint"))
-    first = min(BITS, max(STEP, bit_count_limit(total or 0, limit) + 2))
+    first = min(BITS, max(STEP, int((total or 0) // limit).bit_length() + 2))
     while count:
         deep = min(BITS, base + (STEP if base else first))
         leaves = stored(spark, _leaves(todo, base, deep, limit), "shard-directory")

@@ -374,10 +374,10 @@ def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def remove_repeats(
-    spark: SparkSession, docs: DataFrame, row_id: str, text: str, length: int = LENGTH
+    spark: SparkSession, docs: DataFrame, row_id: str, text: str, length: int = LENGTH, as_text: bool = False
 ) -> DataFrame:
     """For every row of `docs` that loses bytes: `row_id`, `text_key`, `n_removed`, `spans` (merged),
-    `kept` (bytes). Rows that lose nothing are not listed; equal rows come once. See
+    `kept` (bytes, or with `as_text` a string without characters that were cut through). Rows that lose nothing are not listed; equal rows come once. See
     `repeated_spans` for odd input."""
     spans = stored(spark, repeated_spans(spark, docs, row_id, text, length), "spans")
     keyed = docs.select(
@@ -393,7 +393,7 @@ def remove_repeats(
             T.StructField("text_key", T.LongType()),
             T.StructField("n_removed", T.LongType()),
             T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
-            T.StructField("kept", T.BinaryType()),
+            T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
         ]
     )
 
@@ -402,7 +402,9 @@ def remove_repeats(
             out = []
             for doc, key, raw, spans in zip(*(piece[c] for c in ("_id", "_key", "_text", "spans"))):
                 own = merged([(s["start"], s["end"]) for s in spans])
-                out.append((doc, key, sum(b - a for a, b in own), [list(s) for s in own], cut_out(raw, own)))
+                kept = cut_out(raw, own)
+                kept = kept.decode("utf-8", "ignore") if as_text else kept
+                out.append((doc, key, sum(b - a for a, b in own), [list(s) for s in own], kept))
             columns = [list(c) for c in zip(*out)] if out else [[] for _ in schema]
             return dict(zip(schema.names, columns))
 
