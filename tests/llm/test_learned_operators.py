@@ -1,0 +1,236 @@
+"""Classifiers by held-out results, decontamination by planted passages, and the pipeline as a whole."""
+
+import os
+import random
+
+import numpy as np
+import pytest
+from corpus import frame, odd_rows
+
+import corpus_pipeline
+from millrace.llm import compression, decontaminate, queries, toxicity
+from millrace.llm.components import components
+from millrace.llm.sampling import platt, sigmoid
+
+TABLES = os.environ.get("LLM_SF_DIR", "/root/testdata/sf0.01")
+needs_tables = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+
+
+def auc(score, label):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(len(score))
+    up, down = label.sum(), (1 - label).sum()
+    return (rank[label == 1].sum() - up * (up - 1) / 2) / (up * down)
+
+
+@needs_tables
+@pytest.mark.parametrize("name,label,least", [("op3_weak_toxicity", "toxic", 0.8), ("op10_compression_quality", "quality", 0.9)])
+def test_held_out(spark, name, label, least):
+    scored = queries.QUERIES[name](spark, TABLES)
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").count()
+    assert scored.count() == docs
+    rows = scored.join(spark.read.parquet(f"{TABLES}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert auc(np.array([r["score"] for r in rows]), np.array([r[label] for r in rows])) > least
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def labels_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+
+
+def test_classifiers_take_odd_and_empty_tables(spark):
+    rows = odd_rows()
+    docs, nothing = frame(spark, rows), frame(spark, [])
+    for labels in ([(1, 1, 0), (4, 0, 1), (5, None, None), (None, 1, 1), (6, 1, 0), (6, 0, 1)], []):
+        told = labels_of(spark, labels)
+        for table, count in ((docs, len(rows)), (nothing, 0)):
+            model = toxicity.fit_toxicity(table, told, "doc_id", "text", "toxic")
+            scores = [r["score"] for r in toxicity.score_toxicity(table, "doc_id", "text", model).collect()]
+            assert len(scores) == count and all(0 <= s <= 1 for s in scores)
+            model = compression.fit_compression(table, told, "doc_id", "text", "quality")
+            scores = [r["score"] for r in compression.score_quality(table, "doc_id", "text", model).collect()]
+            assert len(scores) == count and all(0 <= s <= 1 for s in scores)
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    random_ = np.random.RandomState(1)
+    truth = random_.rand(20_000) < 0.1
+    rates = np.array([[0.01, 0.8], [0.02, 0.6], [0.01, 0.7], [0.3, 0.3]])
+    votes = np.stack([random_.rand(len(truth)) < np.where(truth, b, a) for a, b in rates], axis=1).astype(float)
+    votes = np.concatenate([votes, votes[:, :1]], axis=1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = toxicity.fit_label_model(patterns, counts.astype(float), 0.1)
+    assert abs(model.share - 0.1) < 0.02
+    assert np.abs(model.fires[1][:3] - rates[:3, 1]).max() < 0.08
+    # A voter and its copy share their weight; an independent one keeps most of its own.
+    assert model.weight[0] < 0.6 < model.weight[1]
+
+
+def test_platt_gives_probabilities():
+    random_ = np.random.RandomState(0)
+    x = random_.randn(5_000)
+    y = (random_.rand(5_000) < sigmoid(2 * x - 1)).astype(float)
+    slope, shift = platt(x, y)
+    assert abs(slope - 2) < 0.2 and abs(shift + 1) < 0.2
+    assert platt(np.zeros(0), np.zeros(0))[0] == 0.0
+    assert platt(x, np.ones(5_000))[0] == 0.0
+
+
+def test_compression_dictionaries_tell_styles_apart(spark):
+    random.seed(1)
+    good = [" ".join(random.choice(("river", "stone", "valley", "morning", "light")) for _ in range(80)) for _ in range(150)]
+    bad = [" | ".join(random.choice(("$$$", "BUY!!", "cl1ck", "w1n")) for _ in range(80)) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(good + bad)]
+    told = labels_of(spark, [(i, int(i < 150), 0) for i in range(300)])
+    model = compression.fit_compression(frame(spark, rows), told, "doc_id", "text", "quality")
+    scores = {r["doc_id"]: r["score"] for r in compression.score_quality(frame(spark, rows), "doc_id", "text", model).collect()}
+    assert np.mean([(scores[i] > 0.5) == (i < 150) for i in range(300)]) > 0.97
+
+
+# Decontamination
+
+
+def edited(words, edits, vocabulary):
+    words = list(words)
+    for _ in range(edits):
+        at, kind = random.randrange(len(words)), random.randrange(3)
+        if kind == 0:
+            words[at] = random.choice(vocabulary)
+        elif kind == 1:
+            words.insert(at, random.choice(vocabulary))
+        else:
+            del words[at]
+    return words
+
+
+def test_passages(spark):
+    random.seed(11)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("", "n", "rt", "st")]
+    prose = lambda n: [random.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(prose(random.randint(8, 70)))) for i in range(60)]
+    rows, want = [], {}
+    for i, text in items:
+        words = text.split()
+        for kind, edits in enumerate((0, 0, decontaminate.allowed_edits(len(words)))):
+            body = edited(words, edits, vocabulary)
+            if kind == 1:
+                body = [w.upper() + "," for w in body]
+            doc = 10 * i + kind
+            rows.append((doc, " ".join(prose(random.randint(0, 200)) + body + prose(random.randint(0, 90)))))
+            want[doc] = i
+    clean = [(10_000 + i, " ".join(prose(300))) for i in range(150)]
+    odd = [(20_000, None), (20_001, ""), (None, items[0][1]), (20_002, items[1][1]), (20_002, items[1][1])]
+    benchmark = spark.createDataFrame([*items, (900, None), (901, "too short")], "item_id bigint, text string")
+    found = decontaminate.find_passages(
+        frame(spark, rows + clean + odd), "doc_id", "text", benchmark, "item_id", "text"
+    ).collect()
+    by_doc = {r["doc_id"]: {m["item"] for m in r["matches"]} for r in found}
+    hits = [want[d] in by_doc[d] for d in want]
+    exact = [want[d] in by_doc[d] for d in want if d % 10 < 2]
+    assert all(exact) and np.mean(hits) >= 0.95
+    assert not any(by_doc[d] for d, _ in clean)
+    assert not by_doc[20_000] and not by_doc[20_001] and by_doc[None] == {0} and by_doc[20_002] == {1}
+    assert len(found) == len(rows) + len(clean) + len(odd)
+    none = decontaminate.find_passages(frame(spark, []), "doc_id", "text", benchmark, "item_id", "text")
+    assert none.count() == 0
+    empty = decontaminate.find_passages(frame(spark, rows[:3]), "doc_id", "text", benchmark.limit(0), "item_id", "text")
+    assert [list(r["matches"]) for r in empty.collect()] == [[], [], []]
+
+
+def test_edit_span_is_the_best_span():
+    random.seed(4)
+
+    def distance(a, b, free):
+        row = [0 if free else j for j in range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row) if free else row[-1]
+
+    for _ in range(500):
+        item = [random.randint(1, 4) for _ in range(random.randint(1, 12))]
+        text = [random.randint(1, 5) for _ in range(random.randint(0, 16))]
+        edits, first, end = decontaminate.edit_span(item, text, 99)
+        assert edits == distance(item, text, True) == distance(item, text[first:end], False)
+
+
+# Components
+
+
+def test_components_of_chains_stars_and_pairs(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(500, 499), (7, 7)]
+    got = components(spark, spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    want = {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100), 499: 499, 500: 499}
+    assert sorted((r["node"], r["root"]) for r in got) == sorted(want.items())
+    assert components(spark, spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# Pipeline
+
+
+def write_tables(spark, folder, rows, labels, items):
+    frame(spark, rows).withColumnRenamed("n", "n_chars").selectExpr(
+        "* except (n_chars)", "cast(length(text) as bigint) as n_chars"
+    ).write.parquet(f"{folder}/documents.parquet")
+    labels_of(spark, labels).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_on_planted_cases(spark, folder):
+    random.seed(8)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in ("", "n", "rt", "st", "lm")]
+    prose = lambda n: " ".join(random.choice(vocabulary) for _ in range(n))
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 6 == 0
+        words = prose(120).split()
+        if toxic:
+            for k in range(4):
+                words[7 + 25 * k] = random.choice(("idiot", "moron", "scum", "loser", "zorgwort"))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    clean = {i for i in range(300) if i % 6}
+    rows += [(1000, rows[1][1]), (1001, rows[1][1].replace(rows[1][1].split()[50], "other", 1))]
+    passage, item = prose(150), prose(25)
+    rows += [(1100 + k, prose(40) + " " + passage + " " + prose(40)) for k in range(3)]
+    rows += [(1200, prose(50) + " " + item + " " + prose(50))]
+    rows += [(1300, None), (1301, ""), (1301, ""), (None, prose(30)), (1302, "é" * 900), (1303, "é" * 901)]
+    write_tables(spark, folder, rows, labels, [(1, item)])
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{folder}/{name}"
+        stage(spark, docs, folder).write.parquet(path)
+        docs = spark.read.parquet(path)
+        seen[name] = docs.collect()
+        if name != "encoding":
+            assert docs.columns == columns
+    ids = {name: [r["doc_id"] for r in found] for name, found in seen.items()}
+    assert not {i for i in range(0, 300, 6)} & set(ids["toxicity"])
+    assert clean <= set(ids["toxicity"])
+    assert {1000, 1001} & set(ids["near_duplicates"]) == set() and clean <= set(ids["near_duplicates"])
+    assert ids["near_duplicates"].count(1301) == 1
+    texts = {r["doc_id"]: r["text"] for r in seen["repeated_passages"]}
+    assert all(passage[50:-50] not in texts[1100 + k] and len(texts[1100 + k]) > 200 for k in range(3))
+    assert {r["doc_id"]: r["n_chars"] for r in seen["repeated_passages"] if r["text"]} == {d: len(t) for d, t in texts.items() if t}
+    assert 1200 not in ids["decontamination"] and clean <= set(ids["decontamination"])
+    assert sorted(map(repr, ids["encoding"])) == sorted(map(repr, ids["decontamination"]))
+    whole = corpus_pipeline.run(spark, folder)
+    assert sorted(repr(r["doc_id"]) for r in whole.collect()) == sorted(map(repr, ids["encoding"]))
+
+
+def test_pipeline_of_nothing(spark, folder):
+    write_tables(spark, folder, [], [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+@needs_tables
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+def test_queries_without_sql_return_every_document(spark, name):
+    folder = TABLES.replace("0.01", "0.001")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").count()
+    found = queries.QUERIES[name](spark, folder)
+    assert found.count() == docs == found.select("doc_id").distinct().count()
