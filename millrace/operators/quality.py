@@ -72,14 +72,18 @@ def typed_failures(df: DataFrame, row_key: str, checks: Sequence[Check]) -> Data
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
-    """Every record whose trimmed key occurs more than once.
+    """Every record whose trimmed key occurs more than once. All characters up to U+0020 are
+    trimmed.
 
     The count is pre-aggregated; the way back is a semi join, whose streamed side adaptive
     execution splits when one key dominates.
     """
-    counted = df.groupBy(F.trim(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    trimmed = df.withColumn("_trimmed", F.regexp_replace(key, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""))
+    counted = trimmed.groupBy(F.col("_trimmed").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
     repeated = counted.where("_n > 1").select("_key")
-    return df.join(repeated, F.trim(df[key]).eqNullSafe(repeated["_key"]), "left_semi")
+    return trimmed.join(
+        repeated, F.col("_trimmed").eqNullSafe(F.col("_key")), "left_semi"
+    ).drop("_trimmed")
 
 
 def orphans(df: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:

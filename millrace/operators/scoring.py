@@ -12,6 +12,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import (
     DoubleType,
@@ -43,7 +44,7 @@ def score(
     `features` are numeric columns in model order, or one array column. `load` runs once
     per task with `<mount>/<model_name>` and returns a function from an (n, k) float32
     matrix to an (n, m) matrix; `mount` must be readable on every executor. A batch the
-    model rejects is scored again record by record to find the bad ones. `start_time` is
+    model rejects is halved until the bad records are found. `start_time` is
     when the task loaded the model and `duration` the scoring time, both in milliseconds.
     """
     path = f"{mount.rstrip('/')}/{model_name}"
@@ -51,7 +52,12 @@ def score(
 
     def matrix(batch: pa.RecordBatch) -> np.ndarray:
         if isinstance(features, str):
-            return np.asarray(batch.column(features).to_pylist(), dtype=np.float32)
+            lists = batch.column(features)
+            lengths = set(pc.list_value_length(lists).to_pylist())
+            if len(lengths) == 1 and None not in lengths:
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                return flat.astype(np.float32).reshape(len(lists), -1)
+            return np.asarray(lists.to_pylist(), dtype=np.float32)
         columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in features]
         return np.stack(columns, axis=1).astype(np.float32)
 
@@ -64,19 +70,20 @@ def score(
             n = batch.num_rows
             values = np.full(n, empty_value, dtype=np.float64)
             errors, durations = [failure] * n, [0] * n
-            begin = _now()
-            try:
-                if model is not None and n:
-                    values[:] = np.argmax(_checked(model(matrix(batch)), n), axis=1)
-                    durations = [_now() - begin] * n
-            except Exception:
-                for i in range(n):
-                    begin = _now()
-                    try:
-                        values[i] = np.argmax(_checked(model(matrix(batch.slice(i, 1))), 1))
-                    except Exception as error:
-                        errors[i] = str(error)
-                    durations[i] = _now() - begin
+            spans = [(0, n)] if model is not None and n else []
+            while spans:
+                low, high = spans.pop()
+                size, begin = high - low, _now()
+                try:
+                    scores = _checked(model(matrix(batch.slice(low, size))), size)
+                    values[low:high] = np.argmax(scores, axis=1)
+                except Exception as error:
+                    if size > 1:
+                        middle = low + size // 2
+                        spans += [(low, middle), (middle, high)]
+                        continue
+                    errors[low] = str(error)
+                durations[low:high] = [_now() - begin] * size
             result = [
                 pa.array(values, pa.float64()),
                 pa.array(errors, pa.string()),

@@ -6,6 +6,7 @@ same on batch and streaming DataFrames and stays inside whole-stage code generat
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -117,18 +118,25 @@ def call_per_record(
 ) -> DataFrame:
     """Add the answer of a blocking call per record, `parallelism` calls in flight per task.
 
-    Answers keep record order. A call slower than `timeout` seconds fails the task, which
-    Spark retries. For lookups into data use a join; this is for black-box services.
+    Answers keep record order. A call that is not done `timeout` seconds after its turn fails the
+    task, which Spark retries; calls not yet begun are then cancelled. For lookups into data use a join; this is for black-box services.
     """
     schema = StructType([*df.schema.fields, StructField(output, output_type)])
     answer_type = to_arrow_type(output_type)
     names = list(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with ThreadPoolExecutor(parallelism) as pool:
+        pool = ThreadPoolExecutor(parallelism)
+        try:
             for batch in batches:
-                pending = [pool.submit(call, r) for r in batch.select(names).to_pylist()]
-                answers = [p.result(timeout) for p in pending]
+                pending, answers = deque(), []
+                for record in batch.select(names).to_pylist():
+                    if len(pending) == parallelism:
+                        answers.append(pending.popleft().result(timeout))
+                    pending.append(pool.submit(call, record))
+                answers += [p.result(timeout) for p in pending]
                 yield batch.append_column(output, pa.array(answers, answer_type))
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     return df.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.transforms import merge
 from millrace.sources.topics import Group, Topic, start
@@ -77,16 +78,27 @@ class Application:
         base: str,
         topics: Mapping[str, Topic],
         max_files_per_trigger: int | None = None,
-    ) -> None:
-        """Bring every stage up to date with its inlets, one streaming query per stage.
-
-        Calling it again continues from the checkpoints below `base`.
+        trigger: dict | None = None,
+    ) -> list[StreamingQuery]:
+        """One streaming query per stage; calling it again continues from the checkpoints below
+        `base`.
+
+        Without a trigger every stage is brought up to date with its inlets, producers first,
+        and the queries returned have ended. With one all stages run side by side until
+        stopped.
         """
+        queries = []
         for stage in self.stages:
             if stage.inlets:
-                self._stage_query(spark, stage, base, topics, max_files_per_trigger)
-
-    def _stage_query(self, spark, stage, base, topics, max_files_per_trigger) -> None:
+                query = self._stage_query(spark, stage, base, topics, max_files_per_trigger, trigger)
+                queries.append(query)
+                if trigger is None:
+                    query.awaitTermination()
+        return queries
+
+    def _stage_query(
+        self, spark, stage, base, topics, max_files_per_trigger, trigger
+    ) -> StreamingQuery:
         ports = list(stage.inlets)
         # One stream carries all inlets, each in its own struct column, so that a stage has
         # one checkpoint and its outlets are committed together.
@@ -111,4 +123,4 @@ class Application:
                 batch.unpersist()
 
         checkpoint = Group(base, self.name, stage.name, "+".join(ports)).checkpoint()
-        start(stream, each, checkpoint).awaitTermination()
+        return start(stream, each, checkpoint, trigger)

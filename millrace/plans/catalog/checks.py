@@ -54,8 +54,9 @@ def typed_validate(spark, folder):
 
 @query(
     "duplicate_keys",
-    """SELECT doc_id, sha256(trim(text)) IS NOT NULL AS has_text FROM documents WHERE trim(text) IN
-       (SELECT trim(text) FROM documents GROUP BY trim(text) HAVING count(*) > 1)""",
+    r"""WITH trimmed AS (SELECT *, regexp_replace(text, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS t FROM documents)
+       SELECT doc_id, sha256(t) IS NOT NULL AS has_text FROM trimmed WHERE t IN
+       (SELECT t FROM trimmed GROUP BY t HAVING count(*) > 1)""",
 )
 def duplicate_keys(spark, folder):
     """Documents whose text occurs more than once; digests stand in for the long texts."""

@@ -29,7 +29,8 @@ def topic_read_committed(spark, folder):
     source = topic_for(spark, events, "source", key="user_id")
     out = topic_for(spark, events, "copy", key="user_id")
     checkpoint = Group(scratch(spark, "groups"), "copy", "reader", "in").checkpoint()
-    for producer, part in (("early", F.col("value") < 50), ("late", F.col("value") >= 50)):
+    early = F.coalesce(F.col("value") < 50, F.lit(False))
+    for producer, part in (("early", early), ("late", ~early)):
         source.write(events.where(part), producer)
         stream = source.read_stream(spark, max_files_per_trigger=4)
         write_stream(stream, out, checkpoint, "reader").awaitTermination()
@@ -91,9 +92,10 @@ def consumer_groups(spark, folder):
         checkpoint = Group(base, "app", name, "in").checkpoint()
         write_stream(source.read_stream(spark), outs[name], checkpoint, name).awaitTermination()
 
-    source.write(events.where(F.col("user_id") < 40), "one")
+    first_part = F.coalesce(F.col("user_id") < 40, F.lit(False))
+    source.write(events.where(first_part), "one")
     consume("first")
-    source.write(events.where(F.col("user_id") >= 40), "two")
+    source.write(events.where(~first_part), "two")
     consume("second")
     consume("first")
     return merge(*[o.read(spark).select(F.lit(n).alias("consumer"), "*") for n, o in outs.items()])

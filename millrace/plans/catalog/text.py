@@ -92,13 +92,14 @@ def _land(spark, folder):
         F.struct(*EVENT.names, F.lit('} "{" \\').alias("note"), F.struct("value").alias("inner"))
     )
     spread = F.regexp_replace(note, r',"', ',\n"')
-    events.where("event_type IN ('view', 'click')").select(body).write.text(f"{path}/lines")
-    events.where("event_type IN ('error', 'signup')").select(body).write.option(
-        "lineSep", " "
-    ).text(f"{path}/row")
-    events.where("event_type = 'purchase'").select(spread).write.option("lineSep", ",\n").text(
-        f"{path}/spread"
+    # Exhaustive: types of other names, and none, are spread as well.
+    layout = (
+        F.when(F.col("event_type").isin("view", "click"), "lines")
+        .when(F.col("event_type").isin("error", "signup"), "row")
+        .otherwise("spread")
     )
+    for name, column, between in (("lines", body, "\n"), ("row", body, " "), ("spread", spread, ",\n")):
+        events.where(layout == name).select(column).write.option("lineSep", between).text(f"{path}/{name}")
     return path
 
 

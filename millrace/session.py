@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,7 +55,32 @@ def workspace(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; never handed out twice."""
-    return f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    getattr(_open, "paths", []).append(path)
+    return path
+
+
+_open = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what the calling thread gets from `scratch` inside the block when it ends."""
+    before, _open.paths = getattr(_open, "paths", []), []
+    try:
+        yield
+    finally:
+        for path in _open.paths:
+            delete_path(spark, path)
+        _open.paths = before
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to scratch and read back: its rows stay as they are, and are removed with
+    the scratch folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _own_scratch(spark: SparkSession) -> str:
@@ -75,6 +103,21 @@ def make_dirs(spark: SparkSession, path: str) -> str:
     return path
 
 
+def move_path(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder; False if the target is there already."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    files = make(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(make(target).getParent())
+    return not files.exists(make(target)) and files.rename(make(source), make(target))
+
+
+def list_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a glob pattern, as URIs write them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().toUri().getRawPath() for status in found or []]
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -11,7 +11,7 @@ from pyspark.sql.window import WindowSpec
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from millrace.functions.codec import decode_dead_letter, decode_skip
-from millrace.sources.topics import start
+from millrace.sources.topics import ANY_AGE, start
 
 BIG_FILE = 256 * 1024 * 1024
 """Files above this size are framed block by block instead of file by file."""
@@ -36,7 +36,7 @@ def stream_json_pieces(
     spark: SparkSession, path: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
     """As `read_json_pieces`, each file once; frame the pieces inside `foreachBatch`."""
-    reader = spark.readStream.option("lineSep", "}")
+    reader = spark.readStream.option("lineSep", "}").option("maxFileAge", ANY_AGE)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.text(path).selectExpr(*_SCAN)
@@ -188,18 +188,34 @@ def delimited_schema(columns: list[str]) -> StructType:
     return StructType([StructField(c, DoubleType()) for c in columns])
 
 
-def read_delimited(
-    spark: SparkSession, path: str, columns: list[str], datatype: str = "wine", sep: str = ";"
-) -> DataFrame:
-    """Numeric records by position, values trimmed, plus a defaulted `datatype` column."""
-    rows = (
-        spark.read.schema(delimited_schema(columns))
-        .option("sep", sep)
+def _delimited(spark: SparkSession, sep: str):
+    return (
+        spark.read.option("sep", sep)
         .option("ignoreLeadingWhiteSpace", "true")
         .option("ignoreTrailingWhiteSpace", "true")
-        .csv(path)
     )
-    return rows.select(F.lit(datatype).alias("datatype"), *columns)
+
+
+def read_delimited(
+    spark: SparkSession, path: str, columns: list[str], datatype: str = "wine", sep: str = ";"
+) -> DataFrame:
+    """Numeric records by position, values trimmed, plus a defaulted `datatype` column. A line
+    with a malformed number or too few or too many fields fails the read."""
+    reader = _delimited(spark, sep).schema(delimited_schema(columns)).option("mode", "FAILFAST")
+    return reader.csv(path).select(F.lit(datatype).alias("datatype"), *columns)
+
+
+def split_delimited(
+    spark: SparkSession, path: str, columns: list[str], datatype: str = "wine", sep: str = ";"
+) -> tuple[DataFrame, DataFrame]:
+    """(records as `read_delimited` gives them, malformed lines as `line`)."""
+    schema = delimited_schema(columns).add("_line", "string")
+    reader = _delimited(spark, sep).schema(schema).option("columnNameOfCorruptRecord", "_line")
+    rows = reader.csv(path)
+    good = rows.where("_line IS NULL").select(F.lit(datatype).alias("datatype"), *columns)
+    # Naming all columns keeps the parser from skipping those that show a line is malformed.
+    bad = rows.where("_line IS NOT NULL").select(F.col("_line").alias("line"), F.struct(*columns).alias("_f"))
+    return good, bad.where("_f IS NOT NULL").select("line")
 
 
 def read_bytes(spark: SparkSession, path: str, value: str = "value") -> DataFrame:

@@ -1,8 +1,9 @@
 """Topics: typed, append-only Parquet directories that connect stages.
 
-Layout: `<path>/producer=<name>/batch_id=<id>/*.parquet`. A producer overwrites its own
-`batch_id` folder, so writing a micro-batch twice leaves one copy of it. Readers list the
-files below `<path>` and ignore the folder names.
+Layout: `<path>/producer=<name>/batch_id=<id>/*.parquet`. A batch is written to a hidden folder
+and published by renaming it, so readers see a batch whole or not at all, and one that is
+published twice is there once. The rename is one step on HDFS and local disks; an object store
+needs a committer that makes it so. Readers list the files below `<path>`.
 
 Each record carries `_key` (text of the partitioning column, NULL without one) and
 `_partition`. Records of one key share a partition number; a partition with much data is
@@ -11,7 +12,6 @@ spread over several files, so a hot key never becomes one task's work.
 
 from __future__ import annotations
 
-import time
 import uuid
 from dataclasses import dataclass
 
@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from millrace.session import make_dirs, path_exists
+from millrace.session import delete_path, list_folders, make_dirs, move_path, path_exists
+
+ANY_AGE = "36500d"
+"""Spark's file source leaves out files much older than the newest one it has seen; this is
+longer than any file's age, so none is left out. The source then remembers every path it took."""
 
 KEY = "_key"
 PARTITION = "_partition"
@@ -67,17 +71,20 @@ class Topic:
     ) -> DataFrame:
         """The topic as a stream. Where it resumes is up to the checkpoint of the query.
 
-        `latest` passes only files that land from now on; Spark prunes the others by their
-        modification time without opening them. The driver's clock decides what "now" is.
+        `latest` passes only batches published from now on, whenever they were written: the
+        folders that are there now are noted, and Spark prunes their files by path unopened.
         """
         make_dirs(spark, self.path)
         reader = spark.readStream.schema(self.stored).option("recursiveFileLookup", "true")
+        reader = reader.option("maxFileAge", ANY_AGE)
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
         stream = reader.parquet(self.path)
         if position == "latest":
-            start = F.timestamp_millis(F.lit(int(time.time() * 1000)))
-            stream = stream.where(F.col("_metadata.file_modification_time") > start)
+            published = list_folders(spark, f"{self.path}/producer=*/batch_id=*")
+            names = ["/".join(p.rsplit("/", 2)[1:]) for p in published]
+            folder = F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)/[^/]+$", 1)
+            stream = stream.where(~folder.isin(names)) if names else stream
         elif position != "earliest":
             raise ValueError(f"unknown position: {position}")
         return self._columns(stream, with_key)
@@ -106,12 +113,25 @@ class Topic:
 
     def write_batch(self, df: DataFrame, producer: str, batch_id: int | str) -> None:
         """Write a micro-batch; a replay of a committed one changes nothing."""
-        target = f"{self.path}/producer={producer}/batch_id={batch_id}"
-        if path_exists(df.sparkSession, f"{target}/_SUCCESS"):
+        if path_exists(df.sparkSession, self._folder(producer, batch_id)):
             # Run it all the same: stateful operators upstream must see each batch through.
             df.write.format("noop").mode("overwrite").save()
             return
-        self.arranged(df).write.mode("overwrite").parquet(target)
+        self.publish(df.sparkSession, self.stage(df), producer, batch_id)
+
+    def _folder(self, producer: str, batch_id: int | str) -> str:
+        return f"{self.path}/producer={producer}/batch_id={batch_id}"
+
+    def stage(self, df: DataFrame) -> str:
+        """Write records where no reader looks; returns the folder to `publish`."""
+        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        self.arranged(df).write.parquet(staged)
+        return staged
+
+    def publish(self, spark: SparkSession, staged: str, producer: str, batch_id: int | str) -> None:
+        """Show a staged batch to readers; one that is published already stays as it is."""
+        if not move_path(spark, staged, self._folder(producer, batch_id)):
+            delete_path(spark, staged)
 
 
 @dataclass(frozen=True)
@@ -159,12 +179,12 @@ def write_stream_plain(stream: DataFrame, topic: Topic, scratch: str) -> Streami
     return write_stream(stream, topic, f"{scratch}/{run}", f"plain-{run}")
 
 
-def drain(stream: DataFrame, checkpoint: str) -> StreamingQuery:
+def drain(stream: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Commit-only sink: read and drop, advance the offsets."""
     return (
         stream.writeStream.format("noop")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ def write_two_stream(
     second: Topic,
     checkpoint: str,
     producer: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Divide each micro-batch over two topics; offsets are committed after both writes.
 
@@ -41,7 +42,7 @@ def write_two_stream(
         finally:
             batch.unpersist()
 
-    return start(stream, each, checkpoint)
+    return start(stream, each, checkpoint, trigger)
 
 
 def write_files_and_pass(
@@ -51,6 +52,7 @@ def write_files_and_pass(
     onward: Topic,
     checkpoint: str,
     producer: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write the text of `line` (a SQL expression) to files and pass the records on."""
 
@@ -63,16 +65,30 @@ def write_files_and_pass(
         finally:
             batch.unpersist()
 
-    return start(stream, each, checkpoint)
+    return start(stream, each, checkpoint, trigger)
 
 
-def log_lines(stream: DataFrame, line: str, checkpoint: str) -> StreamingQuery:
-    """Print a text expression of each record on the driver's console (a debugging sink)."""
-    return (
-        stream.select(F.expr(line).alias("line"))
-        .writeStream.format("console")
-        .option("truncate", "false")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def print_lines(lines: Iterator[str]) -> None:
+    for line in lines:
+        print(line, flush=True)
+
+
+def log_lines(
+    stream: DataFrame,
+    line: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    log: Callable[[Iterator[str]], None] = print_lines,
+) -> StreamingQuery:
+    """Log a text expression of every record. Each task logs its own records, by default on
+    the output of its executor; nothing passes through the driver."""
+
+    def lines(batches):
+        log(x for batch in batches for x in batch.column(0).to_pylist())
+        return iter(())
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        text = batch.select(F.expr(line).cast("string").alias("line"))
+        text.mapInArrow(lines, text.schema).write.format("noop").mode("overwrite").save()
+
+    return start(stream, each, checkpoint, trigger)
