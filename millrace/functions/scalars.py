@@ -41,7 +41,7 @@ FALSE_WORDS = ("false", "no", "off")
 _NUMBER_AND_UNIT = (
     r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*([a-zA-Z]*)\s*\z"
 )
-_WHOLE = "[+-]?[0-9]+"
+_FRACTION = "[.eE]"
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -100,10 +100,10 @@ def _quantity(text: Column, units: dict[str, int], result: Callable[[Column, Col
     """`result(number text, factor)` of a number with a unit; NULL where either is missing."""
     pairs = ", ".join(f"'{name}', {size}BD" for name, size in units.items())
     factors = F.expr(f"map({pairs})").cast("map<string, decimal(25,0)>")
+    # Text that is no number with a unit has the empty number, which no cast accepts.
     number = F.regexp_extract(text, _NUMBER_AND_UNIT, 1)
     unit = F.regexp_extract(text, _NUMBER_AND_UNIT, 2)
-    parts = F.struct(number.alias("number"), F.try_element_at(factors, unit).alias("factor"))
-    return once(parts, lambda p: F.when(p["number"] != "", result(p["number"], p["factor"])))
+    return result(number, F.try_element_at(factors, unit))
 
 
 def duration_nanos(text: Column) -> Column:
@@ -114,7 +114,7 @@ def duration_nanos(text: Column) -> Column:
     def nanos(number: Column, factor: Column) -> Column:
         whole = F.try_multiply(number.try_cast("long"), factor.cast("long"))
         fraction = (number.try_cast("double") * factor.cast("double")).try_cast("long")
-        return F.when(matches(number, _WHOLE), whole).otherwise(fraction)
+        return F.when(number.rlike(_FRACTION), fraction).otherwise(whole)
 
     return _quantity(text, units, nanos)
 
@@ -145,7 +145,7 @@ def memory_bytes(text: Column) -> Column:
     def size(number: Column, factor: Column) -> Column:
         whole = F.try_multiply(number.try_cast("decimal(20,0)"), factor).try_cast(wide)
         fraction = (number.try_cast("double") * factor.cast("double")).try_cast(wide)
-        bytes_ = F.when(matches(number, _WHOLE), whole).otherwise(fraction)
+        bytes_ = F.when(number.rlike(_FRACTION), fraction).otherwise(whole)
         return F.when(~number.startswith("-"), bytes_)
 
     return _quantity(text, _size_units(), size)
@@ -200,7 +200,13 @@ def _trimmed(label: Column) -> Column:
 
 
 def dns_label(text: Column) -> Column:
-    return _trimmed(F.substring(_normalized(text), 1, LABEL_LENGTH))
+    # Normalizing works character by character, so a beginning that yields a whole label settles it;
+    # only where it does not, the rest of the text is looked at.
+    beginning = _normalized(F.substring(text, 1, 4 * LABEL_LENGTH))
+    enough = F.length(beginning) >= LABEL_LENGTH
+    return _trimmed(
+        F.substring(F.when(enough, beginning).otherwise(_normalized(text)), 1, LABEL_LENGTH)
+    )
 
 
 def dns_subdomain(text: Column) -> Column:

@@ -16,7 +16,8 @@ from millrace.plans.catalog.registry import (
     topic_for,
 )
 from millrace.sources.landing import bytes_schema, read_bytes
-from millrace.sources.topics import Group, Topic, start, write_stream, write_stream_plain
+from millrace.sources.topics import Group, Topic, drain, start, write_stream, write_stream_plain
+from millrace.streaming.sinks import write_files_and_pass, write_two_stream
 from millrace.streaming.stateful import stream_deduplicated
 
 EVENTS = "SELECT * FROM events"
@@ -49,6 +50,59 @@ def topic_read_latest(spark, folder):
     return out.read(spark)
 
 
+@query("drain_and_resume", "SELECT * FROM events WHERE coalesce(value, 50) >= 50")
+def drain_and_resume(spark, folder):
+    """A commit-only consumer passes over what is there; its successor sees only what follows."""
+    events = table(spark, folder, "events")
+    source, out = topic_for(spark, events, "source"), topic_for(spark, events, "resumed")
+    checkpoint = Group(scratch(spark, "groups"), "drain", "reader", "in").checkpoint()
+    early = F.coalesce(F.col("value") < 50, F.lit(False))
+    source.write(events.where(early), "early")
+    drain(source.read_stream(spark), checkpoint).awaitTermination()
+    source.write(events.where(~early), "late")
+    write_stream(source.read_stream(spark), out, checkpoint, "reader").awaitTermination()
+    return out.read(spark)
+
+
+@query("files_and_pass", "SELECT event_id, 'file' AS place FROM events UNION ALL SELECT event_id, 'topic' FROM events")
+def files_and_pass(spark, folder):
+    """Every record as a line of a file and onward in a topic."""
+    source = loaded_topic(spark, folder, "events")
+    lines, onward = scratch(spark, "mount"), Topic(scratch(spark, "onward"), source.schema)
+    stream = source.read_stream(spark, max_files_per_trigger=4)
+    write_files_and_pass(
+        stream, "cast(event_id as string)", lines, onward, scratch(spark, "writer"), "writer"
+    ).awaitTermination()
+    written = spark.read.option("recursiveFileLookup", "true").text(lines)
+    return written.select(F.col("value").cast("long").alias("event_id"), F.lit("file").alias("place")).unionByName(
+        onward.read(spark).select("event_id", F.lit("topic").alias("place"))
+    )
+
+
+@query(
+    "exploded_write_unit",
+    """SELECT event_id, 'digit' AS side, CAST(c AS VARCHAR) AS part FROM (SELECT event_id, unnest(string_split(CAST(event_id AS VARCHAR), '')) AS c FROM events)
+       UNION ALL SELECT event_id, 'word', unnest(string_split(event_type, '_')) FROM events""",
+)
+def exploded_write_unit(spark, folder):
+    """Each record becomes several messages on two topics, written under one commit."""
+    events = table(spark, folder, "events").select("event_id", "event_type")
+    source = topic_for(spark, events, "source")
+    source.write(events)
+    shape = spark.createDataFrame([], "event_id long, part string")
+    sides = {name: topic_for(spark, shape, name) for name in ("digit", "word")}
+
+    def divide(batch):
+        digits = F.explode(F.split(F.col("event_id").cast("string"), ""))
+        words = F.explode(F.split("event_type", "_"))
+        return batch.select("event_id", digits.alias("part")), batch.select("event_id", words.alias("part"))
+
+    write_two_stream(
+        source.read_stream(spark), divide, sides["digit"], sides["word"], scratch(spark, "unit"), "unit"
+    ).awaitTermination()
+    return merge(*[t.read(spark).select("event_id", F.lit(n).alias("side"), "part") for n, t in sides.items()])
+
+
 @query("topic_read_earliest", f"{EVENTS} UNION ALL {EVENTS}")
 def topic_read_earliest(spark, folder):
     """A plain reader restarted once: each start reads everything again."""

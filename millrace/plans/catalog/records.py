@@ -42,6 +42,47 @@ def sensor_flow(spark, folder):
     return topics["valid-metrics"]
 
 
+BALANCES = {"ids": ("c_custkey",), "measures": {"balance": "c_acctbal", "nation": "c_nationkey"}}
+_CHECKED_SQL = " UNION ALL ".join(
+    f"""SELECT c_custkey, '{name}' AS name, {column}::DOUBLE AS value,
+        CASE WHEN {column} >= 0 THEN 'valid' ELSE 'invalid' END AS outlet FROM customer"""
+    for name, column in BALANCES["measures"].items()
+)
+
+
+def _outlets(valid, invalid):
+    columns = ["c_custkey", "name", "value"]
+    return valid.select(*columns, F.lit("valid").alias("outlet")).unionByName(
+        invalid.select(*[F.col(f"metric.{c}").alias(c) for c in columns], F.lit("invalid").alias("outlet"))
+    )
+
+
+def _signed_measures(spark, folder):
+    return table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("long").alias("c_custkey"),
+        F.col("c_acctbal").cast("double").alias("c_acctbal"),
+        F.col("c_nationkey").cast("double").alias("c_nationkey"),
+    )
+
+
+@query("sensor_flow_checked", _CHECKED_SQL)
+def sensor_flow_checked(spark, folder):
+    """The flow over a table with negative values: both outlets."""
+    topics = turbine_application(BALANCES).run_batch(spark, {"sensor-data": _signed_measures(spark, folder)})
+    return _outlets(topics["valid-metrics"], topics["invalid-metrics"])
+
+
+@query("pipeline_sensor", _CHECKED_SQL)
+def pipeline_sensor(spark, folder):
+    """The same as streams: every stage a query of its own, both outlets topics."""
+    balances = _signed_measures(spark, folder)
+    batch = turbine_application(BALANCES).run_batch(spark, {"sensor-data": balances})
+    topics = {name: topic_for(spark, frame, name) for name, frame in batch.items()}
+    topics["sensor-data"].write(balances)
+    turbine_application(BALANCES).run_stream(spark, scratch(spark, "application"), topics)
+    return _outlets(topics["valid-metrics"].read(spark), topics["invalid-metrics"].read(spark))
+
+
 @query("unpivot_metrics", _UNPIVOT_SQL)
 def unpivot_metrics(spark, folder):
     return transforms.unpivot(table(spark, folder, "lineitem"), **LINE_MEASURES)

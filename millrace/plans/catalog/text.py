@@ -70,16 +70,55 @@ def decode_dead_letter(spark, folder):
 
 @query(
     "landing_accept_reject",
-    "SELECT event_type <> 'error' AS accepted, count(*) AS bodies FROM events GROUP BY ALL",
+    "SELECT event_id, coalesce(event_type, '') <> 'error' AS accepted FROM events",
 )
 def landing_accept_reject(spark, folder):
     path = scratch(spark, "bodies")
     _bodies(spark, folder).write.text(path)
     accepted, rejected = landing.accept_bodies(landing.read_bodies(spark, path), "body", EVENT)
-    both = accepted.select(F.lit(True).alias("accepted")).unionByName(
-        rejected.select(F.lit(False).alias("accepted"))
+    return _verdicts(accepted, rejected)
+
+
+def _verdicts(accepted, rejected):
+    """Every record by its id, and whether it was accepted; a reject's id is read off its text."""
+    number = F.regexp_extract("body", r'"event_id":(\d+)', 1).cast("long")
+    return accepted.select("event_id", F.lit(True).alias("accepted")).unionByName(
+        rejected.select(number.alias("event_id"), F.lit(False).alias("accepted"))
+    )
+
+
+_DAMAGED = "SELECT event_id, event_id % 13 <> 0 AS accepted FROM events"
+
+
+def _land_damaged(spark, folder):
+    """Events one per line; every 13th is cut short in the middle of its file."""
+    events = table(spark, folder, "events")
+    body = codec.encode(EVENT.names)
+    short = body.substr(F.lit(1), F.length(body) - 4)
+    path = scratch(spark, "damaged")
+    events.select(F.when(F.col("event_id") % 13 == 0, short).otherwise(body)).write.text(path)
+    return path
+
+
+@query("json_framing_damaged", _DAMAGED)
+def json_framing_damaged(spark, folder):
+    return _verdicts(*landing.ingest_json_checked(spark, _land_damaged(spark, folder), EVENT))
+
+
+@query("dir_json_ingest_damaged", _DAMAGED)
+def dir_json_ingest_damaged(spark, folder):
+    """The same as a stream with an outlet for rejects."""
+    out = topic_for(spark, spark.createDataFrame([], EVENT), "accepted")
+    dead = topic_for(
+        spark, spark.createDataFrame([], "path string, position long, body string, reason string"), "rejected"
     )
-    return both.groupBy("accepted").agg(F.count(F.lit(1)).alias("bodies"))
+    landing.ingest_json_stream(
+        spark, _land_damaged(spark, folder), EVENT,
+        lambda records, batch_id: out.write_batch(records, "ingress", batch_id),
+        scratch(spark, "ingress"), max_files_per_trigger=4,
+        rejects=lambda frame, batch_id: dead.write_batch(frame, "ingress", batch_id),
+    ).awaitTermination()
+    return _verdicts(out.read(spark), dead.read(spark))
 
 
 def _land(spark, folder):

@@ -18,7 +18,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    IntegerType,
+    MapType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from millrace.session import delete_path, list_folders, make_dirs, move_path, path_exists
 
@@ -35,6 +43,17 @@ def partition_of(key: Column, partitions: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
 
 
+def optional(kind: DataType) -> DataType:
+    """The type with everything inside it nullable, as Parquet gives it back."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, optional(f.dataType)) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        return ArrayType(optional(kind.elementType))
+    if isinstance(kind, MapType):
+        return MapType(optional(kind.keyType), optional(kind.valueType))
+    return kind
+
+
 @dataclass(frozen=True)
 class Topic:
     """`key` names the partitioning column; without one records are dealt out evenly."""
@@ -48,7 +67,7 @@ class Topic:
     def stored(self) -> StructType:
         return StructType(
             [
-                *[StructField(f.name, f.dataType) for f in self.schema.fields],
+                *[StructField(f.name, optional(f.dataType)) for f in self.schema.fields],
                 StructField(KEY, StringType()),
                 StructField(PARTITION, IntegerType()),
             ]
@@ -97,7 +116,9 @@ class Topic:
 
     def arranged(self, df: DataFrame) -> DataFrame:
         """Records with key and partition, laid out for writing."""
-        rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+        rows = df.select(
+            *[F.col(f.name).cast(optional(f.dataType)).alias(f.name) for f in self.schema.fields]
+        )
         if self.key is None:
             # Each writing task deals its records out in turn; nothing is shuffled.
             turn = F.pmod(F.monotonically_increasing_id(), F.lit(self.partitions)).cast("int")
