@@ -59,7 +59,8 @@ def frame_json_checked(pieces: DataFrame, big_file: int = BIG_FILE) -> FramedJso
 
     A file is damaged if its strings or braces do not balance, or close before they open. Those are
     read again in segments that begin where a line begins with `{`, so that one bad record costs
-    itself and not what follows; what remains unframed is rejected, never dropped. Sound files
+    itself and not what follows; what remains unframed is rejected, never dropped (but for
+    separators, and a lone brace that ends the file). Sound files
     are framed as by `frame_json`. Finding the damaged ones is a job that runs here; their
     names return to the driver, not their text.
     """
@@ -333,34 +334,37 @@ def delimited_schema(columns: list[str]) -> StructType:
     return StructType([StructField(c, DoubleType()) for c in columns])
 
 
-def _delimited(spark: SparkSession, sep: str):
-    return (
-        spark.read.option("sep", sep)
-        .option("ignoreLeadingWhiteSpace", "true")
-        .option("ignoreTrailingWhiteSpace", "true")
-    )
-
-
 def read_delimited(
     spark: SparkSession, path: str, columns: list[str], datatype: str = "wine", sep: str = ";"
 ) -> DataFrame:
     """Numeric records by position, values trimmed, plus a defaulted `datatype` column. A line
     with a malformed number or too few or too many fields fails the read."""
-    reader = _delimited(spark, sep).schema(delimited_schema(columns)).option("mode", "FAILFAST")
-    return reader.csv(path).select(F.lit(datatype).alias("datatype"), *columns)
+    rows = (
+        spark.read.schema(delimited_schema(columns))
+        .option("sep", sep)
+        .option("ignoreLeadingWhiteSpace", "true")
+        .option("ignoreTrailingWhiteSpace", "true")
+        .option("mode", "FAILFAST")
+        .csv(path)
+    )
+    return rows.select(F.lit(datatype).alias("datatype"), *columns)
 
 
 def split_delimited(
     spark: SparkSession, path: str, columns: list[str], datatype: str = "wine", sep: str = ";"
 ) -> tuple[DataFrame, DataFrame]:
-    """(records as `read_delimited` gives them, malformed lines as `line`)."""
-    schema = delimited_schema(columns).add("_line", "string")
-    reader = _delimited(spark, sep).schema(schema).option("columnNameOfCorruptRecord", "_line")
-    rows = reader.csv(path)
-    good = rows.where("_line IS NULL").select(F.lit(datatype).alias("datatype"), *columns)
-    # Naming all columns keeps the parser from skipping those that show a line is malformed.
-    bad = rows.where("_line IS NOT NULL").select(F.col("_line").alias("line"), F.struct(*columns).alias("_f"))
-    return good, bad.where("_f IS NOT NULL").select("line")
+    """(records, malformed lines as `line`). Fields are unquoted; an empty one is NULL, a blank
+    line is none."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    fields = F.transform(F.split("value", re.escape(sep), -1), lambda f: F.trim(f))
+    rows = lines.select(
+        F.col("value").alias("line"), fields.alias("f"), F.transform(fields, lambda f: f.try_cast("double")).alias("n")
+    )
+    unread = F.exists(F.zip_with("f", "n", lambda f, n: (f != "") & n.isNull()), lambda x: x)
+    sound = (F.size("f") == len(columns)) & ~unread
+    values = [F.try_element_at("n", F.lit(i + 1)).alias(c) for i, c in enumerate(columns)]
+    good = rows.where(sound).select(F.lit(datatype).alias("datatype"), *values)
+    return good, rows.where(~sound).select("line")
 
 
 def read_bytes(spark: SparkSession, path: str, value: str = "value") -> DataFrame:
