@@ -24,6 +24,10 @@ from millrace.llm.sampling import labelled_sample, platt, sigmoid
 SAMPLE = 5_000
 """Labelled documents the lexicons, the classifier and its calibration are fitted on."""
 
+MISS_COST = 4
+"""A toxic document that passes counts as so many clean ones that are stopped: scores are shifted so
+that 0.5 is where the two risks are equal."""
+
 PREFIXES = (4, 5, 6)
 MIN_SUPPORT = 4
 MAX_TERMS = 150_000
@@ -270,7 +274,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, row_id: str, text: str, lab
     posterior = sigmoid(model.log_odds(votes)) if len(own) else np.zeros(0)
     weights, dense, offset, margins = _train(documents, votes, posterior)
     slope, shift = platt(margins, truth) if len(truth) else (1.0, -2.0)
-    return ToxicityModel(voters, model, weights, dense, offset, slope, shift)
+    return ToxicityModel(voters, model, weights, dense, offset, slope, shift + float(np.log(MISS_COST)))
 
 
 def _train(documents, votes, posterior, rounds: int = 80):
