@@ -21,11 +21,13 @@ from millrace.llm.sampling import labelled_sample, platt, sigmoid
 SAMPLE = 6_000
 """Labelled documents; half build the dictionaries, half calibrate."""
 
-DICTIONARY_BYTES = 256 << 10
+DICTIONARY_BYTES = 1 << 20
+"""Of each of the two; they are sent to every task."""
+
 BLOCK = 1024
 """Bytes of one compressed block; every byte of a text is in one."""
 
-LEVEL = 3
+LEVEL = 9
 SAMPLE_BYTES = 16 << 10
 """Of one sample document, so many bytes from evenly spread blocks may enter a dictionary."""
 
