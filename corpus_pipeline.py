@@ -38,9 +38,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     that repeat a document, id and text, count as one; rows that share only an id stay or go by their id."""
     about = stored(spark, jaccard_classes(spark, docs, "doc_id", "text")[0], "classes")
     stay = about.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_stay"))
-    kept = docs.join(
-        stay.distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi"
-    )
+    stay = stay.distinct().hint("shuffle_hash")
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
     repeated = about.groupBy("doc_id").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
@@ -51,11 +50,13 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     cut = remove_repeats(spark, docs, "doc_id", "text", as_text=True).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept")
     )
-    cut = stored(spark, cut.dropDuplicates(["_id", "_key"]), "cut")
-    same = (F.xxhash64(docs["text"]) == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id"))
-    text = F.when(F.col("_key").isNull(), docs["text"]).otherwise(F.col("_kept"))
-    made = {"text": text, "n_chars": F.when(F.col("_key").isNull(), F.col("n_chars")).otherwise(F.length("_kept"))}
-    return docs.join(cut.hint("shuffle_hash"), same, "left").select(
+    cut = stored(spark, cut.dropDuplicates(["_id", "_key"]), "cut").hint("shuffle_hash")
+    same = (F.xxhash64(docs["text"]) == cut["_key"]) & docs["doc_id"].eqNullSafe(cut["_id"])
+    whole = cut["_key"].isNull()
+    made = {"text": F.when(whole, docs["text"]).otherwise(cut["_kept"])}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(whole, docs["n_chars"]).otherwise(F.length(cut["_kept"]))
+    return docs.join(cut, same, "left").select(
         *[
             (made[c].cast(kind) if c in made else docs[c]).alias(c)
             for c, kind in ((f.name, f.dataType) for f in docs.schema)
