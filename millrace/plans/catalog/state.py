@@ -140,6 +140,24 @@ def stream_running_means(spark, folder):
     return out.read(spark)
 
 
+@query("running_mean_latest", _MEANS.replace("FROM events)", "FROM events WHERE coalesce(value, 50) >= 50)"))
+def running_mean_latest(spark, folder):
+    """Keyed state over a plain reader: it starts at the end of the topic, its positions and its state
+    are thrown away with the run."""
+    events = table(spark, folder, "events")
+    source = topic_for(spark, events, "sharded", key="user_id")
+    early = F.coalesce(F.col("value") < 50, F.lit(False))
+    source.write(events.where(early), "before")
+    stream = _speeds(source.read_stream(spark, position="latest"))
+    source.write(events.where(~early), "after")
+    shape = "user_id long, event_id long, event_type string, mean double, records long"
+    out = topic_for(spark, spark.createDataFrame([], shape), "means", key="user_id")
+    stream_running_mean(
+        stream, ["user_id"], ORDER, "speed", out, scratch(spark, "plain"), "mean", ["event_type"]
+    ).awaitTermination()
+    return out.read(spark)
+
+
 _CALLS = """SELECT make_timestamp(epoch_us(ts) // 420000000 * 420000000) AS window_start,
         make_timestamp(epoch_us(ts) // 420000000 * 420000000 + 420000000) AS window_end,
         count(*) AS calls, sum(CAST(floor(value) AS BIGINT))::BIGINT AS total_duration,
