@@ -29,6 +29,10 @@ PIECE = 1024
 BLOCK_BYTES = 3 << 20
 """Mean text of a block."""
 
+MANY = 1_000
+"""Different pieces of one number that may meet in a block; more are first cut down to the windows
+they share. Both ways mark the same windows."""
+
 SEEN = 100_000
 """Pieces a task remembers to send equal ones once."""
 
@@ -236,11 +240,15 @@ def repeated_spans(
         wanted.hint("shuffle_hash"), (F.col("_key") == F.col("_wkey")) & F.col("_id").eqNullSafe(F.col("_wid"))
     ).select("_id", "_key", "_text", "_numbers")
     cut = stored(spark, _pieces(held, kind, gram, length), "pieces")
-    blocks = 1 + (cut.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // BLOCK_BYTES
-    bodies = cut.where("body is not null").select(
-        F.pmod(F.xxhash64("number"), F.lit(blocks)).alias("block"), "number", "piece", "body"
-    )
-    marked = bodies.groupBy("block").applyInArrow(_index_block(length), "piece binary, first int, end int")
+    bodies = cut.where("body is not null").select("number", "piece", "body")
+    different = cut.select("number", "piece").distinct().groupBy("number").count()
+    hot = stored(spark, different.where(F.col("count") > MANY).select("number"), "hot-numbers")
+    if hot.isEmpty():
+        marked = _marked(bodies, length)
+    else:
+        marked = _marked(bodies.join(hot, "number", "left_anti"), length).unionByName(
+            _hot_spans(spark, bodies.join(hot, "number", "left_semi"), length)
+        )
     members = cut.select("_id", "_key", "piece", "start", "size")
     many = members.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("end"))
     whole = many.where("n > 1").select("piece", F.lit(0).alias("first"), "end")
@@ -261,6 +269,91 @@ def repeated_spans(
     )
 
 
+def _marked(bodies: DataFrame, length: int) -> DataFrame:
+    """`piece`, `first`, `end`: repeated windows among the pieces of each number, block by block."""
+    blocks = 1 + (bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // BLOCK_BYTES
+    dealt = bodies.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(_index_block(length), "piece binary, first int, end int")
+
+
+def _hot_spans(spark: SparkSession, bodies: DataFrame, length: int) -> DataFrame:
+    """As `_marked`, for numbers with so many different pieces that they must not meet in a block.
+
+    Windows are counted by hash, which Spark does map-side, and the pieces cut down to the
+    windows found in others too. What surrounds a common passage falls away, and the passage
+    is left as a few equal pieces, which are indexed like all others.
+    """
+    bodies = stored(spark, bodies.dropDuplicates(["piece"]), "hot-pieces")
+
+    def windows():
+        grams = Grams(length)
+
+        def run(piece):
+            own = [np.unique(grams(np.frombuffer(x, np.uint8))) for x in piece["body"]]
+            rows = np.repeat(np.arange(len(own)), [len(o) for o in own])
+            flat = np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64)
+            return {
+                "number": np.array(piece["number"], np.int64)[rows] if len(own) else flat,
+                "piece": pa.array(piece["piece"], pa.binary()).take(pa.array(rows)),
+                "window": flat,
+            }
+
+        return run
+
+    kinds = T.StructType(
+        [T.StructField("number", T.LongType()), T.StructField("piece", T.BinaryType()), T.StructField("window", T.LongType())]
+    )
+    seen = stored(spark, map_text(bodies, ["number", "piece"], "body", kinds, windows), "hot-windows")
+    shared = seen.groupBy("number", "window").count().where("count > 1").select("number", "window")
+    wanted = seen.join(shared, ["number", "window"]).groupBy("piece").agg(F.collect_set("window").alias("windows"))
+
+    def trim():
+        import xxhash
+
+        grams, sent = Grams(length), set()
+
+        def run(piece):
+            rows = []
+            for number, name, body, found in zip(*(piece[c] for c in ("number", "piece", "body", "windows"))):
+                own = grams(np.frombuffer(body, np.uint8))
+                sought = np.array(found, dtype=np.int64).view(np.uint64)
+                met = np.concatenate([[0], np.isin(own, sought).astype(np.int8), [0]])
+                edge = np.flatnonzero(np.diff(met))
+                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    part = body[a : b + length - 1]
+                    short = xxhash.xxh3_128_digest(part)
+                    if len(sent) >= SEEN:
+                        sent.clear()
+                    new = short not in sent
+                    sent.add(short)
+                    rows.append((number, name, a, b - a, short, part if new else None))
+            columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in cut.names]
+            return dict(zip(cut.names, columns))
+
+        return run
+
+    cut = T.StructType(
+        [
+            T.StructField("number", T.LongType()),
+            T.StructField("whole", T.BinaryType()),
+            T.StructField("offset", T.IntegerType()),
+            T.StructField("size", T.IntegerType()),
+            T.StructField("piece", T.BinaryType()),
+            T.StructField("part", T.BinaryType()),
+        ]
+    )
+    parts = map_text(bodies.join(wanted, "piece"), ["number", "piece", "windows"], "body", cut, trim)
+    parts = stored(spark, parts, "hot-parts")
+    marked = _marked(parts.where("part is not null").select("number", "piece", F.col("part").alias("body")), length)
+    many = parts.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("end"))
+    spans = marked.unionByName(many.where("n > 1").select("piece", F.lit(0).alias("first"), "end"))
+    return parts.select("whole", "offset", "piece").join(spans, "piece").select(
+        F.col("whole").alias("piece"),
+        (F.col("offset") + F.col("first")).alias("first"),
+        (F.col("offset") + F.col("end")).alias("end"),
+    )
+
+
 def _chosen(keyed: DataFrame, kind: T.DataType, gram: int, length: int) -> DataFrame:
     schema = T.StructType(
         [T.StructField("_id", kind)] + [T.StructField(c, T.LongType()) for c in ("_key", "number", "n")]

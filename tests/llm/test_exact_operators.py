@@ -60,6 +60,13 @@ def test_repeated_bytes(spark, docs, rows, length):
     assert {(a, b, bytes(c).hex()): v for (a, b, c), v in got.items()} == want
 
 
+def test_many_surroundings_of_one_passage(spark, docs, rows, monkeypatch):
+    """Numbers with more different pieces than may meet are cut down first: the same result."""
+    monkeypatch.setattr(suffixes, "MANY", 1)
+    test_repeated_bytes(spark, docs, rows, 60)
+    test_repeated_bytes(spark, docs, rows, 400)
+
+
 def test_repeated_bytes_of_nothing(spark, nothing):
     assert suffixes.remove_repeats(spark, nothing, "doc_id", "text").count() == 0
 
