@@ -96,12 +96,10 @@ class ChunkEncoder:
         if len(self.ids) > WORD_CACHE or self.bytes > CACHE_BYTES:
             self.old = self.ids, self.tokens
             self.ids, self.tokens, self.bytes = {}, {}, 0
-        new = [w for w in words if w not in self.ids]
-        if self.old[0]:
-            for w in new:
-                if w in self.old[0]:
-                    self.ids[w], self.tokens[w] = self.old[0][w], self.old[1][w]
-            new = [w for w in new if w not in self.ids]
+        words = words - self.ids.keys()
+        for w in words & self.old[0].keys():
+            self.ids[w], self.tokens[w] = self.old[0][w], self.old[1][w]
+        new = sorted(words - self.old[0].keys())
         self.bytes += sum(map(len, new))
         name = self.names[self.mark] if self.mark is not None else None
         for start in range(0, len(new), 10_000):
@@ -179,7 +177,7 @@ class ChunkEncoder:
         parts = [None if x is None else self.chunks(x) for x in made]
         new = {c for p in parts if p for c in p if c not in self.chunk_ids}
         split = {c: self.split(c) for c in new}
-        self.learn({w for words in split.values() for w in words})
+        self.learn(set().union(*split.values()))
         ids, tokens = self.ids.__getitem__, self.tokens.__getitem__
         for chunk, words in split.items():
             self.chunk_ids[chunk] = " ".join(filter(None, map(ids, words)))
