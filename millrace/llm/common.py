@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import scratch
+from millrace.session import delete_path, scratch
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE_BYTES = 8 << 20
@@ -31,6 +31,12 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a `stored` frame that nothing reads any more."""
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        delete_path(spark, path)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5. Remainder 0 is held out from learning."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0).cast("bigint"))

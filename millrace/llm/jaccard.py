@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import arrow_schema, byte_slices, gram_hashes, map_text, mix, stored, word_hashes
+from millrace.llm.common import arrow_schema, byte_slices, discard, gram_hashes, map_text, mix, stored, word_hashes
 from millrace.llm.components import components
 from millrace.llm.registry import query, table
 
@@ -205,21 +205,30 @@ def _close(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (`a`, `b`) whose sets reach `percent`."""
-    left = sets.select(F.col("sid").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.col("grams").alias("y"))
+def _verify(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (`a`, `b`) whose sets reach `percent`. Texts travel, not sets: they are smaller."""
+    left = bodies.select(F.col("sid").alias("a"), F.col("body").alias("x"))
+    right = bodies.select(F.col("sid").alias("b"), F.col("body").alias("y"))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     out = arrow_schema(schema)
 
     def run(batches):
+        hashes, known = word_hashes(), {}
+
+        def grams(sid, body):
+            if len(known) > 1_000:
+                known.clear()
+            if sid not in known:
+                known[sid] = shingle_set(body, hashes, size)
+            return known[sid]
+
         for batch in batches:
             columns = [batch.column(i) for i in range(4)]
             for start in range(0, len(batch), 500):
                 a, b, x, y = (c.slice(start, 500).to_pylist() for c in columns)
                 kept = []
                 for i in range(len(a)):
-                    p, q = np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)
+                    p, q = grams(a[i], x[i]), grams(b[i], y[i])
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     if 100 * both >= percent * (len(p) + len(q) - both):
                         kept.append(i)
@@ -230,26 +239,29 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, row_id: str, text: str, wanted: DataFrame, size: int) -> DataFrame:
-    """`sid`, `grams` of the wanted sets (`sid`, `doc`: a document that has the set)."""
-    schema = T.StructType([T.StructField("sid", T.LongType()), T.StructField("grams", T.BinaryType())])
+def _bodies(docs: DataFrame, row_id: str, text: str, wanted: DataFrame, size: int) -> DataFrame:
+    """`sid`, `body` (a text with the set) of the wanted sets (`sid`, `doc`: a document that has it)."""
+    schema = T.StructType([T.StructField("sid", T.LongType()), T.StructField("body", T.BinaryType())])
     named = docs.select(F.col(row_id).alias("_doc"), F.col(text).alias("_text"))
     met = named.join(
         wanted.select(F.col("doc").alias("_want"), "sid").hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_want"))
     ).select("sid", "_text")
 
     def make():
-        hashes = word_hashes()
+        hashes, seen = word_hashes(), set()
 
         def run(piece):
-            made = [(sid, shingle_set(raw, hashes, size)) for sid, raw in zip(piece["sid"], piece["_text"])]
-            # A repeated id may bring another text along.
-            made = [(sid, g.tobytes()) for sid, g in made if set_id(g)[0] == sid]
-            return {"sid": [m[0] for m in made], "grams": [m[1] for m in made]}
+            made = []
+            for sid, raw in zip(piece["sid"], piece["_text"]):
+                # The rows of an id are in one task. They may repeat a text, or bring another along.
+                if sid not in seen and set_id(shingle_set(raw, hashes, size))[0] == sid:
+                    seen.add(sid)
+                    made.append((sid, raw))
+            return {"sid": [m[0] for m in made], "body": [m[1] for m in made]}
 
         return run
 
-    return map_text(met, ["sid"], "_text", schema, make).dropDuplicates(["sid"])
+    return map_text(met, ["sid"], "_text", schema, make)
 
 
 def jaccard_classes(
@@ -290,9 +302,11 @@ def jaccard_classes(
     posted = stored(spark, _postings(docs, text, size, percent, boundary, frequent), "postings")
     shared = posted.groupBy("sig").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("sig")
     lists = stored(spark, posted.join(shared, "sig").distinct(), "lists")
+    discard(spark, posted)
     met = stored(spark, lists.select("sid").distinct().join(classes.select("sid", "doc"), "sid"), "met-sets")
-    sets = stored(spark, _sets(docs, row_id, text, met, size), "sets")
-    links, roots = _link(spark, lists, sets, boundary, percent)
+    bodies = stored(spark, _bodies(docs, row_id, text, met, size), "bodies")
+    links, roots = _link(spark, lists, bodies, boundary, size, percent)
+    discard(spark, bodies)
 
     named = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
         "sid", "doc", F.coalesce("root", "sid").alias("root")
@@ -307,7 +321,9 @@ def jaccard_classes(
     return answer, links
 
 
-def _link(spark: SparkSession, lists: DataFrame, sets: DataFrame, boundary: int, percent: int):
+def _link(
+    spark: SparkSession, lists: DataFrame, bodies: DataFrame, boundary: int, size: int, percent: int
+):
     """(links `a`, `b`; `node`, `root` of every linked set), from lists of `sig`, `sid`, `n`."""
     links = done = spark.createDataFrame([], "a bigint, b bigint")
     roots = spark.createDataFrame([], "node bigint, root bigint")
@@ -343,7 +359,7 @@ def _link(spark: SparkSession, lists: DataFrame, sets: DataFrame, boundary: int,
         )
         new = stored(spark, found.join(done, ["a", "b"], "left_anti"), "candidates")
         done = done.unionByName(new)
-        links = links.unionByName(stored(spark, _verify(new, sets, percent), "verified"))
+        links = links.unionByName(stored(spark, _verify(new, bodies, size, percent), "verified"))
         roots = stored(spark, components(spark, links), "components")
         if at_once:
             break
