@@ -77,9 +77,12 @@ def in_order(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([grams[~often], grams[often][np.argsort(ranks, kind="stable")]])
 
 
-def signatures(grams: np.ndarray, boundary: int, percent: int, frequent: np.ndarray) -> list[np.ndarray]:
-    """What a set is posted under: subsets of a light set, and single elements of a heavy set or of
-    a light one that a heavy set could match. The last bit tells subsets (0) from elements (1)."""
+def signatures(
+    grams: np.ndarray, boundary: int, percent: int, frequent: np.ndarray
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(signatures, positions in the order). What a set is posted under: subsets of a light set, and
+    single elements of a heavy set or of a light one that a heavy set could match. The last bit
+    tells subsets (0) from elements (1)."""
     n = len(grams)
     if n < 2:
         return []
@@ -90,9 +93,10 @@ def signatures(grams: np.ndarray, boundary: int, percent: int, frequent: np.ndar
         first = np.sort(ordered[: prefix + 1])
         i, k = np.triu_indices(len(first), 1)
         with np.errstate(over="ignore"):
-            out.append(mix(first[i] * np.uint64(0x9E3779B97F4A7C15) + first[k]) & ~np.uint64(1))
+            subsets = mix(first[i] * np.uint64(0x9E3779B97F4A7C15) + first[k]) & ~np.uint64(1)
+        out.append((subsets, np.zeros(len(subsets), np.int32)))
     if n > boundary or 100 * n >= percent * (boundary + 1):
-        out.append(ordered[:prefix] | np.uint64(1))
+        out.append((ordered[:prefix] | np.uint64(1), np.arange(prefix, dtype=np.int32)))
     return out
 
 
@@ -148,16 +152,17 @@ def _describe(docs: DataFrame, row_id: str, text: str, size: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, text: str, size: int, percent: int, boundary: int, frequent: np.ndarray) -> DataFrame:
-    """`sig`, `sid`, `n`: every set under each of its signatures; a task posts equal sets once."""
+    """`sig`, `sid`, `n`, `pos`: every set under each of its signatures; a task posts equal sets once."""
     schema = T.StructType(
-        [T.StructField("sig", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType())]
+        [T.StructField("sig", T.LongType()), T.StructField("sid", T.LongType())]
+        + [T.StructField(c, T.IntegerType()) for c in ("n", "pos")]
     )
 
     def make():
         hashes, seen = word_hashes(), set()
 
         def run(piece):
-            sigs, sids, sizes = [], [], []
+            sigs, sids, sizes, places = [], [], [], []
             for raw in piece[text]:
                 grams = shingle_set(raw, hashes, size)
                 sid = set_id(grams)[0]
@@ -166,8 +171,9 @@ def _postings(docs: DataFrame, text: str, size: int, percent: int, boundary: int
                 if sid in seen:
                     continue
                 seen.add(sid)
-                for part in signatures(grams, boundary, percent, frequent):
+                for part, place in signatures(grams, boundary, percent, frequent):
                     sigs.append(part)
+                    places.append(place)
                     sids.append(np.full(len(part), sid, np.int64))
                     sizes.append(np.full(len(part), len(grams), np.int32))
             join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
@@ -175,6 +181,7 @@ def _postings(docs: DataFrame, text: str, size: int, percent: int, boundary: int
                 "sig": join(sigs, np.uint64).view(np.int64),
                 "sid": join(sids, np.int64),
                 "n": join(sizes, np.int32),
+                "pos": join(places, np.int32),
             }
 
         return run
@@ -239,13 +246,18 @@ def _verify(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
-def _bodies(docs: DataFrame, row_id: str, text: str, wanted: DataFrame, size: int) -> DataFrame:
-    """`sid`, `body` (a text with the set) of the wanted sets (`sid`, `doc`: a document that has it)."""
+def _bodies(
+    docs: DataFrame, row_id: str, text: str, wanted: DataFrame, size: int, unique: bool
+) -> DataFrame:
+    """`sid`, `body` (a text with the set) of the wanted sets (`sid`, `doc`: a document that has it).
+    Where ids are unique the join alone gives them; else texts are checked against the set."""
     schema = T.StructType([T.StructField("sid", T.LongType()), T.StructField("body", T.BinaryType())])
     named = docs.select(F.col(row_id).alias("_doc"), F.col(text).alias("_text"))
     met = named.join(
         wanted.select(F.col("doc").alias("_want"), "sid").hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_want"))
     ).select("sid", "_text")
+    if unique:
+        return met.select("sid", F.col("_text").cast("binary").alias("body"))
 
     def make():
         hashes, seen = word_hashes(), set()
@@ -304,7 +316,8 @@ def jaccard_classes(
     lists = stored(spark, posted.join(shared, "sig").distinct(), "lists")
     discard(spark, posted)
     met = stored(spark, lists.select("sid").distinct().join(classes.select("sid", "doc"), "sid"), "met-sets")
-    bodies = stored(spark, _bodies(docs, row_id, text, met, size), "bodies")
+    unique = about.groupBy("doc").count().where("count > 1").isEmpty()
+    bodies = stored(spark, _bodies(docs, row_id, text, met, size, unique), "bodies")
     links, roots = _link(spark, lists, bodies, boundary, size, percent)
     discard(spark, bodies)
 
@@ -334,7 +347,7 @@ def _link(
         mixed = named.groupBy("sig").agg(
             F.min("root").alias("lo"),
             F.max("root").alias("hi"),
-            F.min(F.struct("sid", "n", "root")).alias("head"),
+            F.min(F.struct("sid", "n", "root", "pos")).alias("head"),
             F.count(F.lit(1)).alias("size"),
         ).where("lo < hi").select("sig", "head", "size")
         # Only lists with members that are not all connected go on.
@@ -344,16 +357,21 @@ def _link(
             break
         at_once = pairs <= PAIRS_PER_ROW * rows
         if at_once:
-            other = lists.select("sig", F.col("sid").alias("o"), F.col("n").alias("m"), F.col("root").alias("p"))
+            other = lists.select(
+                "sig", F.col("sid").alias("o"), F.col("n").alias("m"), F.col("root").alias("p"), F.col("pos").alias("q")
+            )
             found = lists.join(other, "sig").where("sid < o")
         else:
             found = lists.select(
-                "sig", "sid", "n", "root", F.col("head.sid").alias("o"), F.col("head.n").alias("m"), F.col("head.root").alias("p")
+                "sig", "sid", "n", "root", "pos", *[F.col(f"head.{c}").alias(a) for c, a in zip(("sid", "n", "root", "pos"), "ompq")]
             ).where("sid != o")
         light_pair = (F.col("n") <= boundary) & (F.col("m") <= boundary) & (F.col("sig").bitwiseAND(1) == 1)
         found = (
             found.where(F.col("root") != F.col("p"))
             .where(_close(F.col("n"), F.col("m"), percent) & ~light_pair)
+            # Where an element is the first that two sets share, no more than what follows it in
+            # either can be shared; a close pair passes in the list of its first one.
+            .where((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) >= percent * (F.col("n") + F.col("m")))
             .select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b"))
             .distinct()
         )
@@ -363,7 +381,7 @@ def _link(
         roots = stored(spark, components(spark, links), "components")
         if at_once:
             break
-        lists = lists.where("sid != head.sid").select("sig", "sid", "n")
+        lists = lists.where("sid != head.sid").select("sig", "sid", "n", "pos")
     return links, roots
 
 
