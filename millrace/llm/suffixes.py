@@ -279,9 +279,9 @@ def _marked(bodies: DataFrame, length: int) -> DataFrame:
 def _hot_spans(spark: SparkSession, bodies: DataFrame, length: int) -> DataFrame:
     """As `_marked`, for numbers with so many different pieces that they must not meet in a block.
 
-    Windows are counted by hash, which Spark does map-side, and the pieces cut down to the
-    windows found in others too. What surrounds a common passage falls away, and the passage
-    is left as a few equal pieces, which are indexed like all others.
+    The starts of windows are counted by hash, which Spark does map-side, and the pieces cut down to
+    the windows that start twice or more, in one piece or in several. What surrounds a common passage
+    falls away, and the passage is left as a few equal pieces, which are indexed like all others.
     """
     bodies = stored(spark, bodies.dropDuplicates(["piece"]), "hot-pieces")
 
@@ -289,22 +289,30 @@ def _hot_spans(spark: SparkSession, bodies: DataFrame, length: int) -> DataFrame
         grams = Grams(length)
 
         def run(piece):
-            own = [np.unique(grams(np.frombuffer(x, np.uint8))) for x in piece["body"]]
+            found = [np.unique(grams(np.frombuffer(x, np.uint8)), return_counts=True) for x in piece["body"]]
+            own = [f[0] for f in found]
             rows = np.repeat(np.arange(len(own)), [len(o) for o in own])
             flat = np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64)
+            starts = np.concatenate([f[1] for f in found]) if own else np.empty(0, np.int64)
             return {
                 "number": np.array(piece["number"], np.int64)[rows] if len(own) else flat,
                 "piece": pa.array(piece["piece"], pa.binary()).take(pa.array(rows)),
                 "window": flat,
+                "starts": starts,
             }
 
         return run
 
     kinds = T.StructType(
-        [T.StructField("number", T.LongType()), T.StructField("piece", T.BinaryType()), T.StructField("window", T.LongType())]
+        [
+            T.StructField("number", T.LongType()),
+            T.StructField("piece", T.BinaryType()),
+            T.StructField("window", T.LongType()),
+            T.StructField("starts", T.LongType()),
+        ]
     )
     seen = stored(spark, map_text(bodies, ["number", "piece"], "body", kinds, windows), "hot-windows")
-    shared = seen.groupBy("number", "window").count().where("count > 1").select("number", "window")
+    shared = seen.groupBy("number", "window").agg(F.sum("starts").alias("n")).where("n > 1").select("number", "window")
     wanted = seen.join(shared, ["number", "window"]).groupBy("piece").agg(F.collect_set("window").alias("windows"))
 
     def trim():

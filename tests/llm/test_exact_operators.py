@@ -1,9 +1,11 @@
 """Operators with exact results against brute force, on odd and empty tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from corpus import frame, odd_rows
 
@@ -67,6 +69,21 @@ def test_many_surroundings_of_one_passage(spark, docs, rows, monkeypatch):
     test_repeated_bytes(spark, docs, rows, 400)
 
 
+def test_repeat_inside_one_piece_of_many(spark, monkeypatch):
+    """One document alone repeats a line that all others hold once: its windows start twice in one
+    piece and in no other, and the number has more different pieces than may meet."""
+    monkeypatch.setattr(suffixes, "MANY", 1)
+    draw, grams = random.Random(3), suffixes.Grams(20)
+    text = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    # A line with so small a gram that every window around it is filed under it.
+    line = min((text(30) for _ in range(20_000)), key=lambda x: grams(np.frombuffer(x.encode(), np.uint8)).min())
+    rows = [(i, text(100) + line + text(100)) for i in range(8)] + [(9, text(100) + line * 3 + text(100))]
+    want = [(doc, n, spans) for (doc, _), (n, spans, _) in zip(rows, byte_cut([t.encode() for _, t in rows], 60)) if n]
+    assert want
+    found = suffixes.remove_repeats(spark, frame(spark, rows), "doc_id", "text", 60).collect()
+    assert [(r["doc_id"], r["n_removed"], len(r["spans"])) for r in found] == want
+
+
 def test_repeated_bytes_of_nothing(spark, nothing):
     assert suffixes.remove_repeats(spark, nothing, "doc_id", "text").count() == 0
 
