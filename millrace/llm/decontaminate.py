@@ -5,11 +5,14 @@ alike: each step writes the current word and, by a random bit of (step, word), s
 Windows of the size of the items begin at every word (at every second for items from 32 words on, and
 so on). Windows and items whose embeddings agree at a few sampled positions become candidates; the
 number of repetitions, each with its own walk and positions, is the least that finds the target share
-of simulated items with as many edits as are allowed. Candidates are verified by their edit distance.
+of simulated items with as many edits as are allowed, whatever that number of edits is. Sizes that do
+not reach it are searched for exactly: of `edits + 1` disjoint word runs of an item one is left as it
+is, so a passage holds one of them. Candidates are verified by their edit distance.
 """
 
 from __future__ import annotations
 
+import bisect
 import itertools
 from dataclasses import dataclass
 
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Cache, map_text
+from millrace.llm.common import Cache, gram_hashes, map_text
 from millrace.llm.registry import query, table
 
 MIN_WORDS = 8
@@ -30,6 +33,12 @@ EDIT_PERCENT = 12
 SAMPLED = 3
 TARGET = 0.95
 MOST_REPEATS = 12
+TRIALS = 200
+"""Simulated passages for each number of edits."""
+
+WALK_BYTES = 64 << 20
+"""Walks of a class that would take more are not tried; its items are searched for exactly."""
+
 MAX_ITEMS, MAX_ITEM_WORDS = 20_000, 50_000
 """Items, and their distinct words, that one search takes: they go to every task (about 1 KB for each
 distinct word). A larger benchmark is searched for in parts; more at once is refused."""
@@ -40,6 +49,9 @@ ASCII_STRIPPED = bytes(c for c in STRIPPED.encode() if c < 128)
 BLOCK = 1 << 15
 """Starts searched at once; their positions stay in a core's cache."""
 
+PAIRS = 1 << 20
+"""Starts with an item each that are looked at together."""
+
 
 def plain(word: bytes) -> bytes:
     return word.decode("utf-8", "replace").lower().strip(STRIPPED).encode("utf-8")
@@ -109,7 +121,21 @@ class SizeClass:
     size: int
     stride: int
     repeats: list[Repeat]
-    recall: float
+
+
+@dataclass(frozen=True)
+class Runs:
+    """Disjoint runs of `length` words, one more than its edits of each item: their hashes, and the item
+    and the place in it by hash. `least` is the size of the shortest item."""
+
+    length: int
+    least: int
+    known: np.ndarray
+    sizes: np.ndarray
+    offsets: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
+    filter: np.ndarray
 
 
 def _embed(words: list[int], bits: np.ndarray, samples: list[int]) -> tuple[int, ...]:
@@ -134,33 +160,68 @@ class Index:
         self.numbers = {w: k for k, w in enumerate(words, 1)}
         self.other = len(words) + 1
         self.coded = [[self.numbers[w] for w in own] for _, own in self.items]
-        self.classes = []
+        self.classes, exact = [], []
         size = MIN_WORDS
         random = np.random.RandomState(seed)
         while any(len(c) >= size for c in self.coded):
             own = [k for k, c in enumerate(self.coded) if size <= len(c) < 2 * size]
             if own:
-                self.classes.append(self._class(size, own, random))
+                made = self._class(size, own, random)
+                if made:
+                    self.classes.append(made)
+                else:
+                    exact += own
             size *= 2
+        self.exact = set(exact)
+        by_length: dict[int, list[int]] = {}
+        for k in exact:
+            by_length.setdefault(len(self.coded[k]) // (allowed_edits(len(self.coded[k])) + 1), []).append(k)
+        self.runs = [self._runs(length, own) for length, own in sorted(by_length.items())]
         self.longest = max((len(c) for c in self.coded), default=0)
 
-    def _class(self, size: int, own: list[int], random) -> SizeClass:
+    def _class(self, size: int, own: list[int], random) -> SizeClass | None:
+        """None if the walks do not find the target share of the items of each number of edits."""
         steps, stride = size * 3 // 2, max(1, size // 16)
+        if MOST_REPEATS * steps * (self.other + 1) > WALK_BYTES:
+            return None
         # The step and the sampled positions come before the end of the shortest item most times.
         walks = []
         for _ in range(MOST_REPEATS):
             bits = random.randint(0, 2, (steps, self.other + 1)).astype(np.int8)
             walks.append((bits, sorted(random.choice(steps, SAMPLED, replace=False).tolist())))
-        tried = [k for k in own for _ in range(max(1, 200 // len(own)))][:400]
-        hits = np.zeros((len(tried), MOST_REPEATS), dtype=bool)
-        for row, k in enumerate(tried):
-            other = self._edited(self.coded[k], stride, random)
-            for r, (bits, samples) in enumerate(walks):
-                hits[row, r] = _embed(self.coded[k], bits, samples) == _embed(other, bits, samples)
-        recall = np.logical_or.accumulate(hits, axis=1).mean(axis=0)
-        enough = np.flatnonzero(recall >= TARGET)
-        count = int(enough[0]) + 1 if len(enough) else MOST_REPEATS
-        return SizeClass(size, stride, [self._repeat(own, *w) for w in walks[:count]], float(recall[count - 1]))
+        by_edits: dict[int, list[int]] = {}
+        for k in own:
+            by_edits.setdefault(allowed_edits(len(self.coded[k])), []).append(k)
+        count = 1
+        for _, alike in sorted(by_edits.items(), reverse=True):
+            hits = np.zeros((TRIALS, MOST_REPEATS), dtype=bool)
+            for row in range(TRIALS):
+                item = self.coded[alike[row % len(alike)]]
+                other = self._edited(item, stride, random)
+                for r, (bits, samples) in enumerate(walks):
+                    hits[row, r] = _embed(item, bits, samples) == _embed(other, bits, samples)
+            enough = np.flatnonzero(np.logical_or.accumulate(hits, axis=1).mean(axis=0) >= TARGET)
+            if not len(enough):
+                return None
+            count = max(count, int(enough[0]) + 1)
+        return SizeClass(size, stride, [self._repeat(own, *w) for w in walks[:count]])
+
+    def _runs(self, length: int, own: list[int]) -> Runs:
+        hashes, items, places = [], [], []
+        for k in own:
+            at = np.arange(allowed_edits(len(self.coded[k])) + 1) * length
+            hashes.append(gram_hashes(np.array(self.coded[k], np.uint64), length)[at])
+            items.append(np.full(len(at), k))
+            places.append(at)
+        keys = np.concatenate(hashes)
+        by = np.argsort(keys, kind="stable")
+        known, sizes = np.unique(keys, return_counts=True)
+        mask = np.zeros(1 << max(16, (16 * len(known)).bit_length()), dtype=bool)
+        mask[(known & np.uint64(len(mask) - 1)).astype(np.int64)] = True
+        least = min(len(self.coded[k]) for k in own)
+        return Runs(
+            length, least, known, sizes, np.cumsum(sizes) - sizes, np.concatenate(items)[by], np.concatenate(places)[by], mask
+        )
 
     def _edited(self, words: list[int], stride: int, random) -> list[int]:
         """The item with as many random edits as are allowed, begun up to half a stride off."""
@@ -203,7 +264,7 @@ class Index:
             return numbers.get(word, other) if word else -1
 
         cache = Cache(400_000, number)
-        gap = np.zeros(max((3 * c.size for c in self.classes), default=1), np.int64)
+        gap = np.zeros(max([1, *(3 * c.size for c in self.classes), *(r.length for r in self.runs)]), np.int64)
         member = np.zeros((len(self.coded), other + 1), dtype=np.int8)
         for k, own in enumerate(self.coded):
             member[k, own] = 1
@@ -229,28 +290,61 @@ class Index:
                 at, begun, key = at[kept], begun[kept], key[kept]
             return begun, key
 
-        def candidates(words: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
-            found: set[tuple[int, int]] = set()
+        def near(words: np.ndarray, begun, items, spare, size: int):
+            """Which of the starts have, among their first `size` words, no more than `spare` that are
+            foreign to the item."""
+            left = np.arange(len(begun))
+            for d in range(size):
+                spare = spare - (member[items, words.take(begun + d, mode="clip")] == 0)
+                if d % 4 == 3 or d == size - 1:
+                    kept = spare >= 0
+                    begun, items, spare, left = begun[kept], items[kept], spare[kept], left[kept]
+            return left
+
+        def each(slot: np.ndarray, sizes: np.ndarray, offsets: np.ndarray):
+            """(rows of `slot`, entries) for every entry of every slot, a bounded number at a time."""
+            ends = np.cumsum(sizes[slot])
+            low = 0
+            while low < len(slot):
+                base = int(ends[low - 1]) if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, base + PAIRS, "right")))
+                n = sizes[slot[low:high]]
+                rows = np.repeat(np.arange(low, high), n)
+                yield rows, np.repeat(offsets[slot[low:high]] - np.cumsum(n) + n, n) + np.arange(len(rows))
+                low = high
+
+        def candidates(words: np.ndarray, starts: np.ndarray, firsts: np.ndarray) -> set[tuple[int, int, int]]:
+            """(document, start, item)."""
+            found: set[tuple[int, int, int]] = set()
+            document = np.searchsorted(firsts, starts, "right") - 1
+            place = starts - firsts[document]
+
+            def add(at, begun, items):
+                found.update(zip((np.searchsorted(firsts, at, "right") - 1).tolist(), begun.tolist(), items.tolist()))
+
             for group in self.classes:
-                grid = starts[:: group.stride]
+                grid = starts[place % group.stride == 0]
                 for low, repeat in itertools.product(range(0, len(grid), BLOCK), group.repeats):
-                    begun, key = walk(repeat, words, grid[low : low + BLOCK])
-                    if not len(begun):
-                        continue
+                    at, key = walk(repeat, words, grid[low : low + BLOCK])
                     slot = np.searchsorted(repeat.known[-1], key)
-                    sizes = repeat.sizes[slot]
-                    begun = np.repeat(begun, sizes)
-                    items = repeat.items[
-                        np.repeat(repeat.offsets[slot] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(begun))
-                    ]
-                    # Of the first words at most the edits and the offset can be foreign to the item.
-                    spare = edits[items] + group.stride // 2
-                    for d in range(group.size):
-                        spare -= member[items, words[begun + d]] == 0
-                        if d % 4 == 3:
-                            near = spare >= 0
-                            begun, items, spare = begun[near], items[near], spare[near]
-                    found.update(zip(begun[spare >= 0].tolist(), items[spare >= 0].tolist()))
+                    for rows, entries in each(slot, repeat.sizes, repeat.offsets):
+                        begun, items = at[rows], repeat.items[entries]
+                        # Of the first words at most the edits and the offset can be foreign to the item.
+                        left = near(words, begun, items, edits[items] + group.stride // 2, group.size)
+                        add(begun[left], begun[left], items[left])
+            coded = words.astype(np.uint64) if self.runs else None
+            for runs in self.runs:
+                hashed = gram_hashes(coded, runs.length)
+                at = np.flatnonzero(runs.filter.take((hashed & np.uint64(len(runs.filter) - 1)).astype(np.int64)))
+                slot = np.minimum(np.searchsorted(runs.known, hashed[at]), len(runs.known) - 1)
+                met = runs.known[slot] == hashed[at]
+                at, slot = at[met], slot[met]
+                for rows, entries in each(slot, runs.sizes, runs.offsets):
+                    items = runs.items[entries]
+                    begun = at[rows] - runs.places[entries]
+                    # An edit before the run moves the start or is one foreign word; so does one behind it.
+                    left = near(words, begun, items, edits[items], runs.least)
+                    add(at[rows][left], begun[left], items[left])
             return found
 
         def search(texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
@@ -263,24 +357,34 @@ class Index:
                 coded += [own, gap]
                 at += len(own) + len(gap)
             out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-            if not at or not self.classes:
+            if not at or not self.coded:
                 return out
             words = np.concatenate(coded)
             starts = np.concatenate([np.arange(a, b) for a, b in bases])
             firsts = np.array([a for a, _ in bases])
-            best: dict[tuple[int, int, int], tuple[int, int, int, int]] = {}
-            for begun, k in sorted(candidates(words, starts)):
-                doc = int(np.searchsorted(firsts, begun, "right")) - 1
-                # An empty text has the same first position as none; step to the one that holds it.
+            hits: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
+            last: dict[tuple[int, int], int] = {}
+            for doc, begun, k in sorted(candidates(words, starts, firsts)):
                 a, b = bases[doc]
                 most, size = int(edits[k]), len(self.coded[k])
+                if k in self.exact:
+                    # The slack takes in the starts right behind one that has been looked at.
+                    if (doc, k) in last and begun - last[doc, k] <= self._slack(size):
+                        continue
+                    last[doc, k] = begun
                 low = max(a, begun - most - self._slack(size))
                 high = min(b, begun + size + most + self._slack(size))
                 hit = edit_span(self.coded[k], words[low:high].tolist(), most)
                 if hit:
-                    best[(doc, k, low + hit[2])] = (self.items[k][0], low + hit[1] - a, low + hit[2] - a, hit[0])
-            for (doc, _, _), match in best.items():
-                out[doc].append(match)
+                    hits.setdefault((doc, k), set()).add((hit[0], low + hit[2] - a, a - low - hit[1]))
+            for (doc, k), own in hits.items():
+                # Seen from a start beside it, a passage shows a worse match that overlaps it.
+                taken: list[tuple[int, int]] = []
+                for cost, end, minus_first in sorted(own):
+                    i = bisect.bisect(taken, (-minus_first, end))
+                    if (i == 0 or taken[i - 1][1] <= -minus_first) and (i == len(taken) or end <= taken[i][0]):
+                        taken.insert(i, (-minus_first, end))
+                        out[doc].append((self.items[k][0], -minus_first, end, cost))
             return [sorted(m, key=lambda x: (x[1], x[2], str(x[0]))) for m in out]
 
         return search
@@ -303,7 +407,8 @@ def find_passages(docs: DataFrame, row_id: str, text: str, items: DataFrame, ite
 
     Words are lower-cased and stripped of punctuation at their ends. NULL and empty texts have no
     matches; items that are NULL or shorter than `MIN_WORDS` are not looked for; repeated items match
-    each, repeated rows are searched each. An empty table gives no rows.
+    each, repeated rows are searched each. Matches of an item do not overlap: the one of least edits
+    stands. An empty table gives no rows.
     """
     index = Index(read_items(items, item_id, item_text))
     match = T.StructType(

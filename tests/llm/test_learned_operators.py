@@ -160,6 +160,26 @@ def test_edit_span_is_the_best_span():
 # Components
 
 
+def test_long_items_with_all_allowed_edits_are_found():
+    """Items of 64 to 400 words, each with as many edits as are allowed, in words of their own."""
+    draw = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(900)]
+    items = [(n * 100 + k, draw.choices(vocabulary, k=n)) for n in (64, 110, 200, 400) for k in range(15)]
+    texts = []
+    for _, words in items:
+        out = list(words)
+        for _ in range(decontaminate.allowed_edits(len(words))):
+            at, kind = draw.randrange(len(out)), draw.randrange(3)
+            out[at : at + (kind != 1)] = [] if kind == 2 else [f"new{draw.randrange(99)}"]
+        before = draw.choices(vocabulary, k=draw.randrange(70))
+        texts.append(" ".join(before + out + draw.choices(vocabulary, k=50)).encode())
+    index = decontaminate.Index([(i, " ".join(w).encode()) for i, w in items])
+    found = index.searcher()(texts)
+    assert [[m[0] for m in own] for own in found] == [[i] for i, _ in items]
+    alone = [m for text in texts for m in index.searcher()([text])]
+    assert alone == found
+
+
 def test_components_of_chains_stars_and_pairs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(500, 499), (7, 7)]
     got = components(spark, spark.createDataFrame(links, "a bigint, b bigint")).collect()
