@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bpe import default_tokenizer, encode
 from millrace.llm.common import filter_rows, stored
-from millrace.llm.decontaminate import Index, read_items
+from millrace.llm.decontaminate import without_passages
 from millrace.llm.jaccard import jaccard_classes
 from millrace.llm.suffixes import remove_repeats
 from millrace.llm.toxicity import fit_toxicity
@@ -66,13 +66,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage near to a benchmark item."""
-    index = Index(read_items(_table(spark, sf_dir, "benchmark"), "item_id", "text"))
-
-    def make():
-        search = index.searcher()
-        return lambda texts: [not found for found in search(texts)]
-
-    return filter_rows(docs, "text", make)
+    return without_passages(docs, "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Cache, gram_hashes, map_text
+from millrace.llm.common import Cache, filter_rows, gram_hashes, map_text, stored
 from millrace.llm.registry import query, table
 
 MIN_WORDS = 8
@@ -40,8 +41,10 @@ WALK_BYTES = 64 << 20
 """Walks of a class that would take more are not tried; its items are searched for exactly."""
 
 MAX_ITEMS, MAX_ITEM_WORDS = 20_000, 50_000
-"""Items, and their distinct words, that one search takes: they go to every task (about 1 KB for each
-distinct word). A larger benchmark is searched for in parts; more at once is refused."""
+MAX_CELLS = 1 << 27
+"""Items, their distinct words, and the product of both, that one search takes: they go to every task (up
+to about 1 KB for each distinct word). A larger benchmark is searched for in parts; an item that is beyond
+a bound by itself is a part of its own."""
 
 STRIPPED = " .,;:!?\"'()[]{}…¡¿«»"
 
@@ -155,8 +158,6 @@ class Index:
         found = [(i, plain_words(raw)) for i, raw in items]
         self.items = [(i, w) for i, w in found if len(w) >= MIN_WORDS]
         words = sorted({w for _, own in self.items for w in own})
-        if len(self.items) > MAX_ITEMS or len(words) > MAX_ITEM_WORDS:
-            raise ValueError("too many benchmark items to send to every task")
         self.numbers = {w: k for k, w in enumerate(words, 1)}
         self.other = len(words) + 1
         self.coded = [[self.numbers[w] for w in own] for _, own in self.items]
@@ -394,12 +395,20 @@ class Index:
         return max(1, size // 16)
 
 
-def read_items(items: DataFrame, item_id: str, text: str) -> list[tuple]:
-    """The benchmark on the driver; refused beyond `MAX_ITEMS`."""
-    rows = items.select(item_id, F.col(text).cast("binary")).limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} benchmark items")
-    return [(r[0], bytes(r[1] or b"")) for r in rows]
+def read_parts(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
+    """The benchmark in parts below the bounds, one at a time on the driver; an empty one is one part."""
+    part: list[tuple] = []
+    words: set[bytes] = set()
+    for row in items.select(item_id, F.col(text).cast("binary")).toLocalIterator():
+        raw = bytes(row[1] or b"")
+        own = set(plain_words(raw))
+        n, distinct = len(part) + 1, len(words) + sum(w not in words for w in own)
+        if part and (n > MAX_ITEMS or distinct > MAX_ITEM_WORDS or n * distinct > MAX_CELLS):
+            yield part
+            part, words = [], set()
+        part.append((row[0], raw))
+        words |= own
+    yield part
 
 
 def find_passages(docs: DataFrame, row_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
@@ -408,9 +417,9 @@ def find_passages(docs: DataFrame, row_id: str, text: str, items: DataFrame, ite
     Words are lower-cased and stripped of punctuation at their ends. NULL and empty texts have no
     matches; items that are NULL or shorter than `MIN_WORDS` are not looked for; repeated items match
     each, repeated rows are searched each. Matches of an item do not overlap: the one of least edits
-    stands. An empty table gives no rows.
+    stands. An empty table gives no rows. A benchmark of several parts reads `docs` once for each and once
+    to put the matches together.
     """
-    index = Index(read_items(items, item_id, item_text))
     match = T.StructType(
         [T.StructField("item", items.schema[item_id].dataType)]
         + [T.StructField(c, T.IntegerType()) for c in ("first", "end", "edits")]
@@ -419,16 +428,71 @@ def find_passages(docs: DataFrame, row_id: str, text: str, items: DataFrame, ite
         [T.StructField(row_id, docs.schema[row_id].dataType), T.StructField("matches", T.ArrayType(match))]
     )
 
-    def make():
-        search = index.searcher()
+    def searched(rows: DataFrame, columns: list[str], index: Index, kinds: T.StructType) -> DataFrame:
+        def make():
+            search = index.searcher()
 
-        def run(piece):
-            made = [[dict(zip(match.names, m)) for m in found] for found in search(piece[text])]
-            return {row_id: piece[row_id], "matches": made}
+            def run(piece):
+                made = [[dict(zip(match.names, m)) for m in found] for found in search(piece[text])]
+                return {**{c: piece[c] for c in columns}, "matches": made}
 
-        return run
+            return run
 
-    return map_text(docs, [row_id], text, schema, make)
+        return map_text(rows, columns, text, kinds, make)
+
+    parts = read_parts(items, item_id, item_text)
+    part, following = next(parts), next(parts, None)
+    if following is None:
+        return searched(docs, [row_id], Index(part), schema)
+    keyed = docs.select(
+        F.col(row_id).alias("_id"), F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias(text)
+    )
+    kinds = T.StructType(
+        [T.StructField("_id", docs.schema[row_id].dataType), T.StructField("_key", T.LongType()), schema["matches"]]
+    )
+    found = None
+    for part in itertools.chain([part, following], parts):
+        own = searched(keyed, ["_id", "_key"], Index(part), kinds).where(F.size("matches") > 0)
+        # Rows that are repeated, id and text, have the same matches.
+        own = stored(docs.sparkSession, own.dropDuplicates(["_id", "_key"]), "part-matches")
+        found = own if found is None else found.unionByName(own)
+    whole = found.select("_id", "_key", F.explode("matches").alias("m")).groupBy("_id", "_key").agg(
+        F.sort_array(
+            F.collect_list(F.struct("m.first", "m.end", F.col("m.item").cast("string").alias("name"), "m"))
+        )["m"].alias("matches")
+    )
+    rows = docs.select(F.col(row_id).alias("_row"), F.xxhash64(F.col(text)).alias("_text"))
+    same = (F.col("_text") == F.col("_key")) & F.col("_row").eqNullSafe(F.col("_id"))
+    return rows.join(whole, same, "left").select(
+        F.col("_row").alias(row_id),
+        F.coalesce("matches", F.array().cast(schema["matches"].dataType)).alias("matches"),
+    )
+
+
+def without_passages(docs: DataFrame, row_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """The rows of `docs`, all columns, that have no match. See `find_passages`."""
+    parts = read_parts(items, item_id, item_text)
+    part, following = next(parts), next(parts, None)
+
+    def filtered(rows: DataFrame, keep: bool, index: Index) -> DataFrame:
+        def make():
+            search = index.searcher()
+            return lambda texts: [bool(found) != keep for found in search(texts)]
+
+        return filter_rows(rows, text, make)
+
+    if following is None:
+        return filtered(docs, True, Index(part))
+    keyed = docs.select(
+        F.col(row_id).alias("_id"), F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias(text)
+    )
+    found = None
+    for part in itertools.chain([part, following], parts):
+        own = filtered(keyed, False, Index(part)).select("_id", "_key").distinct()
+        own = stored(docs.sparkSession, own, "part-contaminated")
+        found = own if found is None else found.unionByName(own)
+    same = (F.xxhash64(docs[text]) == found["_key"]) & docs[row_id].eqNullSafe(found["_id"])
+    return docs.join(found, same, "left_anti")
 
 
 @query("op6_embedded_decontamination")

@@ -160,6 +160,26 @@ def test_edit_span_is_the_best_span():
 # Components
 
 
+@pytest.mark.parametrize("bounds", [(2, 50_000), (20_000, 45), (20_000, 1)])
+def test_benchmark_in_parts(spark, monkeypatch, bounds):
+    """A benchmark beyond the bounds of one search gives the same as one below them."""
+    draw = random.Random(4)
+    items = [(k, " ".join(f"q{k}x{draw.randrange(40)}" for _ in range(20))) for k in range(7)]
+    rows = [(k, f"before it {text} behind it") for k, text in items] + [(8, " ".join(t for _, t in items))]
+    rows += [(1, rows[1][1]), (None, rows[2][1]), (None, None), (9, ""), (1, "clean")]
+    docs = frame(spark, rows)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    args = (docs, "doc_id", "text", benchmark, "item_id", "text")
+    found = lambda: sorted(map(repr, decontaminate.find_passages(*args).collect()))
+    kept = lambda: sorted(map(repr, decontaminate.without_passages(*args).collect()))
+    want, rest = found(), kept()
+    assert sum("matches=[]" not in r for r in want) == 10 and len(rest) == 3
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", bounds[0])
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", bounds[1])
+    assert len(list(decontaminate.read_parts(benchmark, "item_id", "text"))) > 1
+    assert found() == want and kept() == rest
+
+
 def test_long_items_with_all_allowed_edits_are_found():
     """Items of 64 to 400 words, each with as many edits as are allowed, in words of their own."""
     draw = random.Random(11)
