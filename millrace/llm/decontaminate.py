@@ -26,7 +26,7 @@ from millrace.llm.common import Cache, filter_rows, gram_hashes, map_text, store
 from millrace.llm.registry import query, table
 
 MIN_WORDS = 8
-"""Shorter items are not looked for: they occur by chance."""
+"""Shorter items have no edits and are searched for exactly, as whole word runs."""
 
 EDIT_PERCENT = 12
 """Words of an item that may be replaced, dropped or put in."""
@@ -156,12 +156,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], seed: int = 7):
         found = [(i, plain_words(raw)) for i, raw in items]
-        self.items = [(i, w) for i, w in found if len(w) >= MIN_WORDS]
+        self.items = [(i, w) for i, w in found if w]
         words = sorted({w for _, own in self.items for w in own})
         self.numbers = {w: k for k, w in enumerate(words, 1)}
         self.other = len(words) + 1
         self.coded = [[self.numbers[w] for w in own] for _, own in self.items]
-        self.classes, exact = [], []
+        self.classes, exact = [], [k for k, c in enumerate(self.coded) if len(c) < MIN_WORDS]
         size = MIN_WORDS
         random = np.random.RandomState(seed)
         while any(len(c) >= size for c in self.coded):
@@ -415,7 +415,7 @@ def find_passages(docs: DataFrame, row_id: str, text: str, items: DataFrame, ite
     """`row_id`, `matches`: array of (`item`, `first`, `end`, `edits`) by word numbers, for every row.
 
     Words are lower-cased and stripped of punctuation at their ends. NULL and empty texts have no
-    matches; items that are NULL or shorter than `MIN_WORDS` are not looked for; repeated items match
+    matches; items without words are not looked for; repeated items match
     each, repeated rows are searched each. Matches of an item do not overlap: the one of least edits
     stands. An empty table gives no rows. A benchmark of several parts reads `docs` once for each and once
     to put the matches together.

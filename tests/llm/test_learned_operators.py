@@ -180,6 +180,14 @@ def test_benchmark_in_parts(spark, monkeypatch, bounds):
     assert found() == want and kept() == rest
 
 
+def test_short_items_are_found_as_they_are():
+    items = [(1, b"Who wrote Emma?"), (2, b"seven"), (3, b"one two three four five six seven"), (4, b" .,; "), (5, None)]
+    index = decontaminate.Index([(i, x or b"") for i, x in items])
+    texts = [b"who wrote emma", b"So: who WROTE Emma, then?", b"who never wrote emma", b"", b"one two three four five six seven eight"]
+    found = index.searcher()(texts)
+    assert found == [[(1, 0, 3, 0)], [(1, 1, 4, 0)], [], [], [(3, 0, 7, 0), (2, 6, 7, 0)]]
+
+
 def test_long_items_with_all_allowed_edits_are_found():
     """Items of 64 to 400 words, each with as many edits as are allowed, in words of their own."""
     draw = random.Random(11)
