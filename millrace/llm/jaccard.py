@@ -8,7 +8,8 @@ them is the one of least estimated cost. Sets that meet are verified by their fu
 
 In a list only the smallest member is compared with the others at first. Lists whose members are all
 linked by then are done, which settles groups of copies in linear time; the others drop their
-smallest member and go on, until the pairs that are left are few enough to compare at once.
+smallest member and go on, until the pairs that are left are few enough to compare at once. That gives
+the components (`jaccard_classes`); the join itself, every link, is `jaccard_links`.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ BLOCK = 2_000_000
 PAIRS_PER_ROW = 8
 """All pairs of the open lists are compared at once when they are at most so many per posting."""
 
+SPREAD = 1_000
+"""Members of a list that are compared with as many others in one group, where every pair is asked for."""
+
 BOUNDARIES = (1, 2, 4, 8, 12, 16, 24, 32, 48, 64)
 SEEN = 200_000
 """Set ids a task remembers to post equal sets once."""
@@ -285,8 +289,67 @@ def jaccard_classes(
     or blank text has an empty set and is its own component. Repeated rows come back as often as they
     came; NULL ids are never a component id. `root` numbers the component (NULL for empty sets). An empty table gives no rows. Sets are compared by
     64-bit shingle hashes; two sets with equal 64-bit ids but unequal contents raise an error. The
-    links found are enough to connect every component: two sets already connected are not compared.
+    links found are enough to connect every component: two sets already connected are not compared. For
+    all links see `jaccard_links`.
     """
+    about, classes, lists, bodies, boundary = _gathered(spark, docs, row_id, text, size, percent)
+    links, roots = _link(spark, lists, bodies, boundary, size, percent)
+    discard(spark, bodies)
+
+    named = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
+        "sid", "doc", F.coalesce("root", "sid").alias("root")
+    )
+    first = named.groupBy("root").agg(F.min("doc").alias("component_id"))
+    answer = about.join(named.select("sid", "root").join(first, "root"), "sid", "left").select(
+        F.col("doc").alias(row_id),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc").alias("component_id"),
+        "root",
+    )
+    return answer, links
+
+
+def jaccard_links(
+    spark: SparkSession, docs: DataFrame, row_id: str, text: str, size: int = WORDS, percent: int = PERCENT
+) -> tuple[DataFrame, DataFrame]:
+    """(`row_id`, `n_shingles`, `set_id`, `n_links` for every row; all links `a` < `b` of different sets).
+
+    `n_links` is the number of other rows whose set reaches `percent` with the row's. Rows with equal
+    sets have one `set_id`, which is what `a` and `b` hold, and are linked. An empty set has no links.
+    Every pair that could reach `percent` is verified, so a group of n near copies costs its square. See
+    `jaccard_classes` for odd input.
+    """
+    about, _, lists, bodies, boundary = _gathered(spark, docs, row_id, text, size, percent)
+    groups = lists.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("groups"))
+    held = lists.join(groups, "sig").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("groups")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    left = held.select("sig", "sid", "n", "pos", F.col("own").alias("l"), each.alias("r"))
+    right = held.select(
+        "sig", F.col("sid").alias("o"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("own").alias("r"), each.alias("l")
+    )
+    met = left.join(right, ["sig", "l", "r"]).where("sid < o")
+    pairs = stored(spark, _candidates(met, boundary, percent), "all-candidates")
+    links = stored(spark, _verify(pairs, bodies, size, percent), "all-links")
+    discard(spark, pairs)
+    discard(spark, bodies)
+
+    copies = about.where("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("copies"))
+    ends = links.select(F.col("a").alias("sid"), F.col("b").alias("other")).unionByName(
+        links.select(F.col("b").alias("sid"), F.col("a").alias("other"))
+    )
+    near = ends.join(copies.withColumnRenamed("sid", "other"), "other").groupBy("sid").agg(F.sum("copies").alias("near"))
+    answer = about.join(copies.join(near, "sid", "left"), "sid", "left").select(
+        F.col("doc").alias(row_id),
+        F.col("n").alias("n_shingles"),
+        F.col("sid").alias("set_id"),
+        (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("near", F.lit(0))).alias("n_links"),
+    )
+    return answer, links
+
+
+def _gathered(spark: SparkSession, docs: DataFrame, row_id: str, text: str, size: int, percent: int):
+    """(documents with their sets, different sets, lists of the sets that meet, their texts, the
+    largest size of a light set)."""
     told = stored(spark, _describe(docs, row_id, text, size), "shingle-sets")
     about = told.where("kind = 0")
     classes = stored(
@@ -318,20 +381,21 @@ def jaccard_classes(
     met = stored(spark, lists.select("sid").distinct().join(classes.select("sid", "doc"), "sid"), "met-sets")
     unique = about.groupBy("doc").count().where("count > 1").isEmpty()
     bodies = stored(spark, _bodies(docs, row_id, text, met, size, unique), "bodies")
-    links, roots = _link(spark, lists, bodies, boundary, size, percent)
-    discard(spark, bodies)
-
-    named = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "sid", "doc", F.coalesce("root", "sid").alias("root")
+    return about, classes, lists, bodies, boundary
+
+
+def _candidates(met: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """The pairs `a` < `b` that may reach `percent` of members (`sid`, `n`, `pos`) and (`o`, `m`, `q`)
+    that meet in a list."""
+    light_pair = (F.col("n") <= boundary) & (F.col("m") <= boundary) & (F.col("sig").bitwiseAND(1) == 1)
+    return (
+        met.where(_close(F.col("n"), F.col("m"), percent) & ~light_pair)
+        # Where an element is the first that two sets share, no more than what follows it in
+        # either can be shared; a close pair passes in the list of its first one.
+        .where((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) >= percent * (F.col("n") + F.col("m")))
+        .select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b"))
+        .distinct()
     )
-    first = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    answer = about.join(named.select("sid", "root").join(first, "root"), "sid", "left").select(
-        F.col("doc").alias(row_id),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc").alias("component_id"),
-        "root",
-    )
-    return answer, links
 
 
 def _link(
@@ -365,16 +429,7 @@ def _link(
             found = lists.select(
                 "sig", "sid", "n", "root", "pos", *[F.col(f"head.{c}").alias(a) for c, a in zip(("sid", "n", "root", "pos"), "ompq")]
             ).where("sid != o")
-        light_pair = (F.col("n") <= boundary) & (F.col("m") <= boundary) & (F.col("sig").bitwiseAND(1) == 1)
-        found = (
-            found.where(F.col("root") != F.col("p"))
-            .where(_close(F.col("n"), F.col("m"), percent) & ~light_pair)
-            # Where an element is the first that two sets share, no more than what follows it in
-            # either can be shared; a close pair passes in the list of its first one.
-            .where((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) >= percent * (F.col("n") + F.col("m")))
-            .select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b"))
-            .distinct()
-        )
+        found = _candidates(found.where(F.col("root") != F.col("p")), boundary, percent)
         new = stored(spark, found.join(done, ["a", "b"], "left_anti"), "candidates")
         done = done.unionByName(new)
         links = links.unionByName(stored(spark, _verify(new, bodies, size, percent), "verified"))

@@ -198,6 +198,23 @@ def test_jaccard_goes_round_by_round(spark, monkeypatch):
     assert ordered(answer.drop("root").collect()) == sorted(near_components(rows, 1, 80), key=repr)
 
 
+def test_jaccard_gives_every_link(spark, rows, monkeypatch):
+    """In a group of near copies all pairs are linked, not only enough to connect them."""
+    monkeypatch.setattr(jaccard, "SPREAD", 2)
+    base = [f"v{k}" for k in range(40)]
+    near = [(500 + k, " ".join(w for i, w in enumerate(base) if i != 5 * k)) for k in range(7)]
+    every = rows + near + near[:1]
+    sets = [set(WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))) for _, t in every]
+    link = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = [
+        (doc, len(sets[i]), sum(link(sets[i], s) for j, s in enumerate(sets) if j != i)) for i, (doc, _) in enumerate(every)
+    ]
+    answer, links = jaccard.jaccard_links(spark, frame(spark, every), "doc_id", "text", 1, 80)
+    assert ordered(answer.drop("set_id").collect()) == sorted(want, key=repr)
+    different = {frozenset(s) for s in sets}
+    assert links.count() == sum(link(a, b) for a in different for b in different if a != b) // 2
+
+
 def test_boundary_follows_cost():
     assert jaccard.choose_boundary([(1000, 10)], 5.0, 80) < 1000
     assert jaccard.choose_boundary([(10, 1000)], 50.0, 80) >= 10
