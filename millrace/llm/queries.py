@@ -1,6 +1,6 @@
 """All queries of the subpackage; importing this registers them."""
 
-from millrace.llm import bpe, compression, decontaminate, jaccard, lines, sharding, substrings, suffixes, toxicity, urls  # noqa: F401
+from millrace.llm import bpe, compression, decontaminate, jaccard, languages, lines, negatives, sharding, substrings, suffixes, toxicity, urls, whitening  # noqa: F401
 from millrace.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
