@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -200,13 +201,50 @@ def fit_languages(docs: DataFrame, row_id: str, text: str, lang: str, size: int
         return run
 
     told = map_text(sample, ["_lang", "_key"], "_text", schema, make).where("at is not null")
-    rows = told.withColumn("place", place).where(F.col("place") <= 2 * share).toPandas()
-    languages = sorted(set(rows["_lang"]))
-    x = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for i, (at, value) in enumerate(zip(rows["at"], rows["value"])):
-        x[i, at] = value
-    which = np.array([languages.index(v) for v in rows["_lang"]], np.int64)
-    return fit_model(languages, x, which, (rows["place"] % 4 == 0).to_numpy(dtype=bool))
+    rows = told.withColumn("place", place).where(F.col("place") <= 2 * share).select("_lang", "at", "value", "place")
+    out = T.StructType(
+        [
+            T.StructField("languages", T.ArrayType(T.StringType())),
+            T.StructField("weights", T.BinaryType()),
+            T.StructField("trust", T.ArrayType(T.DoubleType())),
+            T.StructField("sharpness", T.DoubleType()),
+            T.StructField("usual_gap", T.DoubleType()),
+        ]
+    )
+    made = rows.repartition(1).mapInArrow(_fit_sample, out).first()
+    if made is None or not made["languages"]:
+        return fit_model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), np.zeros(0, dtype=bool))
+    code = codewords(len(made["languages"]))
+    weights = np.frombuffer(bytes(made["weights"]), np.float32).reshape(DIMENSIONS + 1, code.shape[1])
+    return LanguageModel(made["languages"], code, weights, np.array(made["trust"]), made["sharpness"], made["usual_gap"])
+
+
+def _fit_sample(batches):
+    """The model of the whole sample, in one task, as one row."""
+    names, places, parts = [], [], []
+    for batch in batches:
+        lang, at, value, place = batch.columns
+        x = np.zeros((len(batch), DIMENSIONS), np.float32)
+        rows = np.repeat(np.arange(len(batch)), np.asarray(pa.compute.list_value_length(at)))
+        x[rows, np.asarray(at.flatten())] = np.asarray(value.flatten())
+        parts.append(x)
+        names += lang.to_pylist()
+        places += place.to_pylist()
+    languages = sorted(set(names))
+    number = {name: k for k, name in enumerate(languages)}
+    which = np.array([number[n] for n in names], np.int64)
+    x = np.concatenate(parts) if parts else np.zeros((0, DIMENSIONS), np.float32)
+    model = fit_model(languages, x, which, np.array(places, np.int64) % 4 == 0)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([languages], pa.list_(pa.string())),
+            pa.array([model.weights.tobytes()], pa.binary()),
+            pa.array([model.trust.tolist()], pa.list_(pa.float64())),
+            pa.array([float(model.sharpness)]),
+            pa.array([float(model.usual_gap)]),
+        ],
+        names=["languages", "weights", "trust", "sharpness", "usual_gap"],
+    )
 
 
 def predict_languages(docs: DataFrame, row_id: str, text: str, model: LanguageModel) -> DataFrame:
