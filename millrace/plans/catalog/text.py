@@ -91,13 +91,25 @@ _DAMAGED = "SELECT event_id, event_id % 13 <> 0 AS accepted FROM events"
 
 
 def _land_damaged(spark, folder):
-    """Events one per line; every 13th is cut short in the middle of its file."""
+    """Events of which every 13th is cut short in the middle of its file: one per line, spread over lines
+    with objects inside that begin lines of their own, and in arrays on one line."""
     events = table(spark, folder, "events")
-    body = codec.encode(EVENT.names)
-    short = body.substr(F.lit(1), F.length(body) - 4)
     path = scratch(spark, "damaged")
-    events.select(F.when(F.col("event_id") % 13 == 0, short).otherwise(body)).write.text(path)
-    return path
+    inner = F.array(F.struct(F.lit(-1).alias("event_id")), F.struct(F.lit(-2).alias("event_id")))
+    nested = F.to_json(F.struct("event_id", inner.alias("parts"), "user_id", "event_type"))
+    body = codec.encode(EVENT.names)
+    # A cut behind a comma leaves no trace but that an object cannot follow there.
+    behind_comma = F.regexp_extract(body, r'^\{"event_id":\d+,', 0)
+    layouts = (
+        ("lines", body, body.substr(F.lit(1), F.length(body) - 4), "\n"),
+        ("nested", F.replace(nested, F.lit("{"), F.lit("\n{")), F.replace(nested.substr(F.lit(1), F.length(nested) - 4), F.lit("{"), F.lit("\n{")), "\n"),
+        ("array", body, behind_comma, ","),
+    )
+    for n, (name, whole, short, between) in enumerate(layouts):
+        text = F.when(F.col("event_id") % 13 == 0, short).otherwise(whole)
+        rows = events.where(F.coalesce(F.col("event_id") % 3, F.lit(0)) == n)
+        rows.select(text).write.option("lineSep", between).text(f"{path}/{name}")
+    return f"{path}/*"
 
 
 @query("json_framing_damaged", _DAMAGED)

@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import NamedTuple
-from urllib.parse import unquote
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import WindowSpec
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from millrace.functions.codec import decode_dead_letter, decode_skip
+from millrace.session import materialized, scratch_scope
+from millrace.sources.framing import framed
 from millrace.sources.topics import ANY_AGE, start
 
 BIG_FILE = 256 * 1024 * 1024
-"""Files above this size are framed block by block instead of file by file."""
+"""Files above this size are framed block by block, even where they are read in one block."""
 
 COMPRESSED = r"\.(gz|bz2|zst|zstd|snappy|lz4|deflate|xz)\z"
 """Files whose size on disk says nothing about their last byte; it is taken to be a `}`."""
@@ -28,6 +27,7 @@ _SCAN = [
     "_metadata.file_path AS path",
     "_metadata.file_size AS size",
     "_metadata.file_block_start AS block",
+    "_metadata.file_block_length AS length",
 ]
 
 
@@ -47,217 +47,36 @@ def stream_json_pieces(
 
 
 class FramedJson(NamedTuple):
-    """`objects`: (path, position, body) in file order. `rejects`: (path, position, body, reason),
-    text that is no object; positions of both count on through a damaged file."""
+    """`objects`: (path, position, body). `rejects`: (path, position, body, reason), text that is no object.
+    The position is the byte of the file the text begins at."""
 
     objects: DataFrame
     rejects: DataFrame
 
 
 def frame_json_checked(pieces: DataFrame, big_file: int = BIG_FILE) -> FramedJson:
-    """The objects of each file, and what of damaged files is none.
-
-    A file is damaged if its strings or braces do not balance, or close before they open. Those are
-    read again in segments that begin where a line begins with `{`, so that one bad record costs
-    itself and not what follows; what remains unframed is rejected, never dropped (but for
-    separators, and a lone brace that ends the file). Sound files
-    are framed as by `frame_json`. Finding the damaged ones is a job that runs here; their
-    names return to the driver, not their text.
+    """The objects of each file, and what of damaged files is none: records that never close, and text outside
+    any object but for separators and a lone brace that ends the file. One bad record costs itself and not what
+    follows; see `millrace.sources.framing`. Both come from one pass, which is written to scratch.
     """
-    spark = pieces.sparkSession
-    sums = _sums(pieces, big_file)
-    totals = sums.groupBy("path").agg(
-        F.sum("quotes").alias("quotes"), F.sum("delta").alias("left"), F.min(F.col("depth") + F.col("delta")).alias("low")
-    )
-    broken = totals.where((F.col("quotes") % 2 != 0) | (F.col("left") != 0) | (F.col("low") < 0))
-    paths = [r[0] for r in broken.select("path").collect()]
-    sound = pieces.where(~F.col("path").isin(paths)) if paths else pieces
-    objects = frame_json(sound, big_file)
-    schema = "path string, position bigint, body string, reason string"
-    if not paths:
-        return FramedJson(objects, spark.createDataFrame([], schema))
-    segments = (
-        spark.read.option("lineSep", "\n{")
-        .text([unquote(p) for p in paths])
-        .selectExpr("value", "_metadata.file_path AS path", "_metadata.file_block_start AS block")
-        .withColumn("number", F.monotonically_increasing_id())
-    )
-    in_file = Window.partitionBy("path").orderBy("block", "number")
-    segments = segments.withColumn("number", F.row_number().over(in_file).cast("bigint"))
-    # The cut took the brace of every segment but the first of its file.
-    text = F.when(F.col("number") == 1, F.col("value")).otherwise(F.concat(F.lit("{"), "value"))
-    found = segments.select("path", "number", text.alias("text")).mapInArrow(
-        _frame_segments, "path string, number bigint, at bigint, body string, reason string"
-    )
-    order = Window.partitionBy("path").orderBy("number", "at")
-    found = found.select(
-        "path", (F.row_number().over(order) - 1).cast("bigint").alias("position"), "body", "reason"
-    )
-    saved = found.where("reason IS NULL").drop("reason")
-    return FramedJson(objects.unionByName(saved), found.where("reason IS NOT NULL"))
-
-
-def _frame_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("path", "number", "at", "body", "reason")
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    for batch in batches:
-        rows = []
-        for path, number, text in zip(*(c.to_pylist() for c in batch.columns)):
-            for at, (body, reason) in enumerate(objects_of(text)):
-                rows.append((path, number, at, body, reason))
-        columns = zip(*rows) if rows else [()] * len(names)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=list(names)
-        )
-
-
-def objects_of(text: str) -> list[tuple[str, str | None]]:
-    """(object, None) and (other text, reason) in the order of `text`."""
-    out: list[tuple[str, str | None]] = []
-    at, depth, first, quoted = 0, 0, 0, False
-    for token in _TOKEN.finditer(text):
-        mark = token.group()
-        if depth and mark == '"':
-            quoted = not quoted
-        elif quoted or mark[0] == "\\":
-            continue
-        elif mark == "{":
-            if not depth:
-                _reject(out, text[at : token.start()])
-                first = token.start()
-            depth += 1
-        elif mark == "}" and depth:
-            depth -= 1
-            if not depth:
-                out.append((text[first : token.end()], None))
-                at = token.end()
-    if depth:
-        out.append((text[first:], "unclosed"))
-    else:
-        _reject(out, text[at:])
-    return out
-
-
-_TOKEN = re.compile(r'(?s)\\.|["{}]')
-
-
-def _reject(out: list[tuple[str, str | None]], text: str) -> None:
-    text = text.strip(" \t\r\n,[]")
-    if text:
-        out.append((text, "outside any object"))
+    items = materialized(framed(pieces, big_file, COMPRESSED), "framed")
+    return FramedJson(items.where("reason IS NULL").drop("reason"), items.where("reason IS NOT NULL"))
 
 
 def frame_json(pieces: DataFrame, big_file: int = BIG_FILE) -> DataFrame:
-    """(path, position, body): the top-level objects of each file, in file order.
+    """(path, position, body): the top-level objects of each file.
 
-    Accepts one object per file, arrays, objects in a row and one per line. Braces and
-    quotes inside strings do not count. This takes sound files: an object cut off by the end of
-    its file is dropped, and damage hides what follows it; see `frame_json_checked`. Files
-    above `big_file` bytes are scanned per input block and then shifted by the totals of the
-    blocks before; smaller ones are scanned whole.
+    Accepts one object per file, arrays, objects in a row and one per line. Braces and quotes inside strings do
+    not count. What is no object is left out; see `frame_json_checked`. Files above `big_file` bytes, and all
+    that Spark reads in several blocks, are scanned once more for the state each block starts from.
     """
-    # Filters on the file size prune whole files, so they come before the numbering.
-    big = pieces.where(F.col("size") > big_file)
-    if big.isEmpty():
-        return _frame(pieces, by_block=False)
-    small = _frame(pieces.where(F.col("size") <= big_file), by_block=False)
-    return small.unionByName(_frame(big, by_block=True))
-
-
-def _sums(pieces: DataFrame, big_file: int) -> DataFrame:
-    """Pieces with quotes, depth before and change of depth."""
-    big = pieces.where(F.col("size") > big_file)
-    if big.isEmpty():
-        return _depths(pieces, by_block=False)
-    small = _depths(pieces.where(F.col("size") <= big_file), by_block=False)
-    return small.unionByName(_depths(big, by_block=True))
-
-
-def _depths(pieces: DataFrame, by_block: bool) -> DataFrame:
-    # Escape pairs go first, so every quote left opens or closes a string.
-    plain = F.regexp_replace("value", r"(?s)\\.", "")
-    df = pieces.withColumns(
-        {
-            "pos": F.monotonically_increasing_id(),
-            "quotes": _count(plain, '"'),
-            "bytes": F.octet_length("value") + 1,
-        }
-    )
-    df = _before(df, {"quotes": "quotes_before", "bytes": "bytes_before"}, by_block)
-    inside = F.col("quotes_before") % 2 == 1
-    ends_outside = (F.col("quotes_before") + F.col("quotes")) % 2 == 0
-    # The scan cuts at `}` without keeping it. A file not ending in one has a last piece
-    # that is one byte shorter than the cutting suggests.
-    closed = (F.col("bytes_before") + F.col("bytes") <= F.col("size")) | F.col("path").rlike(
-        COMPRESSED
-    )
-    outside = F.regexp_replace(
-        F.concat(F.when(inside, '"').otherwise(""), plain), r'(?s)"[^"]*(?:"|\z)', ""
-    )
-    brace = (closed & ends_outside).cast("long")
-    df = df.withColumn("brace", brace).withColumn("delta", _count(outside, "{") - F.col("brace"))
-    df = df.withColumn("body", F.concat("value", F.when(closed, "}").otherwise("")))
-    df = df.select("path", "block", "pos", "body", "quotes", "brace", "delta")
-    return _before(df, {"delta": "depth"}, by_block)
-
-
-def _frame(pieces: DataFrame, by_block: bool) -> DataFrame:
-    df = _depths(pieces, by_block).drop("quotes")
-    ends = (F.col("brace") == 1) & (F.col("depth") + F.col("delta") == 0)
-    df = _before(df.withColumn("ends", ends.cast("long")), {"ends": "position"}, by_block)
-    piece = F.struct("block", "pos", "body")
-    # What follows the last closed object of a file goes before lists are built.
-    last = F.max(F.when(F.col("ends") == 1, F.col("position")))
-    if by_block:
-        ended = df.groupBy(F.col("path").alias("o_path")).agg(last.alias("o_last"))
-        df = df.join(ended, F.col("path") == F.col("o_path"))
-    else:
-        df = df.withColumn("o_last", last.over(Window.partitionBy("path")))
-    df = df.where(F.col("position") <= F.col("o_last"))
-    # One object's pieces: as many as it has closing braces.
-    objects = df.groupBy("path", "position").agg(
-        F.array_sort(F.collect_list(piece)).alias("pieces"), F.max("ends").alias("ends")
-    )
-    text = F.array_join(F.transform("pieces", lambda p: p["body"]), "")
-    return objects.where("ends = 1").select(
-        "path", "position", F.regexp_replace(text, r"^[\s,\[\]]+", "").alias("body")
-    )
-
-
-def _count(text: Column, char: str) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))).cast("long")
-
-
-def _before(df: DataFrame, names: dict[str, str], by_block: bool) -> DataFrame:
-    """Per entry value -> name, add the sum of `value` over earlier pieces of the file."""
-
-    def sums(spec: WindowSpec, columns: list[str]) -> list[Column]:
-        earlier = spec.rowsBetween(Window.unboundedPreceding, -1)
-        return [F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in columns]
-
-    values = list(names)
-    if not by_block:
-        whole_file = Window.partitionBy("path").orderBy("block", "pos")
-        return df.withColumns(dict(zip(names.values(), sums(whole_file, values))))
-    totals = df.groupBy("path", "block").agg(*[F.sum(v).alias(v) for v in values])
-    blocks = sums(Window.partitionBy("path").orderBy("block"), values)
-    starts = totals.select(
-        F.col("path").alias("s_path"),
-        F.col("block").alias("s_block"),
-        *[start.alias(f"s_{v}") for v, start in zip(values, blocks)],
-    )
-    joined = df.join(
-        starts, (F.col("path") == F.col("s_path")) & (F.col("block") == F.col("s_block"))
-    )
-    local = sums(Window.partitionBy("path", "block").orderBy("pos"), values)
-    shifted = {n: s + F.col(f"s_{v}") for (v, n), s in zip(names.items(), local)}
-    return joined.withColumns(shifted).drop("s_path", "s_block", *[f"s_{v}" for v in values])
+    return framed(pieces, big_file, COMPRESSED).where("reason IS NULL").drop("reason")
 
 
 def ingest_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """All records of a landing directory as they are now; undecodable ones are skipped. See
     `ingest_json_checked` for what was skipped."""
-    objects = frame_json_checked(read_json_pieces(spark, path)).objects
+    objects = frame_json(read_json_pieces(spark, path))
     return decode_skip(objects, "body", schema).drop("path", "position")
 
 
@@ -289,14 +108,13 @@ def ingest_json_stream(
     is no record to `rejects(frame, batch_id)`, if given."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
+        if not rejects:
+            sink(decode_skip(frame_json(batch), "body", schema).drop("path", "position"), batch_id)
+            return
+        with scratch_scope(spark):
             records, rejected = _decoded(frame_json_checked(batch), schema)
             sink(records, batch_id)
-            if rejects:
-                rejects(rejected, batch_id)
-        finally:
-            batch.unpersist()
+            rejects(rejected, batch_id)
 
     return start(stream_json_pieces(spark, path, max_files_per_trigger), each, checkpoint, trigger)
 
