@@ -6,17 +6,17 @@ enumerate the 2-subsets of a prefix that is one longer; two light sets meet only
 whole subset. Heavy sets scan the inverted lists of their prefix elements. The size that divides
 them is the one of least estimated cost. Sets that meet are verified by their full intersection.
 
-In a list only the smallest member is compared with the others at first. Lists whose members are all
-linked by then are done, which settles groups of copies in linear time; the others drop their
-smallest member and go on, until the pairs that are left are few enough to compare at once. That gives
-the components (`jaccard_classes`); the join itself, every link, is `jaccard_links`.
+In a list only a few members, its heads, are compared with the others at first. Lists whose members are
+all connected by then are done, which settles groups of copies in linear time; the others drop their heads
+and go on with more of them, until every member has been one. That gives the components
+(`jaccard_classes`); the join itself, every link, is `jaccard_links`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +35,11 @@ FREQUENT_FROM = 6
 BLOCK = 2_000_000
 """Shingles a task counts at once when it looks for frequent ones."""
 
-PAIRS_PER_ROW = 8
-"""All pairs of the open lists are compared at once when they are at most so many per posting."""
+HEADS = 4
+"""Members of a list that all others are compared with in the first round."""
+
+HEADS_GROW = 16
+"""Times as many in each further round, so that the rounds are few whatever the length of a list."""
 
 SPREAD = 1_000
 """Members of a list that are compared with as many others in one group, where every pair is asked for."""
@@ -401,43 +404,68 @@ def _candidates(met: DataFrame, boundary: int, percent: int) -> DataFrame:
 def _link(
     spark: SparkSession, lists: DataFrame, bodies: DataFrame, boundary: int, size: int, percent: int
 ):
-    """(links `a`, `b`; `node`, `root` of every linked set), from lists of `sig`, `sid`, `n`."""
+    """(links `a`, `b`; `node`, `root` of every linked set), from lists of `sig`, `sid`, `n`, `pos`."""
     links = done = spark.createDataFrame([], "a bigint, b bigint")
-    roots = spark.createDataFrame([], "node bigint, root bigint")
+    labels, heads = None, HEADS
     while True:
-        named = lists.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
-            "root", F.coalesce("root", "sid")
-        )
-        mixed = named.groupBy("sig").agg(
-            F.min("root").alias("lo"),
-            F.max("root").alias("hi"),
-            F.min(F.struct("sid", "n", "root", "pos")).alias("head"),
-            F.count(F.lit(1)).alias("size"),
-        ).where("lo < hi").select("sig", "head", "size")
-        # Only lists with members that are not all connected go on.
-        lists = stored(spark, named.join(mixed, "sig"), "open-lists")
-        rows, pairs = lists.agg(F.count(F.lit(1)), F.sum((F.col("size") - 1) / 2)).first()
-        if not rows:
+        # Only lists with members that are not known to be connected go on.
+        named = lists.withColumn("root", F.col("sid"))
+        if labels is not None:
+            named = lists.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        mixed = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
+        lists = stored(spark, named.join(mixed.where("lo < hi").select("sig", "size"), "sig"), "open-lists")
+        longest = lists.agg(F.max("size")).first()[0]
+        if longest is None:
             break
-        at_once = pairs <= PAIRS_PER_ROW * rows
-        if at_once:
-            other = lists.select(
-                "sig", F.col("sid").alias("o"), F.col("n").alias("m"), F.col("root").alias("p"), F.col("pos").alias("q")
-            )
-            found = lists.join(other, "sig").where("sid < o")
-        else:
-            found = lists.select(
-                "sig", "sid", "n", "root", "pos", *[F.col(f"head.{c}").alias(a) for c, a in zip(("sid", "n", "root", "pos"), "ompq")]
-            ).where("sid != o")
-        found = _candidates(found.where(F.col("root") != F.col("p")), boundary, percent)
-        new = stored(spark, found.join(done, ["a", "b"], "left_anti"), "candidates")
+        placed = _placed(lists, heads)
+        new = _candidates(_head_pairs(placed), boundary, percent).join(done, ["a", "b"], "left_anti")
+        new = stored(spark, new, "candidates")
         done = done.unionByName(new)
         links = links.unionByName(stored(spark, _verify(new, bodies, size, percent), "verified"))
-        roots = stored(spark, components(spark, links), "components")
-        if at_once:
+        if longest <= heads:
             break
-        lists = lists.where("sid != head.sid").select("sig", "sid", "n", "pos")
-    return links, roots
+        labels = stored(spark, _labels(links), "labels")
+        lists = placed.where((F.col("size") > heads) & ~F.col("head")).select("sig", "sid", "n", "pos")
+        heads *= HEADS_GROW
+    return links, stored(spark, components(spark, links), "components")
+
+
+def _placed(lists: DataFrame, heads: int) -> DataFrame:
+    """Whether a member is one of about `heads` heads of its list, and the list before this one in which the
+    set still is. Heads are drawn by one hash of the set, so a head of a list is one of every shorter list
+    it is in; a list of up to `heads` members has heads only."""
+    turn = F.pmod(F.xxhash64(F.lit("head"), "sid"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    kind = F.col("sig").bitwiseAND(1)
+    before = Window.partitionBy("sid", kind).orderBy("pos")
+    return lists.withColumns(
+        {
+            "head": (F.col("size") <= heads) | (turn * F.col("size") < heads),
+            # Light sets have many subsets at one place; those are not in order.
+            "prev": F.when(kind == 1, F.lag("sig").over(before)),
+            "prev_size": F.lag("size").over(before),
+        }
+    )
+
+
+def _head_pairs(placed: DataFrame) -> DataFrame:
+    """Members with the heads of their lists, if not known to be connected. Sets that have met in the list
+    before, where the head is one too, do not meet again."""
+    heads = placed.where("head").select(
+        "sig",
+        *[F.col(c).alias(a) for c, a in zip(("sid", "n", "root", "pos", "prev"), ("o", "m", "p", "q", "o_prev"))],
+    )
+    met_before = F.coalesce((F.col("prev") == F.col("o_prev")) & (F.col("prev_size") <= F.col("size")), F.lit(False))
+    once = (F.col("sid") < F.col("o")) | (~F.col("head") & (F.col("sid") != F.col("o")))
+    return placed.join(heads, "sig").where(once & (F.col("root") != F.col("p")) & ~met_before)
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """`node`, `root`: the smallest set within two links and more. Equal labels are connected; the other way
+    round it need not hold, and `components` comes last."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    near = both.join(low.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("near"))
+    return low.join(near, "a").select(F.col("a").alias("node"), F.least("low", "near").alias("root"))
 
 
 OP7_SQL = r"""
