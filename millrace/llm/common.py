@@ -97,18 +97,17 @@ def filter_rows(
     df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes]], list[bool]]]
 ) -> DataFrame:
     """Rows of `df`, all columns, whose text passes. `make()` runs once per task and returns the
-    function from texts (bytes, NULL as empty) to whether each row stays."""
+    function from texts (bytes, NULL as empty) to whether each row stays. Only the text travels to
+    Python, and a flag comes back."""
 
-    def run(batches):
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         function = make()
-        for batch in batches:
-            at = 0
-            for piece in byte_slices([batch], [], text):
-                rows = batch.slice(at, len(piece[text]))
-                at += len(rows)
-                yield rows.filter(pa.array(function(piece[text]), pa.bool_()))
+        for array in arrays:
+            batch = pa.RecordBatch.from_arrays([array], names=["text"])
+            passed = [ok for piece in byte_slices([batch], [], "text") for ok in function(piece["text"])]
+            yield pa.array(passed, pa.bool_())
 
-    return df.mapInArrow(run, df.schema)
+    return df.where(F.arrow_udf(run, "boolean", F.ArrowUDFType.SCALAR_ITER)(F.col(text)))
 
 
 class Cache(dict):
@@ -141,7 +140,7 @@ def word_hashes() -> Cache:
     """Word (bytes) to a 64-bit number."""
     import xxhash
 
-    return Cache(400_000, xxhash.xxh3_64_intdigest)
+    return Cache(150_000, xxhash.xxh3_64_intdigest)
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -424,7 +424,7 @@ def _link(
         links = links.unionByName(stored(spark, _verify(new, bodies, size, percent), "verified"))
         if longest <= heads:
             break
-        labels = stored(spark, _labels(links), "labels")
+        labels = _labels(spark, links)
         lists = placed.where((F.col("size") > heads) & ~F.col("head")).select("sig", "sid", "n", "pos")
         heads *= HEADS_GROW
     return links, stored(spark, components(spark, links), "components")
@@ -459,9 +459,20 @@ def _head_pairs(placed: DataFrame) -> DataFrame:
     return placed.join(heads, "sig").where(once & (F.col("root") != F.col("p")) & ~met_before)
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """`node`, `root`: the smallest set within two links and more. Equal labels are connected; the other way
-    round it need not hold, and `components` comes last."""
+def _labels(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """`node`, `root`: smallest sets of neighbourhoods, passed on in two rounds, the second between those of the
+    first. Equal labels are connected; the other way round it need not hold, and `components` comes last."""
+    first = stored(spark, _smallest_near(links), "labels")
+    top = lambda end: first.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    between = links.join(top("a"), "a").join(top("b"), "b").where("a_root != b_root")
+    second = _smallest_near(between.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    second = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    merged = first.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return stored(spark, merged, "labels")
+
+
+def _smallest_near(links: DataFrame) -> DataFrame:
+    """`node`, `root`: the smallest set within two links of a set, or still nearer to those."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
     near = both.join(low.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("near"))

@@ -187,7 +187,7 @@ class ToxicityModel:
             get = self.weights.get
             return sum(get(t, 0.0) for t in terms_of(word)), self.voters.bits_of_word(word)
 
-        cache = Cache(200_000, word_value)
+        cache = Cache(100_000, word_value)
         matters = {1 << i: float(w) for i, w in enumerate(self.dense)}
         compiled = [re.compile(p) for p in self.voters.patterns]
         at = len(self.voters.names) - len(compiled)
@@ -215,7 +215,7 @@ def vote_counts(docs: DataFrame, row_id: str, text: str, voters: Voters) -> Data
     schema = T.StructType([T.StructField("votes", T.LongType())])
 
     def make():
-        cache = Cache(200_000, lambda w: voters.bits_of_word(plain_word(w)))
+        cache = Cache(100_000, lambda w: voters.bits_of_word(plain_word(w)))
         compiled = [re.compile(p) for p in voters.patterns]
         at = len(voters.names) - len(compiled)
 

@@ -185,8 +185,9 @@ def test_jaccard_of_nothing(spark, nothing):
 
 
 def test_jaccard_goes_round_by_round(spark, monkeypatch):
-    """Many sets that share an element and form several components, with few pairs allowed at once."""
-    monkeypatch.setattr(jaccard, "PAIRS_PER_ROW", 0.1)
+    """Many sets that share an element and form several components, with few heads in each round."""
+    monkeypatch.setattr(jaccard, "HEADS", 1)
+    monkeypatch.setattr(jaccard, "HEADS_GROW", 2)
     monkeypatch.setattr(jaccard, "FREQUENT_FROM", 10**9)
     rows = []
     for group in range(4):
