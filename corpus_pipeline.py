@@ -23,12 +23,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below `TOXIC_FROM`. NULL and empty texts have no words and stay."""
+    """Documents that score below `TOXIC_FROM`. NULL, empty and blank texts have no words and stay whatever
+    the model says of them. Ties, repeated rows and columns of any name pass through; texts are scored whole."""
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
 
     def make():
         score = model.scorer()
-        return lambda texts: [score(x) < TOXIC_FROM for x in texts]
+        return lambda texts: [not x.strip() or score(x) < TOXIC_FROM for x in texts]
 
     return filter_rows(docs, "text", make)
 
