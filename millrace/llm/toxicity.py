@@ -253,7 +253,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, row_id: str, text: str, lab
 
     sample = labelled_sample(docs, labels, row_id, text, label, SAMPLE)
     rows = map_text(sample, ["_label"], text, words_schema, make).collect()
-    documents = [(set(r[0].split(" ")) - {""}, r[1]) for r in rows]
+    # One string for each different word, whatever the number of documents it is in.
+    known: dict[str, str] = {}
+    documents = [({known.setdefault(w, w) for w in r[0].split(" ")} - {""}, r[1]) for r in rows]
+    rows = [(None, None, r[2]) for r in rows]
+    del known
     truth = np.array([y for _, y in documents], dtype=float)
     voters = mine_voters(documents)
     found = vote_counts(docs, row_id, text, voters).collect()
@@ -288,8 +292,8 @@ def _train(documents, votes, posterior, rounds: int = 80):
     rows, columns = [], []
     for i, (words, _) in enumerate(documents):
         own = [index[t] for w in words for t in terms_of(w) if t in index]
-        rows.append(np.full(len(own), i, np.int64))
-        columns.append(np.array(own, np.int64))
+        rows.append(np.full(len(own), i, np.int32))
+        columns.append(np.array(own, np.int32))
     n, m, j = len(documents), len(index), votes.shape[1] if len(documents) else 0
     if not n:
         return {}, np.zeros(0), 0.0, np.zeros(0)
