@@ -1,105 +1,25 @@
 """Keyed state across micro-batches: running means, count windows, event-time windows.
 
-State is a log of changes in the shared folder: a micro-batch writes the new state of the keys it
-touches and nothing else, under its batch id, so a replayed batch finds its input untouched. Every
-`COMPACT_EVERY` batches the log is merged into one table of the newest rows, which bounds what a
-batch has to look through. The rows of a batch go through the same operators as in batch mode, hence
-a key that owns a third of a batch is still spread over many tasks, and order within a batch is by
-`order_by`, not by arrival.
+State lies in Spark's state store (see `millrace.streaming.keyed`). The rows of a batch go through the same
+operators as in batch mode, hence a key that owns a third of a batch is still spread over many tasks, and
+order within a batch is by `order_by`, not by arrival.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.operators.aggregate import call_stats, running_mean, window_number
-from millrace.operators.ordered import (
-    MAX_ROWS_PER_KEY,
-    KeySizes,
-    divide_by_keys,
-    key_sizes,
-    running_totals,
-)
+from millrace.operators.ordered import MAX_ROWS_PER_KEY, running_totals
 from millrace.operators.reference import drop_listed, read_key_list
 from millrace.operators.transforms import merge
-from millrace.session import delete_path, materialized, scratch_scope
+from millrace.session import scratch_scope
 from millrace.sources.topics import Topic, start
-
-COMPACT_EVERY = 10
-"""Batches from one merged state table to the next."""
-
-VERSION = "_version"
-
-
-class StateTable:
-    """The newest rows of every key. A batch replaces all rows of the keys it touches; a row whose
-    `mark` column is NULL only says that its key has none left."""
-
-    def __init__(self, path: str, schema: StructType, keys: Sequence[str], mark: str):
-        self.path, self.keys, self.mark = path, list(keys), mark
-        fields = [StructField(f.name, f.dataType) for f in schema.fields]
-        self.schema = StructType([*fields, StructField(VERSION, LongType())])
-
-    def _changes(self, batch_id: int) -> str:
-        return f"{self.path}/changes/{batch_id}"
-
-    def _merged(self, batch_id: int) -> str:
-        """State after the batch, for every `COMPACT_EVERY`th."""
-        return f"{self.path}/merged/{batch_id}"
-
-    def before(self, spark: SparkSession, batch_id: int, sizes: KeySizes | None) -> DataFrame | None:
-        """The rows a batch starts from, of the keys in `sizes` (without keys, all of them); None
-        for the first batch."""
-        rows = self._log(spark, batch_id)
-        if rows is None:
-            return None
-        if sizes is not None:
-            rows = divide_by_keys(rows, self.keys, sizes.counted.drop("_rows"), sizes.keys)[1]
-        return self._newest(rows).drop(VERSION)
-
-    def _log(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        first = batch_id - batch_id % COMPACT_EVERY
-        paths = [self._merged(first - 1)] if first else []
-        paths += [self._changes(n) for n in range(first, batch_id)]
-        return spark.read.schema(self.schema).parquet(*paths) if paths else None
-
-    def _newest(self, rows: DataFrame) -> DataFrame:
-        latest = rows.groupBy(*[F.col(k).alias(f"_at_{k}") for k in self.keys]).agg(
-            F.max(VERSION).alias("_latest")
-        )
-        same = reduce(
-            lambda a, b: a & b,
-            [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in self.keys],
-            F.col(VERSION) == F.col("_latest"),
-        )
-        return rows.join(latest, same, "left_semi").where(F.col(self.mark).isNotNull())
-
-    def after(self, touched: DataFrame, batch_id: int) -> None:
-        """Record the new rows of the keys of a batch."""
-        spark = touched.sparkSession
-        named = touched.withColumn(VERSION, F.lit(batch_id).cast("long"))
-        rows = named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
-        rows.write.mode("overwrite").parquet(self._changes(batch_id))
-        if (batch_id + 1) % COMPACT_EVERY == 0:
-            log = self._log(spark, batch_id).unionByName(
-                spark.read.schema(self.schema).parquet(self._changes(batch_id))
-            )
-            self._newest(log).write.mode("overwrite").parquet(self._merged(batch_id))
-            # A replay of this batch still needs what it started from; what is older can go.
-            last = batch_id - COMPACT_EVERY
-            for n in range(last - COMPACT_EVERY + 1, last + 1):
-                delete_path(spark, self._changes(n))
-            delete_path(spark, self._merged(last - COMPACT_EVERY))
-
-
-def _together(*frames: DataFrame | None) -> DataFrame:
-    return merge(*[f for f in frames if f is not None])
+from millrace.streaming.keyed import COUNT, TOTAL, KeyedFlow
 
 
 def stream_running_mean(
@@ -116,32 +36,20 @@ def stream_running_mean(
 ) -> StreamingQuery:
     """`running_mean` over an unbounded flow; the state survives restarts."""
     spark = stream.sparkSession
-    fields = [stream.schema[k] for k in keys]
-    schema = StructType(fields).add("_sum", "double").add("_count", "long")
-    state = StateTable(f"{checkpoint}-state", schema, keys, "_count")
+    keyed = KeyedFlow(stream, keys, F.col(value), F.col(value).isNotNull())
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             with scratch_scope(spark):
-                sizes = key_sizes(batch, keys) if keys else None
-                prior = state.before(spark, batch_id, sizes)
-                rows = running_mean(
-                    batch, keys, order_by, value, carry, prior, max_rows_per_key, sizes
-                )
+                own = keyed.divided(batch)
+                prior = own.before.withColumnsRenamed({TOTAL: "_sum", COUNT: "_count"})
+                rows = running_mean(own.records, keys, order_by, value, carry, prior, max_rows_per_key)
                 out.write_batch(rows, producer, batch_id)
-                seen = batch.select(
-                    *keys,
-                    F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_sum"),
-                    F.col(value).isNotNull().cast("long").alias("_count"),
-                )
-                totals = _together(seen, prior).groupBy(*keys)
-                touched = totals.agg(F.sum("_sum").alias("_sum"), F.sum("_count").alias("_count"))
-                state.after(touched, batch_id)
         finally:
             batch.unpersist()
 
-    return start(stream, each, checkpoint, trigger)
+    return start(keyed.flow, each, checkpoint, trigger)
 
 
 def stream_count_window(
@@ -159,53 +67,24 @@ def stream_count_window(
     """`count_window` over an unbounded flow: full runs are emitted as they complete; up to
     size - 1 records per key wait for the next batch."""
     spark = stream.sparkSession
-    counts = StateTable(
-        f"{checkpoint}-counts",
-        StructType([stream.schema[k] for k in keys]).add("_index", "long"),
-        keys,
-        "_index",
-    )
-    waiting = StateTable(
-        f"{checkpoint}-waiting",
-        StructType(list(stream.schema.fields)).add("_index", "long"),
-        keys,
-        "_index",
-    )
+    keyed = KeyedFlow(stream, keys, F.lit(0.0), F.lit(1), order_by, size)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             with scratch_scope(spark):
-                run_batch(batch, batch_id)
+                own = keyed.divided(batch)
+                before = own.before.select(*keys, F.col(COUNT).alias("_index"))
+                one = {"_index": F.lit(1).cast("long")}
+                indexed = running_totals(own.records, keys, order_by, one, before, max_rows_per_key)
+                open_rows = merge(indexed, own.waiting.withColumnRenamed(COUNT, "_index"))
+                runs = open_rows.withColumn("window", window_number(F.col("_index"), size))
+                full = runs.groupBy(*keys, "window").agg(*aggregates, F.count(F.lit(1)).alias("_in_run"))
+                out.write_batch(full.where(F.col("_in_run") == size).drop("_in_run"), producer, batch_id)
         finally:
             batch.unpersist()
 
-    def run_batch(batch: DataFrame, batch_id: int) -> None:
-        sizes = key_sizes(batch, keys) if keys else None
-        before = counts.before(spark, batch_id, sizes)
-        resumed = waiting.before(spark, batch_id, sizes)
-        one = {"_index": F.lit(1).cast("long")}
-        indexed = running_totals(batch, keys, order_by, one, before, max_rows_per_key, sizes)
-        open_rows = _together(indexed, resumed)
-        # A run holds at most `size` rows, so this window is small for any key.
-        run = Window.partitionBy(*keys, "window")
-        grouped = materialized(
-            open_rows.withColumn("window", window_number(F.col("_index"), size)).withColumn(
-                "_in_run", F.count(F.lit(1)).over(run)
-            ),
-            "runs",
-        )
-        full = grouped.where(F.col("_in_run") == size).groupBy(*keys, "window")
-        out.write_batch(full.agg(*aggregates), producer, batch_id)
-        partial = grouped.where(F.col("_in_run") < size).drop("window", "_in_run")
-        # A key whose runs are all full has nothing left to wait.
-        none_left = batch.select(*keys).distinct() if keys else batch.select().limit(1)
-        waiting.after(partial.unionByName(none_left, allowMissingColumns=True), batch_id)
-        fresh = batch.select(*keys, F.lit(1).cast("long").alias("_index"))
-        totals = _together(fresh, before).groupBy(*keys)
-        counts.after(totals.agg(F.sum("_index").alias("_index")), batch_id)
-
-    return start(stream, each, checkpoint, trigger)
+    return start(keyed.flow, each, checkpoint, trigger)
 
 
 def stream_call_stats(

@@ -262,21 +262,22 @@ def test_stream_mean_equals_batch_over_restarts(spark, source, limit):
     assert rows(out.read(spark), "k", "id", "mean", "records") == rows(expected, "k", "id", "mean", "records")
 
 
-def test_stream_mean_survives_crash_after_state_write(spark, source, monkeypatch):
+def test_stream_mean_survives_crash_in_a_batch(spark, source, monkeypatch):
+    """The state of the batch that crashed was written; its replay starts from the state before it."""
     data = records(90)
     for part in range(3):
         feed(spark, source, data[part * 30 : part * 30 + 30], part)
     out = Topic(scratch(spark, "out"), spark.createDataFrame([], MEANS).schema, key="k")
     checkpoint = scratch(spark, "mean")
-    real, calls = stateful.StateTable.after, []
+    real, calls = Topic.write_batch, []
 
-    def crash_once(self, state, batch_id):
-        real(self, state, batch_id)
+    def crash_once(self, df, producer, batch_id):
+        real(self, df, producer, batch_id)
         calls.append(batch_id)
         if calls == [0, 1]:
             raise Crash("lost")
 
-    monkeypatch.setattr(stateful.StateTable, "after", crash_once)
+    monkeypatch.setattr(Topic, "write_batch", crash_once)
 
     def run():
         stream = source.read_stream(spark, max_files_per_trigger=1)
