@@ -38,14 +38,15 @@ def topic_read_committed(spark, folder):
     return out.read(spark)
 
 
-@query("topic_read_latest", "SELECT * FROM events WHERE value >= 50")
+@query("topic_read_latest", "SELECT * FROM events WHERE coalesce(value, 50) >= 50")
 def topic_read_latest(spark, folder):
     """A reader that starts on a filled topic and sees only what is written afterwards."""
     events = table(spark, folder, "events")
     source, out = topic_for(spark, events, "source"), topic_for(spark, events, "latest")
-    source.write(events.where("value < 50"), "before")
+    early = F.coalesce(F.col("value") < 50, F.lit(False))
+    source.write(events.where(early), "before")
     stream = source.read_stream(spark, position="latest")
-    source.write(events.where("value >= 50"), "after")
+    source.write(events.where(~early), "after")
     write_stream_plain(stream, out, scratch(spark, "plain")).awaitTermination()
     return out.read(spark)
 
