@@ -15,8 +15,12 @@ from millrace.plans.catalog.registry import (
     table,
     topic_for,
 )
+from millrace.session import delete_path, list_folders, move_path
 from millrace.sources.landing import bytes_schema, read_bytes
+from millrace.sources.replicas import Replica
 from millrace.sources.topics import Group, Topic, drain, start, write_stream, write_stream_plain
+from millrace.sources.watch import change_schema, write_changes
+from millrace.streaming.rated import write_rated
 from millrace.streaming.sinks import write_files_and_pass, write_two_stream
 from millrace.streaming.stateful import stream_deduplicated
 
@@ -173,6 +177,86 @@ def broadcast_read(spark, folder):
     return merge(*frames)
 
 
+@query(
+    "replicas_share_group",
+    """SELECT event_id, user_id, CASE WHEN value < 50 THEN 2 ELSE 1 END::BIGINT AS members FROM events""",
+)
+def replicas_share_group(spark, folder):
+    """Two replicas of a stage divide the first records; one leaves and the other reads what follows, of
+    all partitions. With every record: how many replicas took part."""
+    events = table(spark, folder, "events").select("event_id", "user_id", "value")
+    source = topic_for(spark, events, "shared", key="user_id")
+    group = Group(scratch(spark, "groups"), "app", "stage", "in")
+    out = Topic(scratch(spark, "read"), events.withColumns({"member": F.lit(0), "early": F.lit(True)}).schema)
+    early = F.coalesce(F.col("value") < 50, F.lit(False))
+
+    def consume(members):
+        replicas = [Replica(group, number, members) for number in range(members)]
+        running = []
+        for replica in replicas:
+            mark = {"member": F.lit(replica.number), "early": early}
+            running += replica.write_stream(spark, source, lambda s, mark=mark: s.withColumns(mark), out)
+        for stream in running:
+            stream.awaitTermination()
+
+    for part, members in ((early, 2), (~early, 1)):
+        source.write(events.where(part))
+        consume(members)
+    read = out.read(spark)
+    took_part = read.groupBy("early").agg(F.count_distinct("member").alias("members"))
+    return read.join(F.broadcast(took_part), "early").select("event_id", "user_id", "members")
+
+
+@query(
+    "records_per_period",
+    """SELECT i AS slice, least(n // 7 + 1, n - i * (n // 7 + 1)) AS records,
+              least(n // 7 + 1, n - i * (n // 7 + 1)) AS different
+       FROM (SELECT count(*) AS n FROM events), range(7) r(i) WHERE i * (n // 7 + 1) < n""",
+)
+def records_per_period(spark, folder):
+    """A limit of records per period; each period's records are one published batch."""
+    source = loaded_topic(spark, folder, "events")
+    out = Topic(scratch(spark, "rated"), source.schema)
+    limit = table(spark, folder, "events").count() // 7 + 1
+    write_rated(
+        source.read_stream(spark), out, scratch(spark, "rater"), "rater", limit, period=0.1
+    ).awaitTermination()
+    slice_of = F.regexp_extract("_metadata.file_path", r"batch_id=\d+\.(\d+)/", 1).cast("long")
+    numbered = out.read(spark).select(slice_of.alias("slice"), "event_id")
+    return numbered.groupBy("slice").agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("event_id").alias("different")
+    )
+
+
+@query(
+    "directory_changes",
+    """WITH kinds AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i, count(*) OVER () AS n
+                      FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL))
+       SELECT CASE WHEN i = 2 THEN 'modified' ELSE 'created' END AS kind, event_type
+       FROM kinds WHERE i = 2 OR i = n""",
+)
+def directory_changes(spark, folder):
+    """One file per event type: the first is deleted, the second written anew, the last one created."""
+    events = table(spark, folder, "events").where("event_type IS NOT NULL")
+    counts = events.groupBy("event_type").agg(F.count(F.lit(1)).cast("string").alias("value"))
+    watched, fresh, state = (scratch(spark, n) for n in ("watched", "fresh", "looks"))
+    out = Topic(scratch(spark, "changes"), change_schema())
+    counts.write.partitionBy("event_type").text(watched)
+    counts.withColumn("value", F.concat("value", F.lit(" again"))).write.partitionBy("event_type").text(fresh)
+    kinds = sorted(f.rsplit("/", 1)[1] for f in list_folders(spark, f"{watched}/event_type=*"))
+    last = f"{watched}/{kinds[-1]}"
+    delete_path(spark, last)
+    write_changes(spark, watched, state, 0, out, "watch")
+    delete_path(spark, f"{watched}/{kinds[0]}")
+    (old,) = list_folders(spark, f"{watched}/{kinds[1]}/part-*")
+    (new,) = list_folders(spark, f"{fresh}/{kinds[1]}/part-*")
+    delete_path(spark, old)
+    move_path(spark, new, old)
+    move_path(spark, f"{fresh}/{kinds[-1]}", last)
+    write_changes(spark, watched, state, 1, out, "watch")
+    return out.read(spark).select("kind", F.regexp_extract("path", "event_type=([^/]+)/", 1).alias("event_type"))
+
+
 @query("idempotent_replay", EVENTS)
 def idempotent_replay(spark, folder):
     """Every micro-batch is delivered twice; the topic holds each record once."""

@@ -15,9 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.aggregate import call_stats, running_mean, window_number
 from millrace.operators.ordered import MAX_ROWS_PER_KEY, running_totals
-from millrace.operators.reference import drop_listed, read_key_list
+from millrace.operators.reference import drop_listed, stored_key_list
 from millrace.operators.transforms import merge
-from millrace.session import scratch_scope
+from millrace.session import delete_path, scratch_scope
 from millrace.sources.topics import Topic, start
 from millrace.streaming.keyed import COUNT, TOTAL, KeyedFlow
 
@@ -119,11 +119,18 @@ def stream_drop_listed(
     producer: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Filter each micro-batch against the newest version of the key list."""
+    """Filter each micro-batch against the version of the key list that was the newest when it began.
+
+    That version is stored with the batch: a replay after a crash meets the same list.
+    """
     spark = stream.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        out.write_batch(drop_listed(batch, key, read_key_list(spark, list_path)), producer, batch_id)
+        kept = f"{checkpoint}/lists/batch_id={batch_id}"
+        listed = stored_key_list(spark, list_path, kept)
+        out.write_batch(drop_listed(batch, key, listed), producer, batch_id)
+        if batch_id:
+            delete_path(spark, f"{checkpoint}/lists/batch_id={batch_id - 1}")
 
     return start(stream, each, checkpoint, trigger)
 
