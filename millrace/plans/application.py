@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.operators.transforms import merge
 from millrace.sources.topics import Group, Topic, start
 from millrace.streaming.sinks import write_many
+from millrace.streaming.supervise import Supervisor
 
 Frames = dict[str, DataFrame]
 
@@ -79,23 +80,49 @@ class Application:
         topics: Mapping[str, Topic],
         max_files_per_trigger: int | None = None,
         trigger: dict | None = None,
+        restarts: int = 0,
     ) -> list[StreamingQuery]:
         """One streaming query per stage; calling it again continues from the checkpoints below
         `base`.
 
         Without a trigger every stage is brought up to date with its inlets, producers first,
-        and the queries returned have ended. With one all stages run side by side until
-        stopped.
+        and the queries returned have ended; a stage that fails is started again up to `restarts`
+        times, and `StageFailed` is raised before its consumers start. With one all stages run side
+        by side until stopped; `supervised` watches over them.
         """
         queries = []
-        for stage in self.stages:
-            if stage.inlets:
-                query = self._stage_query(spark, stage, base, topics, max_files_per_trigger, trigger)
-                queries.append(query)
-                if trigger is None:
-                    query.awaitTermination()
+        for name, begin in self._starts(spark, base, topics, max_files_per_trigger, trigger).items():
+            if trigger is not None:
+                queries.append(begin())
+            elif restarts:
+                queries.append(Supervisor({name: begin}, restarts, pause=0.0).run()[name])
+            else:
+                queries.append(begin())
+                queries[-1].awaitTermination()
         return queries
 
+    def supervised(
+        self,
+        spark: SparkSession,
+        base: str,
+        topics: Mapping[str, Topic],
+        max_files_per_trigger: int | None = None,
+        trigger: dict | None = None,
+        restarts: int = 3,
+        pause: float = 1.0,
+    ) -> Supervisor:
+        """All stages side by side under a supervisor: `run()` starts them, restarts those that fail from
+        their checkpoints, and stops the others when one fails too often."""
+        return Supervisor(self._starts(spark, base, topics, max_files_per_trigger, trigger), restarts, pause)
+
+    def _starts(
+        self, spark, base, topics, max_files_per_trigger, trigger
+    ) -> dict[str, Callable[[], StreamingQuery]]:
+        def begin(stage: Stage) -> Callable[[], StreamingQuery]:
+            return lambda: self._stage_query(spark, stage, base, topics, max_files_per_trigger, trigger)
+
+        return {stage.name: begin(stage) for stage in self.stages if stage.inlets}
+
     def _stage_query(
         self, spark, stage, base, topics, max_files_per_trigger, trigger
     ) -> StreamingQuery:

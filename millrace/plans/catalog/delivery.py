@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalars
 from millrace.operators.transforms import merge
+from millrace.plans.application import Application, Stage
 from millrace.plans.catalog.registry import (
     FILES_PER_SLICE,
     event_topic,
@@ -257,6 +258,36 @@ def directory_changes(spark, folder):
     return out.read(spark).select("kind", F.regexp_extract("path", "event_type=([^/]+)/", 1).alias("event_type"))
 
 
+@query("supervised_stages", "SELECT *, value >= 50 AS high FROM events WHERE value IS NOT NULL")
+def supervised_stages(spark, folder):
+    """Two stages of which the second fails once, in its second micro-batch; the restart goes on from there."""
+    source = loaded_topic(spark, folder, "events")
+    marked = table(spark, folder, "events").withColumn("high", F.lit(True))
+    calls = []
+
+    def present(inputs, config):
+        return {"out": inputs["in"].where("value IS NOT NULL")}
+
+    def mark(inputs, config):
+        calls.append(None)
+        if len(calls) == 2:
+            raise RuntimeError("lost once")
+        return {"out": inputs["in"].withColumn("high", F.col("value") >= 50)}
+
+    stages = (
+        Stage("present", present, {"in": "events"}, {"out": "present"}),
+        Stage("mark", mark, {"in": "present"}, {"out": "marked"}),
+    )
+    topics = {
+        "events": source,
+        "present": Topic(scratch(spark, "present"), source.schema),
+        "marked": topic_for(spark, marked, "marked"),
+    }
+    application = Application("supervised", stages)
+    application.run_stream(spark, scratch(spark, "application"), topics, max_files_per_trigger=4, restarts=2)
+    return topics["marked"].read(spark)
+
+
 @query("idempotent_replay", EVENTS)
 def idempotent_replay(spark, folder):
     """Every micro-batch is delivered twice; the topic holds each record once."""
