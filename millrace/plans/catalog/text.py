@@ -79,6 +79,32 @@ def landing_accept_reject(spark, folder):
     return _verdicts(accepted, rejected)
 
 
+@query(
+    "body_elements",
+    """SELECT event_id // 5 AS body, event_id, true AS accepted FROM events WHERE event_id % 5 <> 2
+       UNION ALL SELECT event_id // 5, event_id, false FROM events WHERE event_id % 5 = 2""",
+)
+def body_elements(spark, folder):
+    """Bodies of up to five events each, pretty-printed arrays and objects in a row, of which one element has an
+    id that is no number."""
+    events = table(spark, folder, "events").select("event_id", "event_type", "user_id")
+    number = F.when(F.col("event_id") % 5 == 2, F.concat(F.lit('"no '), "event_id", F.lit('"')))
+    number = F.coalesce(number, F.col("event_id").cast("string"))
+    element = F.concat(
+        F.lit('{\n  "event_id": '), number, F.lit(',\n  "more": '), F.to_json(F.struct("event_type", "user_id")), F.lit("\n}")
+    )
+    made = events.groupBy(F.floor(F.col("event_id") / 5).alias("body_id")).agg(F.collect_list(element).alias("parts"))
+    array = F.concat(F.lit("[\n"), F.array_join("parts", ",\n"), F.lit("\n]\n"))
+    body = F.when(F.col("body_id") % 2 == 0, array).otherwise(F.array_join("parts", "\n"))
+    bodies = made.select("body_id", body.alias("text"))
+    shape = StructType.fromDDL("event_id long NOT NULL")
+    accepted, rejected = landing.accept_elements(bodies, "body_id", "text", shape)
+    lost = F.regexp_extract("body", r'"event_id": "no (\d+)"', 1).cast("long")
+    return accepted.select(F.col("body_id").alias("body"), "event_id", F.lit(True).alias("accepted")).unionByName(
+        rejected.select(F.col("body_id").alias("body"), lost.alias("event_id"), F.lit(False).alias("accepted"))
+    )
+
+
 def _verdicts(accepted, rejected):
     """Every record by its id, and whether it was accepted; a reject's id is read off its text."""
     number = F.regexp_extract("body", r'"event_id":(\d+)', 1).cast("long")

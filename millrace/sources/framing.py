@@ -427,6 +427,26 @@ def framed(pieces: DataFrame, blockwise: int, compressed: str) -> DataFrame:
     return items.where("open_block IS NULL").select("path", "position", "body", "reason").unionByName(across)
 
 
+def framed_bodies(bodies: DataFrame, row_id: str, body: str) -> DataFrame:
+    """`row_id`, `position`, `body`, `reason` as `framed` gives them, for texts in a column. Every row is framed by
+    itself, repeated ids too; NULL and blank texts give nothing."""
+    text, ends = F.col(body), F.col(body).endswith("}")
+    pieces = bodies.where(text.isNotNull()).select(
+        F.when(ends, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text).cast("binary").alias("value"),
+        F.col(row_id).cast("string").alias("path"),
+        F.monotonically_increasing_id().alias("block"),
+        F.octet_length(text).cast("long").alias("size"),
+        F.lit(False).alias("packed"),
+    )
+    items = pieces.mapInArrow(_items({}), from_arrow_schema(ITEMS))
+    kind = bodies.schema[row_id].dataType
+    # A record that never closes is given as one that a next block might close; there is none.
+    open_end = F.when(F.col("open_block").isNotNull(), UNCLOSED)
+    return items.select(
+        F.col("path").cast(kind).alias(row_id), "position", "body", F.coalesce(open_end, "reason").alias("reason")
+    )
+
+
 def _bytes(spark, name: str) -> int:
     """A size setting, as bytes."""
     text = spark.conf.get(name).strip().lower()

@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from millrace.functions.codec import decode_dead_letter, decode_skip
 from millrace.session import materialized, scratch_scope
-from millrace.sources.framing import framed
+from millrace.sources.framing import framed, framed_bodies
 from millrace.sources.topics import ANY_AGE, start
 
 BIG_FILE = 256 * 1024 * 1024
@@ -143,6 +143,32 @@ def accept_bodies(
     return decode_dead_letter(bodies, body, schema)
 
 
+def accept_elements(
+    bodies: DataFrame, row_id: str, body: str, schema: StructType
+) -> tuple[DataFrame, DataFrame]:
+    """Bodies of any number of JSON objects, as an array, one per line or in a row, in any layout: (`row_id`,
+    `position` and the fields of each object that decodes, `row_id`, `position`, `body` and `reason` of whatever
+    does not). The position is the byte of the body the text begins at; a bad element costs itself and not what
+    follows. A body without any text is rejected at position 0; an empty array has neither records nor rejects.
+    """
+    found = framed_bodies(bodies, row_id, body)
+    objects = found.where("reason IS NULL").drop("reason")
+    records, undecoded = decode_dead_letter(objects, "body", schema)
+    absent = F.col(body).isNull() | ~F.col(body).rlike(r"\S")
+    columns = [row_id, "position", "body", "reason"]
+    without = bodies.where(absent).select(
+        row_id, F.lit(0).cast("long").alias("position"), F.col(body).cast("string").alias("body"), F.lit("no value").alias("reason")
+    )
+    rejects = found.where("reason IS NOT NULL").select(columns).unionByName(undecoded.select(columns))
+    return records, rejects.unionByName(without)
+
+
+def read_whole_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """One body per file, as `path` and `body`; a body must fit a task."""
+    files = spark.read.option("wholetext", "true").text(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+
+
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """One body per line, empty ones included."""
     return spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("body"))

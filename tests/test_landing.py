@@ -174,6 +174,62 @@ def test_accept_and_reject(spark, folder):
     assert rows(rejected, "body") == sorted([("",), ('{"id":"x"}',)], key=repr)
 
 
+def elements(spark, texts, kind="long"):
+    bodies = spark.createDataFrame(list(enumerate(texts)), f"n {kind}, text string")
+    accepted, rejected = landing.accept_elements(bodies, "n", "text", ID)
+    return rows(accepted, "n", "id"), rows(rejected, "n", "position", "reason"), rejected
+
+
+def test_elements_of_a_pretty_printed_body(spark):
+    parts = ['{\n  "id": %s\n}' % x for x in ("1", "2", '"x"', "4", "5")]
+    text = "[\n" + ",\n".join(parts) + "\n]\n"
+    accepted, rejected, frame = elements(spark, [text])
+    assert accepted == [(0, 1), (0, 2), (0, 4), (0, 5)]
+    assert rejected == [(0, text.index(parts[2]), "undecodable")]
+    assert [r.body for r in frame.collect()] == [parts[2]]
+
+
+@pytest.mark.parametrize(
+    "text,ids,rejects",
+    [
+        ('{"id":1}', [1], 0),
+        ('{"id":1}{"id":2}\n{"id":3}\n', [1, 2, 3], 0),
+        ('[{"id":1,"o":{"id":9}},{"id":2,"s":"}{]"}]', [1, 2], 0),
+        ('[{"id":1},\n{"id":2', [1], 1),
+        ('{"id":1}\n{"id":2,\n{"id":3}', [1, 3], 1),
+        ('"text"', [], 1),
+        ("[]", [], 0),
+        ("", [], 1),
+        (" \n\t", [], 1),
+        (None, [], 1),
+        ("}", [], None),
+        ('{"id":1}}', [1], None),
+        ('{"id":7,"s":"ä€"}' * 300, [7] * 300, 0),
+    ],
+)
+def test_elements_of_odd_bodies(spark, text, ids, rejects):
+    accepted, rejected, _ = elements(spark, [text])
+    assert [i for _, i in accepted] == ids
+    assert rejects is None or len(rejected) == rejects
+
+
+def test_bodies_do_not_run_into_each_other(spark):
+    """Open ends, repeated ids, and a file per body."""
+    bodies = spark.createDataFrame([("a", '{"id":1'), ("a", ',"x":2}'), ("a", '{"id":3}'), (None, '{"id":4}')], "n string, text string")
+    accepted, rejected = landing.accept_elements(bodies.coalesce(1), "n", "text", ID)
+    assert rows(accepted, "n", "id") == sorted([("a", 3), (None, 4)], key=repr)
+    assert rejected.count() >= 2
+    none = bodies.limit(0)
+    assert [f.count() for f in landing.accept_elements(none, "n", "text", ID)] == [0, 0]
+
+
+def test_a_file_per_body(spark, folder):
+    write(folder, {"a": '[\n{"id":1},\n{"id":2}\n]', "b": '{"id":"x"}\n{"id":3}'})
+    accepted, rejected = landing.accept_elements(landing.read_whole_bodies(spark, folder), "path", "body", ID)
+    assert rows(accepted, "id") == [(1,), (2,), (3,)]
+    assert rows(rejected, "position", "body") == [(0, '{"id":"x"}')]
+
+
 def test_delimited(spark, folder):
     write(folder, {"wine.csv": "7.0; 0.27 ;0.36\n6.3;0.3;  0.34\n"})
     got = landing.read_delimited(spark, folder, ["a", "b", "c"])
