@@ -1,16 +1,18 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A hash over the last bytes before white space cuts a text into chunks, at the same places wherever
-the same words occur. A task encodes each distinct chunk once, from its distinct words, and all words
-new to a slice of documents go to the tokenizer in one call. What meets at a join (the end of one
-word, white space, the start of the next) is encoded together and apart when it is first seen; where
-the two differ, the joined text is encoded again as a whole, so the result is always the tokenizer's.
+the same words occur. A task encodes each distinct chunk once: from its distinct words where the
+tokenizer declares that no token crosses white space, else as a whole. What meets at the join of two
+chunks is encoded together and apart; where the two differ, the chunks become one, which is
+encoded again, and its own joins are judged anew, until every join of the text agrees.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +28,21 @@ CHUNK_WORDS = 16
 WINDOW = 8
 """Bytes the rolling hash looks at."""
 
-CHUNK_CACHE, WORD_CACHE = 50_000, 250_000
-"""Entries of a task's caches: chunks are dropped when there are more after a slice, words are kept
-for one more generation."""
+CHUNK_CACHE, JOIN_CACHE, WORD_CACHE = 50_000, 100_000, 250_000
+"""Entries of a task's caches: chunks and joins are dropped when there are more after a slice, words
+are kept for one more generation."""
 
 CACHE_BYTES = 32 << 20
 """Words of more bytes in all start a new generation too."""
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
-KEPT_WORDS = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+$")
+
+JOIN_WORDS = 2
+"""Words judged on each side of a join for tokenizers that part text anew at white space."""
+
+HEAD = re.compile(rb"(?:[\t-\r ]*[^\t-\r ]+){0,%d}[\t-\r ]*" % JOIN_WORDS)
+PLAIN_PART = re.compile(r"[^\\\[\](){}.*+?^$|\s]+|\[(?:[^\]\\]|\\.)+\]\+?")
 
 STOPS = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
@@ -46,6 +53,45 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _members(part: dict | None, inner: str) -> list[dict]:
+    """A step of a tokenizer's file, a sequence taken apart."""
+    if not part:
+        return []
+    return part[inner] if part["type"] == "Sequence" else [part]
+
+
+def join_kind(settings: dict) -> str | None:
+    """What a tokenizer's file lets chunks rely on.
+
+    `words`: words between white space never touch each other, as the tokenizer looks for runs of
+    characters other than white space by patterns that see nothing around them. `pattern`: text is
+    parted anew where white space begins. `merges`: nothing but pair merges, where tokens that agree
+    with their neighbours are the result. None: anything else, whose texts are encoded whole.
+    """
+    import regex
+
+    for n in _members(settings["normalizer"], "normalizers"):
+        spaces = n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " "
+        if n["type"] not in ("NFC", "NFD", "Lowercase") and not spaces:
+            return None
+    parts = _members(settings["pre_tokenizer"], "pretokenizers")
+    if not parts:
+        return "merges" if settings["model"]["type"] == "BPE" and not settings["model"]["dropout"] else None
+    first = parts[0]
+    if first["type"] in ("BertPreTokenizer", "Whitespace", "WhitespaceSplit"):
+        return "words"
+    if first["type"] == "ByteLevel" and first["use_regex"] and len(parts) == 1:
+        return "pattern"
+    if first["type"] != "Split" or first["behavior"] != "Removed" or not first["invert"]:
+        return None
+    pattern = first["pattern"].get("Regex")
+    apart = pattern and all(
+        PLAIN_PART.fullmatch(p) and not any(regex.search(p, chr(c)) for c in (32, *range(9, 14)))
+        for p in pattern.split("|")
+    )
+    return "words" if apart else None
+
+
 class ChunkEncoder:
     """Encodes texts (UTF-8) exactly as the tokenizer does, reusing chunks and words. A value is the
     ids and the tokens, each joined by spaces."""
@@ -62,8 +108,8 @@ class ChunkEncoder:
         added = self.tokenizer.get_added_tokens_decoder()
         # Between words, a special token keeps them apart in one call.
         self.mark = next((i for i, t in added.items() if t.special and not t.normalized), None)
-        probe = "".join(f"a{chr(c)}b {chr(c)}{chr(c)}7.{chr(c)}" for c in (32, *range(9, 14)))
-        self.drops_space = self.raw(probe.encode()) == self.raw(" ".join(probe.split()).encode())
+        self.kind = join_kind(json.loads(self.tokenizer.to_str()))
+        self.drops_space = self.kind == "words"
         # Spellings that encode alike are made alike, so that more words and chunks are shared.
         letters = bytes(range(97, 123))
         self.folds_case = all(
@@ -79,7 +125,8 @@ class ChunkEncoder:
         self.bytes = 0
         self.chunk_ids: dict[bytes, str] = {}
         self.chunk_tokens: dict[bytes, str] = {}
-        self.agrees = np.zeros((256, 256), dtype=np.int8)
+        self.edges: dict[bytes, tuple[bytes, bytes]] = {}
+        self.agrees: dict[tuple[bytes, bytes], bool] = {}
 
     def _strings(self, ids) -> tuple[str, str]:
         return " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids])
@@ -88,8 +135,23 @@ class ChunkEncoder:
         """The whole text in one call."""
         return self._strings(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids)
 
-    def split(self, chunk: bytes) -> list[bytes]:
-        return chunk.split() if self.drops_space else KEPT_WORDS.findall(chunk)
+    def values(self, texts: list[bytes]) -> list[tuple[str, str]]:
+        """Values of texts, each encoded by itself; many in one call where that cannot matter."""
+        name = self.names[self.mark] if self.mark is not None and self.drops_space else None
+        out = []
+        for start in range(0, len(texts), 10_000):
+            part = texts[start : start + 10_000]
+            joined = name.encode().join(part).decode("utf-8") if name else ""
+            if name and joined.count(name) == len(part) - 1:
+                made = self.tokenizer.encode(joined, add_special_tokens=False).ids
+                ids, tokens = self._strings(made)
+                ids, tokens = ids.split(f" {self.mark} "), tokens.split(f" {name} ")
+                if len(ids) == len(part) == len(tokens):
+                    out += zip(ids, tokens)
+                    continue
+            # Texts that hold the mark itself, or some without any token.
+            out += map(self.raw, part)
+        return out
 
     def learn(self, words: set[bytes]) -> None:
         """Values of words not known yet; afterwards all of them are."""
@@ -101,41 +163,16 @@ class ChunkEncoder:
             self.ids[w], self.tokens[w] = self.old[0][w], self.old[1][w]
         new = sorted(words - self.old[0].keys())
         self.bytes += sum(map(len, new))
-        name = self.names[self.mark] if self.mark is not None else None
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            joined = name.encode().join(part).decode("utf-8") if name else ""
-            if name and joined.count(name) == len(part) - 1:
-                made = self.tokenizer.encode(joined, add_special_tokens=False).ids
-                ids, tokens = self._strings(made)
-                ids, tokens = ids.split(f" {self.mark} "), tokens.split(f" {name} ")
-                if len(ids) == len(part) == len(tokens):
-                    self.ids.update(zip(part, ids))
-                    self.tokens.update(zip(part, tokens))
-                    continue
-            # A word that holds the mark itself, or one without any token.
-            for w in part:
-                self.ids[w], self.tokens[w] = self.raw(w)
-
-    def chunks(self, raw: bytes) -> list[bytes] | None:
-        """Chunks of a text; None if something at a join encodes differently apart."""
-        if len(raw) <= WINDOW + 1:
-            return [raw] if self._joins_agree(raw) else None
+        for w, value in zip(new, self.values(new)):
+            self.ids[w], self.tokens[w] = value
+
+    def chunks(self, raw: bytes) -> list[bytes]:
+        """Chunks of a text; all but the first begin with white space."""
+        if len(raw) <= WINDOW + 1 or self.kind is None:
+            return [raw]
         data = np.frombuffer(raw, np.uint8)
         space = SPACE[data]
         starts = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-        ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        # The byte before a run of white space and the one after it.
-        after = ends[np.minimum(np.searchsorted(ends, starts), len(ends) - 1)] if len(ends) else ends[:0]
-        if len(after):
-            met = after > starts
-            left, right = data[starts[met] - 1], data[after[met]]
-            unknown = np.flatnonzero(self.agrees[left, right] == 0)
-            for i in unknown:
-                if not self.agrees[left[i], right[i]]:
-                    self._learn_join(raw, int(starts[met][i]), int(after[met][i]))
-            if (self.agrees[left, right] < 0).any():
-                return None
         starts = starts[starts >= WINDOW]
         words = np.ndarray(len(raw) - WINDOW + 1, "<u8", raw, strides=(1,))[starts - WINDOW]
         with np.errstate(over="ignore"):
@@ -143,9 +180,16 @@ class ChunkEncoder:
         cuts = starts[hashed % np.uint64(CHUNK_WORDS) == 0].tolist()
         return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])]
 
-    def _joins_agree(self, raw: bytes) -> bool:
-        words = self.split(raw)
-        return len(words) < 2 or self._joined([self.raw(w) for w in words]) == self.raw(raw)
+    def _edges(self, chunk: bytes) -> tuple[bytes, bytes]:
+        """What is judged of a chunk at the join before it and at the one behind it."""
+        if self.drops_space:
+            # Nothing can differ; the characters that meet are encoded all the same.
+            text = chunk[:64].lstrip()[:4].decode("utf-8", "ignore"), chunk[-4:].decode("utf-8", "ignore")
+            return f" {text[0][:1]}".encode(), text[1][-1:].encode()
+        if self.kind == "pattern":
+            words = chunk.rsplit(None, JOIN_WORDS)
+            return HEAD.match(chunk).group(), chunk[len(words[0]) if len(words) > JOIN_WORDS else 0 :]
+        return chunk, chunk
 
     def prepare(self, raw: bytes) -> bytes | None:
         """The text in the spelling that is shared; None if special tokens may be in it."""
@@ -156,39 +200,81 @@ class ChunkEncoder:
             raw = low
         return STOPS.sub(rb" \1", raw) if self.parts_stops else raw
 
-    def _learn_join(self, raw: bytes, start: int, after: int) -> None:
-        """Encode the two words that meet together and apart."""
-        a = start
-        while a > 0 and not SPACE[raw[a - 1]]:
-            a -= 1
-        b = after
-        while b < len(raw) and not SPACE[raw[b]]:
-            b += 1
-        apart = self._joined([self.raw(raw[a:start]), self.raw(raw[start:b])])
-        self.agrees[raw[start - 1], raw[after]] = 1 if apart == self.raw(raw[a:b]) else -1
-
     @staticmethod
     def _joined(values) -> tuple[str, str]:
         return " ".join(filter(None, (v[0] for v in values))), " ".join(filter(None, (v[1] for v in values)))
 
+    def _know(self, chunks: set[bytes]) -> None:
+        """Values and edges of chunks not known yet."""
+        new = [c for c in chunks if c not in self.chunk_ids]
+        if self.drops_space:
+            split = [c.split() for c in new]
+            self.learn(set().union(*split))
+            ids, tokens = self.ids.__getitem__, self.tokens.__getitem__
+            for chunk, words in zip(new, split):
+                self.chunk_ids[chunk] = " ".join(filter(None, map(ids, words)))
+                self.chunk_tokens[chunk] = " ".join(filter(None, map(tokens, words)))
+        else:
+            for chunk, value in zip(new, self.values(new)):
+                self.chunk_ids[chunk], self.chunk_tokens[chunk] = value
+        for chunk in new:
+            self.edges[chunk] = self._edges(chunk)
+
+    def _judge(self, joins: set[tuple[bytes, bytes]]) -> None:
+        """Whether both sides of joins not judged yet encode alike together and apart."""
+        new = [j for j in joins if j not in self.agrees]
+        sides = list({x for j in new for x in j})
+        apart = dict(zip(sides, self._sides(sides)))
+        for (a, b), whole in zip(new, self.values([a + b for a, b in new])):
+            self.agrees[a, b] = self._joined((apart[a], apart[b])) == whole
+
+    def _sides(self, sides: list[bytes]) -> list[tuple[str, str]]:
+        if not self.drops_space:
+            return self.values(sides)
+        words = [x.strip() for x in sides]
+        self.learn(set(words))
+        return [(self.ids[w], self.tokens[w]) for w in words]
+
+    def _joins(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
+        return [(self.edges[a][1], self.edges[b][0]) for a, b in pairwise(chunks)]
+
+    def _repair(self, chunks: list[bytes]) -> list[bytes]:
+        """Chunks whose joins all agree: those at a join that does not are encoded again as one."""
+        while True:
+            joins = self._joins(chunks)
+            self._judge(set(joins))
+            groups = [[chunks[0]]]
+            for join, chunk in zip(joins, chunks[1:]):
+                if self.agrees[join]:
+                    groups.append([chunk])
+                else:
+                    groups[-1].append(chunk)
+            if len(groups) == len(chunks):
+                return chunks
+            chunks = [b"".join(g) for g in groups]
+            for chunk, group in zip(chunks, groups):
+                if len(group) > 1:
+                    self.chunk_ids[chunk], self.chunk_tokens[chunk] = self.raw(chunk)
+                    self.edges[chunk] = self._edges(chunk)
+
     def encode(self, texts: list[bytes]) -> list[tuple[str, str]]:
-        """Values of texts; chunks new to the task are encoded together first."""
+        """Values of texts; chunks and joins new to the task are encoded together first."""
         made = [self.prepare(x) for x in texts]
         parts = [None if x is None else self.chunks(x) for x in made]
-        new = {c for p in parts if p for c in p if c not in self.chunk_ids}
-        split = {c: self.split(c) for c in new}
-        self.learn(set().union(*split.values()))
-        ids, tokens = self.ids.__getitem__, self.tokens.__getitem__
-        for chunk, words in split.items():
-            self.chunk_ids[chunk] = " ".join(filter(None, map(ids, words)))
-            self.chunk_tokens[chunk] = " ".join(filter(None, map(tokens, words)))
+        self._know({c for p in parts if p for c in p})
+        joins = [None if p is None else self._joins(p) for p in parts]
+        self._judge({j for js in joins if js for j in js})
+        agrees = self.agrees.__getitem__
+        parts = [p if p is None or all(map(agrees, js)) else self._repair(p) for p, js in zip(parts, joins)]
         ids, tokens = self.chunk_ids.__getitem__, self.chunk_tokens.__getitem__
         out = [
             self.raw(x) if p is None else (" ".join(filter(None, map(ids, p))), " ".join(filter(None, map(tokens, p))))
             for x, p in zip(texts, parts)
         ]
         if len(self.chunk_ids) > CHUNK_CACHE:
-            self.chunk_ids, self.chunk_tokens = {}, {}
+            self.chunk_ids, self.chunk_tokens, self.edges = {}, {}, {}
+        if len(self.agrees) > JOIN_CACHE:
+            self.agrees = {}
         return out
 
 

@@ -341,6 +341,63 @@ def test_chunks_recur_where_words_recur():
     assert b"".join(a) == b"some start " + passage
 
 
+def crossing_tokenizer(folder, normalizer=None, parts=None):
+    """Letters and spaces whose merges cross word ends, so that chunks often disagree where they meet."""
+    from tokenizers import Tokenizer, models
+
+    merges = [("e", " "), ("e ", "t"), (" ", "a"), ("b", " a"), ("b a", "b"), ("d", " "), ("d ", "c"), ("c", "a")]
+    names = [*"abcdet ", *(a + b for a, b in merges)]
+    tool = Tokenizer(models.BPE({n: i for i, n in enumerate(names)}, merges))
+    if normalizer:
+        tool.normalizer = normalizer
+    if parts:
+        tool.pre_tokenizer = parts
+    path = f"{folder}/crossing-{normalizer is None}-{parts is None}.json"
+    tool.save(path)
+    return tool, path
+
+
+def test_joins_are_repaired_until_they_agree(tmp_path):
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    random.seed(4)
+    word = lambda: "".join(random.choice("abcdet") for _ in range(random.randint(1, 4)))
+    text = lambda n: (" " * random.randint(1, 2)).join(word() for _ in range(n))
+    shared = text(300)
+    texts = ["", " ", "a", *(text(random.randint(1, 400)) for _ in range(60)), shared + " " + text(40), text(40) + " " + shared]
+    pairs = pre_tokenizers.Split(Regex(r"[a-z]+ +[a-z]+"), "isolated")
+    for normalizer, parts in ((None, None), (normalizers.Prepend("e "), None), (None, pairs)):
+        tool, path = crossing_tokenizer(tmp_path, normalizer, parts)
+        encoder = bpe.ChunkEncoder(path)
+        assert encoder.kind == ("merges" if parts is None and normalizer is None else None)
+        made = encoder.encode([x.encode() for x in texts])
+        assert [v[0] for v in made] == [" ".join(map(str, tool.encode(x).ids)) for x in texts]
+        agreed = list(encoder.agrees.values())
+        assert encoder.kind is None or (agreed.count(False) > 100 and agreed.count(True) > 100)
+
+
+def test_words_stand_alone_only_where_the_tokenizer_says_so(tmp_path):
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    keep = lambda pattern: pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+    cases = [
+        (None, pre_tokenizers.WhitespaceSplit(), True), (None, keep(r"'s|[a-z]+|[^\sa-z]"), True),
+        (None, keep(r"[a-z ]+"), False), (None, keep(r"[a-z]+(?= )"), False), (None, keep(r"a b|[a-z]+"), False),
+        (None, pre_tokenizers.Split(Regex("[a-z]+"), "isolated"), False), (None, None, False),
+        (normalizers.Strip(), pre_tokenizers.WhitespaceSplit(), False),
+    ]
+    for normalizer, parts, want in cases:
+        _, path = crossing_tokenizer(tmp_path, normalizer, parts)
+        assert (bpe.ChunkEncoder(path).kind == "words") == want
+
+
+def test_long_text_of_tokens():
+    pytest.importorskip("public_tokenizers")
+    encoder = bpe.ChunkEncoder(bpe.default_tokenizer())
+    text = ("word " * 9 + "\n") * 60_000
+    assert encoder.encode([text.encode()]) == [encoder.raw(text.encode())]
+
+
 # Lines
 
 
