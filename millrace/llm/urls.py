@@ -18,7 +18,7 @@ from millrace.llm.common import map_text
 from millrace.llm.registry import query, table
 
 MAX_RULES = 200_000
-"""Rules are sent to every task; more than this are refused."""
+"""Rules sent to every task at once; of a longer list each part passes over the URLs in turn."""
 
 TOKEN = "[a-z0-9]+"
 
@@ -101,8 +101,6 @@ def token_counts(df: DataFrame, url: str, rules: list[Rule]) -> dict[str, int]:
 
 def rule_index(rules: list[Rule], counts: dict[str, int]) -> tuple[dict, list]:
     """Rules by their rarest literal token, and the rules that have no literal."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES}")
     by_token: dict[str, list[Rule]] = {}
     free = []
     for rule in rules:
@@ -123,10 +121,30 @@ def judge_urls(
     The longest fitting listed rule decides and is named in `rule`; else the longest fitting
     pattern, named in `pattern`, gives the verdict; else `default`. Ties go to the smaller name.
     NULL, empty and malformed URLs have empty host and path and get the patterns' verdict on the
-    raw text (NULL: `default`). Repeated rows are judged each; an empty table gives no rows.
+    raw text (NULL: `default`). Repeated rows are judged each; an empty table gives no rows. Long URLs
+    are judged whole, and other columns of any name change nothing. Without rules all get `default`.
     """
-    by_token, free = rule_index(rules, token_counts(df, url, rules))
     kind = df.schema[row_id].dataType
+    held = T.StructType(
+        [
+            T.StructField("_row", kind),
+            T.StructField("_url", T.StringType()),
+            T.StructField("_listed", T.BooleanType()),
+            T.StructField("_name", T.StringType()),
+            T.StructField("_verdict", T.StringType()),
+            T.StructField("candidates", T.IntegerType()),
+        ]
+    )
+    # The URL goes along as it is; a row keeps the best rule of the parts before.
+    best = df.select(
+        F.col(row_id).alias("_row"),
+        F.col(url).alias("_url"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in held.fields[2:5]],
+        F.lit(0).alias("candidates"),
+    )
+    for start in range(0, max(1, len(rules)), MAX_RULES):
+        part = rules[start : start + MAX_RULES]
+        best = _best_of(best, held, *rule_index(part, token_counts(df, url, part)))
     schema = T.StructType(
         [
             T.StructField(row_id, kind),
@@ -135,6 +153,31 @@ def judge_urls(
         ]
     )
 
+    def make():
+        def run(piece):
+            places = [split_url(x.decode("utf-8", "replace")) for x in piece["_url"]]
+            named = list(zip(piece["_listed"], piece["_name"]))
+            return {
+                row_id: piece["_row"],
+                "host": [p[0] for p in places],
+                "path": [p[1] for p in places],
+                "rule": [n if listed else None for listed, n in named],
+                "verdict": [default if v is None else v for v in piece["_verdict"]],
+                "pattern": [None if listed else n for listed, n in named],
+                "candidates": piece["candidates"],
+            }
+
+        return run
+
+    return map_text(best, ["_row", "_listed", "_name", "_verdict", "candidates"], "_url", schema, make)
+
+
+def _best_of(urls: DataFrame, schema: T.StructType, by_token: dict, free: list) -> DataFrame:
+    """`urls` with the best of each row's rule and the rules that fit it."""
+
+    def order(listed, name):
+        return listed, len(name), [-ord(c) for c in name]
+
     def make():
         compiled: dict[str, re.Pattern] = {}
         find = re.compile(TOKEN).findall
@@ -145,30 +188,31 @@ def judge_urls(
                 regex = compiled[rule.pattern] = re.compile(rule.pattern)
             return regex.search(place if rule.listed else whole)
 
-        def judge(raw):
+        def judge(raw, listed, name, verdict, count):
             url_text = raw.decode("utf-8", "replace")
-            host, path = split_url(url_text)
-            whole = url_text.lower()
+            place, whole = "".join(split_url(url_text)), url_text.lower()
             candidates = [*free]
             for token in dict.fromkeys(find(whole)):
                 candidates += by_token.get(token, ())
-            fitting = [r for r in candidates if fits(r, host + path, whole)]
-            best = max(fitting, key=lambda r: (r.listed, len(r.name), [-ord(c) for c in r.name]), default=None)
-            if best is None:
-                return host, path, None, default, None, len(candidates)
-            named = (best.name, best.verdict, None) if best.listed else (None, best.verdict, best.name)
-            return host, path, *named, len(candidates)
+            top = None if name is None else order(listed, name)
+            for rule in candidates:
+                if fits(rule, place, whole):
+                    own = order(rule.listed, rule.name)
+                    if top is None or own > top:
+                        top, listed, name, verdict = own, rule.listed, rule.name, rule.verdict
+            return listed, name, verdict, count + len(candidates)
 
         def run(piece):
-            made = [judge(x) for x in piece[url]]
-            columns = zip(*made) if made else [[]] * 6
-            return {row_id: piece[row_id]} | dict(
-                zip(("host", "path", "rule", "verdict", "pattern", "candidates"), map(list, columns))
+            rows = zip(*(piece[c] for c in ("_url", "_listed", "_name", "_verdict", "candidates")))
+            made = [judge(*row) for row in rows]
+            columns = [list(c) for c in zip(*made)] if made else [[]] * 4
+            return {"_row": piece["_row"], "_url": [x.decode("utf-8", "replace") for x in piece["_url"]]} | dict(
+                zip(schema.names[2:], columns)
             )
 
         return run
 
-    return map_text(df, [row_id], url, schema, make)
+    return map_text(urls, ["_row", "_listed", "_name", "_verdict", "candidates"], "_url", schema, make)
 
 
 def _values() -> str:

@@ -278,7 +278,9 @@ URLS = [
 ]
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("at_once", [200_000, 7])
+def test_urls(spark, monkeypatch, at_once):
+    monkeypatch.setattr(urls, "MAX_RULES", at_once)
     rules = [*urls.LISTED, *urls.PATTERNS]
     want = []
     for page, url in URLS:
@@ -291,6 +293,8 @@ def test_urls(spark):
     assert ordered(got.select("doc_id", "host", "path", "rule", "verdict").collect()) == sorted(want, key=repr)
     assert got.agg({"candidates": "max"}).first()[0] < len(rules) / 2
     assert urls.judge_urls(frame(spark, []), "doc_id", "text", rules).count() == 0
+    plain = urls.judge_urls(frame(spark, URLS), "doc_id", "text", []).select("verdict").distinct()
+    assert [r[0] for r in plain.collect()] == ["allow"]
 
 
 def test_rules_are_filed_under_their_rarest_token():
