@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries are built, from good and from bad labelled documents. Every text is
 compressed with both in blocks, so that the dictionary counts at the end of a long text as at its
-start; the difference of the sizes over the text's length is calibrated to a probability.
+start; the difference of the sizes over the text's length is calibrated to a probability, on
+differences that labelled documents get from dictionaries built without them.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,10 @@ from millrace.llm.registry import query, table
 from millrace.llm.sampling import labelled_sample, platt, sigmoid
 
 SAMPLE = 6_000
-"""Labelled documents; half build the dictionaries, half calibrate."""
+"""Labelled documents that build the dictionaries and calibrate."""
+
+FOLDS = 5
+"""A document is calibrated with dictionaries from the other folds."""
 
 DICTIONARY_BYTES = 1 << 20
 """Of each of the two; they are sent to every task."""
@@ -88,28 +93,38 @@ class CompressionModel:
 
 
 def fit_compression(docs: DataFrame, labels: DataFrame, row_id: str, text: str, label: str) -> CompressionModel:
-    """Dictionaries from half of a bounded labelled sample, calibration on the other half."""
+    """Dictionaries from a bounded labelled sample; calibration across `FOLDS` of it, so that few labels
+    of one kind serve both. Rows that share an id share a fold."""
     schema = T.StructType(
-        [T.StructField(c, t) for c, t in (("half", T.IntegerType()), ("_label", T.IntegerType()), ("body", T.BinaryType()))]
+        [T.StructField(c, t) for c, t in (("_fold", T.IntegerType()), ("_label", T.IntegerType()), ("body", T.BinaryType()))]
     )
     sample = labelled_sample(docs, labels, row_id, text, label, SAMPLE).withColumn(
-        "half", F.pmod(F.xxhash64(F.lit("half"), F.col(row_id).cast("string")), F.lit(2)).cast("int")
+        "_fold", F.pmod(F.xxhash64(F.lit("fold"), F.col(row_id).cast("string")), F.lit(FOLDS)).cast("int")
     )
 
     def make():
         return lambda piece: {
-            "half": piece["half"],
+            "_fold": piece["_fold"],
             "_label": piece["_label"],
             "body": [b"".join(_spread(x)) for x in piece[text]],
         }
 
-    rows = map_text(sample, ["half", "_label"], text, schema, make).collect()
-    build = lambda y: build_dictionary([bytes(r[2]) for r in rows if r[0] == 0 and r[1] == y])
-    model = CompressionModel(build(1), build(0), 0.0, 0.0)
-    value = model.difference()
-    held = [(value(bytes(r[2])), r[1]) for r in rows if r[0] == 1]
-    x, y = np.array([h[0] for h in held]), np.array([h[1] for h in held], dtype=float)
-    slope, shift = platt(x, y) if len(held) else (0.0, 0.0)
+    rows = map_text(sample, ["_fold", "_label"], text, schema, make).collect()
+    # An order that depends neither on the tasks the rows came from nor on how texts begin.
+    rows = sorted(((r[0], r[1], bytes(r[2])) for r in rows), key=lambda r: (xxhash.xxh3_64_intdigest(r[2]), r[:2]))
+
+    def fitted(without: int | None) -> CompressionModel:
+        build = lambda y: build_dictionary([x for k, label, x in rows if k != without and label == y])
+        return CompressionModel(build(1), build(0), 0.0, 0.0)
+
+    x, y = [], []
+    for k in range(FOLDS if rows else 0):
+        value = fitted(k).difference()
+        held = [r for r in rows if r[0] == k]
+        x += [value(r[2]) for r in held]
+        y += [float(r[1]) for r in held]
+    slope, shift = platt(np.array(x), np.array(y)) if rows else (0.0, 0.0)
+    model = fitted(None)
     return CompressionModel(model.good, model.bad, slope, shift)
 
 
@@ -118,7 +133,8 @@ def score_quality(docs: DataFrame, row_id: str, text: str, model: CompressionMod
 
     NULL and empty texts have difference 0. Without labels of both kinds every score is the share
     of good ones in the sample (0.5 without any). Repeated rows get equal scores; an empty table
-    gives none.
+    gives none. Long texts are compressed whole, block by block; other columns of any name change
+    nothing, and a score that ties with a threshold is the caller's to decide.
     """
     schema = T.StructType(
         [

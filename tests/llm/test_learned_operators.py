@@ -35,6 +35,15 @@ def test_held_out(spark, name, label, least):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+@needs_tables
+def test_few_bad_labels_are_enough(spark):
+    scored = queries.QUERIES["op10_compression_quality"](spark, TABLES)
+    rows = scored.join(spark.read.parquet(f"{TABLES}/labels.parquet"), "doc_id").where("held_out").collect()
+    for label in (0, 1):
+        right = [r["predicted"] == label for r in rows if r["quality"] == label]
+        assert np.mean(right) >= 0.8
+
+
 def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
 
