@@ -9,7 +9,6 @@ linear classifier over words and word beginnings, which scores every document.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +23,9 @@ from millrace.llm.sampling import labelled_sample, platt, sigmoid
 SAMPLE = 5_000
 """Labelled documents the lexicons, the classifier and its calibration are fitted on."""
 
+SAMPLE_WORDS = 5_000
+"""Different words of one sample document that are fitted on; of more, those with the least hashes."""
+
 MISS_COST = 4
 """A toxic document that passes counts as so many clean ones that are stopped: scores are shifted so
 that 0.5 is where the two risks are equal."""
@@ -83,19 +85,65 @@ class Voters:
         return sum(1 << (at + i) for i, p in enumerate(self.patterns) if re.search(p, text))
 
 
-def mine_voters(documents: list[tuple[set[str], int]]) -> Voters:
+@dataclass(frozen=True)
+class Sample:
+    """Labelled documents as numbers. Entry i says that document `doc[i]` has the word `word[i]`, once
+    for each of its different words; entry i of the second pair that word `of_word[i]` has the term
+    `term[i]`, in the order of words. `pattern_bits` are the patterns each document fits."""
+
+    label: np.ndarray
+    pattern_bits: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    of_word: np.ndarray
+    term: np.ndarray
+    words: list[str]
+    terms: list[str]
+
+    def support(self, label: int) -> np.ndarray:
+        """In how many documents of a label each term is."""
+        total = np.zeros(len(self.terms), np.int64)
+        starts = np.searchsorted(self.of_word, np.arange(len(self.words) + 1))
+        each = np.diff(starts)
+        ends = np.searchsorted(self.doc, np.arange(len(self.label) + 1))
+        for k in np.flatnonzero(self.label == label):
+            own = self.word[ends[k] : ends[k + 1]]
+            if len(own):
+                n = each[own]
+                before = np.cumsum(n) - n
+                total[np.unique(self.term[np.arange(n.sum()) + np.repeat(starts[own] - before, n)])] += 1
+        return total
+
+
+def read_sample(rows) -> Sample:
+    """From (words joined by spaces, label, bits of patterns)."""
+    words: dict[str, int] = {}
+    terms: dict[str, int] = {}
+    lists, labels, bits = [], [], []
+    for text, label, found in rows:
+        lists.append(np.array([words.setdefault(w, len(words)) for w in text.split(" ") if w], np.int32))
+        labels.append(label)
+        bits.append(found)
+    of_word, term = [], []
+    for w, k in words.items():
+        own = [terms.setdefault(t, len(terms)) for t in terms_of(w)]
+        of_word.append(np.full(len(own), k, np.int32))
+        term.append(np.array(own, np.int32))
+    flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    doc = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    return Sample(
+        np.array(labels, np.int64), np.array(bits, np.int64), doc, flat(lists), flat(of_word), flat(term), [*words], [*terms]
+    )
+
+
+def mine_voters(sample: Sample) -> Voters:
     """Lexicons of the fixed lists, and of terms that toxic sample documents have far more often
     than clean ones: for each kind of term three, by strength."""
-    tally = {0: Counter(), 1: Counter()}
-    sizes = Counter(label for _, label in documents)
-    for words, label in documents:
-        tally[label].update({t for w in words for t in terms_of(w)})
-    strength = {}
-    for term, n in tally[1].items():
-        if n >= MIN_SUPPORT:
-            ratio = np.log((n + 0.5) / (sizes[1] + 1)) - np.log((tally[0][term] + 0.5) / (sizes[0] + 1))
-            if ratio > 2.0:
-                strength[term] = ratio * np.sqrt(n)
+    toxic, clean = sample.support(1), sample.support(0)
+    sizes = [(sample.label == k).sum() for k in (0, 1)]
+    ratio = np.log((toxic + 0.5) / (sizes[1] + 1)) - np.log((clean + 0.5) / (sizes[0] + 1))
+    strong = np.flatnonzero((toxic >= MIN_SUPPORT) & (ratio > 2.0))
+    strength = {sample.terms[i]: ratio[i] * np.sqrt(toxic[i]) for i in strong}
     names, terms = [], {}
 
     def add(name: str, chosen_terms) -> None:
@@ -239,76 +287,82 @@ def _unpack(votes: np.ndarray, size: int) -> np.ndarray:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, row_id: str, text: str, label: str) -> ToxicityModel:
-    """Fit voters, label model and classifier. The sample is bounded by `SAMPLE`; the votes are
-    counted over all documents and come back as one number per combination."""
-    words_schema = T.StructType([T.StructField("words", T.StringType()), T.StructField("_label", T.IntegerType()), T.StructField("low", T.StringType())])
+    """Fit voters, label model and classifier. The sample is bounded by `SAMPLE` and `SAMPLE_WORDS`
+    and held as arrays; the votes are counted over all documents and come back as one number per
+    combination."""
+    schema = T.StructType(
+        [T.StructField("words", T.StringType()), T.StructField("_label", T.IntegerType()), T.StructField("bits", T.LongType())]
+    )
 
     def make():
-        def run(piece):
-            sets = [sorted({plain_word(w) for w in words_of(x)} - {""}) for x in piece[text]]
-            hits = ["".join("01"[bool(re.search(p, x.decode("utf-8", "replace").lower()))] for p in VOTE_PATTERNS) for x in piece[text]]
-            return {"words": [" ".join(s) for s in sets], "_label": piece["_label"], "low": hits}
-
-        return run
-
-    sample = labelled_sample(docs, labels, row_id, text, label, SAMPLE)
-    rows = map_text(sample, ["_label"], text, words_schema, make).collect()
-    # One string for each different word, whatever the number of documents it is in.
-    known: dict[str, str] = {}
-    documents = [({known.setdefault(w, w) for w in r[0].split(" ")} - {""}, r[1]) for r in rows]
-    rows = [(None, None, r[2]) for r in rows]
-    del known
-    truth = np.array([y for _, y in documents], dtype=float)
-    voters = mine_voters(documents)
+        import xxhash
+
+        def chosen(raw):
+            own = sorted({plain_word(w) for w in words_of(raw)} - {""})
+            if len(own) > SAMPLE_WORDS:
+                own = sorted(own, key=lambda w: (xxhash.xxh3_64_intdigest(w), w))[:SAMPLE_WORDS]
+            return " ".join(own)
+
+        def fits(raw):
+            low = raw.decode("utf-8", "replace").lower()
+            return sum(1 << i for i, p in enumerate(VOTE_PATTERNS) if re.search(p, low))
+
+        return lambda piece: {
+            "words": [chosen(x) for x in piece[text]],
+            "_label": piece["_label"],
+            "bits": [fits(x) for x in piece[text]],
+        }
+
+    picked = labelled_sample(docs, labels, row_id, text, label, SAMPLE)
+    sample = read_sample(map_text(picked, ["_label"], text, schema, make).toLocalIterator())
+    voters = mine_voters(sample)
     found = vote_counts(docs, row_id, text, voters).collect()
     size = len(voters.names)
     patterns = np.array([r[0] for r in found], dtype=np.int64)
     counts = np.array([r[1] for r in found], dtype=float)
     if not len(patterns):
         patterns, counts = np.zeros(1, np.int64), np.ones(1)
-    model = fit_label_model(_unpack(patterns, size), counts, truth.mean() if len(truth) else 0.1)
-    at = size - len(voters.patterns)
-    own = []
-    for (words, _), row in zip(documents, rows):
-        bits = sum(1 << (at + i) for i, c in enumerate(row[2]) if c == "1")
-        for w in words:
-            bits |= voters.bits_of_word(w)
-        own.append(bits)
-    votes = _unpack(np.array(own, dtype=np.int64), size)
-    posterior = sigmoid(model.log_odds(votes)) if len(own) else np.zeros(0)
-    weights, dense, offset, margins = _train(documents, votes, posterior)
-    slope, shift = platt(margins, truth) if len(truth) else (1.0, -2.0)
+    told = len(sample.label)
+    model = fit_label_model(_unpack(patterns, size), counts, sample.label.mean() if told else 0.1)
+    own = sample.pattern_bits << (size - len(voters.patterns))
+    word_bits = np.array([voters.bits_of_word(w) for w in sample.words], np.int64)
+    np.bitwise_or.at(own, sample.doc, word_bits[sample.word])
+    votes = _unpack(own, size)
+    posterior = sigmoid(model.log_odds(votes)) if told else np.zeros(0)
+    weights, dense, offset, margins = _train(sample, votes, posterior)
+    slope, shift = platt(margins, sample.label.astype(float)) if told else (1.0, -2.0)
     return ToxicityModel(voters, model, weights, dense, offset, slope, shift + float(np.log(MISS_COST)))
 
 
-def _train(documents, votes, posterior, rounds: int = 80):
+def _train(sample: Sample, votes, posterior, rounds: int = 80):
     """Logistic regression on the posteriors, by full-batch Adam with weight decay. A document is
     its words' terms over the root of its number of words, and its votes."""
-    tally = Counter()
-    for words, _ in documents:
-        tally.update({t for w in words for t in terms_of(w)})
-    kept = [t for t, n in tally.most_common(MAX_TERMS) if n >= MIN_SUPPORT]
-    index = {t: i for i, t in enumerate(sorted(kept))}
-    rows, columns = [], []
-    for i, (words, _) in enumerate(documents):
-        own = [index[t] for w in words for t in terms_of(w) if t in index]
-        rows.append(np.full(len(own), i, np.int32))
-        columns.append(np.array(own, np.int32))
-    n, m, j = len(documents), len(index), votes.shape[1] if len(documents) else 0
+    n = len(sample.label)
     if not n:
         return {}, np.zeros(0), 0.0, np.zeros(0)
-    rows, columns = np.concatenate(rows), np.concatenate(columns)
-    scale = np.array([1.0 / max(1.0, np.sqrt(len(w))) for w, _ in documents])
+    support = sample.support(0) + sample.support(1)
+    kept = np.flatnonzero(support >= MIN_SUPPORT)
+    kept = kept[np.argsort(-support[kept], kind="stable")][:MAX_TERMS]
+    number = np.full(len(sample.terms), -1)
+    number[kept] = np.arange(len(kept))
+    # A word's weight is the sum of its terms' weights, so documents are only touched word by word.
+    known = number[sample.term] >= 0
+    of_word, column = sample.of_word[known].astype(np.intp), number[sample.term[known]]
+    doc, word = sample.doc.astype(np.intp), sample.word.astype(np.intp)
+    m, j, v_size = len(kept), votes.shape[1], len(sample.words)
+    scale = 1.0 / np.maximum(1.0, np.sqrt(np.bincount(doc, minlength=n)))
     w, v, b = np.zeros(m), np.zeros(j), float(np.log(max(posterior.mean(), 1e-3)))
     state = [np.zeros(m), np.zeros(m), np.zeros(j), np.zeros(j), 0.0, 0.0]
 
     def margin():
-        return np.bincount(rows, w[columns], n) * scale + votes @ v + b
+        by_word = np.bincount(of_word, w[column], v_size)
+        return np.bincount(doc, by_word[word], n) * scale + votes @ v + b
 
     for t in range(1, rounds + 1):
         error = (sigmoid(margin()) - posterior) / n
+        by_word = np.bincount(word, (error * scale)[doc], v_size)
         gradients = (
-            np.bincount(columns, (error * scale)[rows], m) + 1e-4 * w / n * 100,
+            np.bincount(column, by_word[of_word], m) + 1e-4 * w / n * 100,
             votes.T @ error + 1e-4 * v,
             error.sum(),
         )
@@ -320,7 +374,7 @@ def _train(documents, votes, posterior, rounds: int = 80):
             second = state[2 * k + 1] / (1 - 0.999**t)
             moved.append(0.1 * first / (np.sqrt(second) + 1e-8))
         w, v, b = w - moved[0], v - moved[1], b - moved[2]
-    return {t: float(w[i]) for t, i in index.items() if abs(w[i]) > 1e-3}, v, float(b), margin()
+    return {sample.terms[t]: float(x) for t, x in zip(kept, w) if abs(x) > 1e-3}, v, float(b), margin()
 
 
 def score_toxicity(docs: DataFrame, row_id: str, text: str, model: ToxicityModel) -> DataFrame:
