@@ -3,6 +3,8 @@
 import random
 import time
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from millrace.operators.transforms import merge
 from millrace.session import scratch
 from millrace.sources import topics
 from millrace.sources.topics import Group, KafkaTopic, Topic, drain, write_stream, write_stream_plain
-from millrace.streaming import sinks, stateful
+from millrace.streaming import keyed, sinks, stateful
 
 SHAPE = "k string, ts timestamp, id long, v double"
 
@@ -332,6 +334,86 @@ def test_stream_windows_and_means_without_key(spark, source):
     assert [m for _, m in got] == pytest.approx([m for _, m in expected])
 
 
+def test_stream_state_is_kept_by_bucket(spark, source):
+    """A micro-batch of many keys calls the processor once a bucket, not once a key."""
+    feed(spark, source, [(f"k{i % 3000}", i, i, 1.0) for i in range(6000)], 0)
+    told = []
+
+    def each(batch, batch_id):
+        batch.persist()
+        told.append(batch.where(F.col(keyed.KIND) == keyed.BEFORE).count())
+        told.append(flow.divided(batch).before.agg(F.count(F.lit(1)), F.sum(keyed.COUNT)).first())
+        batch.unpersist()
+
+    flow = keyed.KeyedFlow(source.read_stream(spark), ["k"], F.col("v"), F.lit(1))
+    checkpoint = scratch(spark, "buckets")
+    topics.start(flow.flow, each, checkpoint).awaitTermination()
+    feed(spark, source, [(f"k{i}", i, i, 1.0) for i in range(2000)], 1)
+    flow = keyed.KeyedFlow(source.read_stream(spark), ["k"], F.col("v"), F.lit(1))
+    topics.start(flow.flow, each, checkpoint).awaitTermination()
+    assert 0 < told[0] <= 1024 and 0 < told[2] <= 1024
+    assert tuple(told[1]) == (0, None) and tuple(told[3]) == (2000, 4000)
+
+
+def test_stream_windows_of_many_and_odd_keys(spark):
+    """NULL, zeros of both signs and NaNs are keys, in tuples too; what waits survives batches without its key."""
+    odd = [None, 0.0, -0.0, float("nan"), 1.5]
+    data = [(None if i % 3 == 0 else f"s{i % 2}", odd[i * 7 % 5], i * 7919 % 101, i, i) for i in range(300)]
+    made = spark.createDataFrame(data, "k string, f double, ts long, id long, v long")
+    source = Topic(scratch(spark, "odd"), made.schema)
+    out = Topic(scratch(spark, "out"), spark.createDataFrame([], "k string, f double, window long, s long, n long").schema)
+    checkpoint = scratch(spark, "odd-windows")
+    aggregates = lambda: [F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")]
+    for part, (low, high) in enumerate([(0, 130), (130, 131), (131, 300)]):
+        source.write_batch(made.where(F.col("id").between(low, high - 1)).coalesce(1), "feed", part)
+    stateful.stream_count_window(
+        source.read_stream(spark, max_files_per_trigger=1), 4, ["k", "f"], ["ts", "id"], aggregates(), out, checkpoint, "p"
+    ).awaitTermination()
+    # Batches come one after the other, so what is in front of an earlier one stays there.
+    turn = F.when(F.col("id") < 130, 0).when(F.col("id") < 131, 1).otherwise(2)
+    expected = count_window(
+        made.withColumn("turn", turn), 4, ["turn", "ts", "id"], aggregates(), ["k", "f"], keep_partial=False
+    )
+    names = ("k", "f", "window", "s", "n")
+    plain = lambda df: rows(df.withColumn("f", (F.col("f") + 0.0).cast("string")), *names)
+    assert plain(out.read(spark)) == plain(expected)
+
+
+def test_state_of_a_key_outlives_its_time_alone():
+    """In a bucket every key has its own time."""
+
+    class State:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Clock:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.now
+
+    def told(now, *keys):
+        n = len(keys)
+        totals = pa.table({"key0": keys, keyed.TOTAL: [1.0] * n, keyed.COUNT: [1] * n})
+        records = pa.table({"key0": keys, "k": keys, "id": [now] * n})
+        part = pd.DataFrame({keyed.TOTALS: [keyed.packed(totals)], keyed.ROWS: [keyed.packed(records)]})
+        made = next(processor.handleInputRows((0,), iter([part]), Clock(now)))
+        tables = [made[c][0] and keyed.unpacked(made[c][0]).to_pydict() for c in (keyed.TOTALS, keyed.ROWS)]
+        return [t and dict(zip(t.get("key0") or t["k"], t[keyed.COUNT])) for t in tables]
+
+    processor = keyed.KeyTotals(["key0"], ["id"], 3, ttl_ms=100)
+    processor.state = State()
+    assert told(0, "a", "b") == [None, None]
+    assert told(60, "a") == [{"a": 1}, {"a": 1}]
+    assert told(120, "a", "b") == [{"a": 2}, {"a": 2}]
+
+
 def test_stream_call_stats(spark, source):
     data = records(120)
     for part in range(3):
