@@ -133,7 +133,11 @@ class ChunkEncoder:
 
     def raw(self, text: bytes) -> tuple[str, str]:
         """The whole text in one call."""
-        return self._strings(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids)
+        return self._strings(self._ids(text.decode("utf-8")))
+
+    def _ids(self, text: str) -> list[int]:
+        """The tokenizer's ids; where the tokens lie in the text is not asked for."""
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def values(self, texts: list[bytes]) -> list[tuple[str, str]]:
         """Values of texts, each encoded by itself; many in one call where that cannot matter."""
@@ -143,8 +147,7 @@ class ChunkEncoder:
             part = texts[start : start + 10_000]
             joined = name.encode().join(part).decode("utf-8") if name else ""
             if name and joined.count(name) == len(part) - 1:
-                made = self.tokenizer.encode(joined, add_special_tokens=False).ids
-                ids, tokens = self._strings(made)
+                ids, tokens = self._strings(self._ids(joined))
                 ids, tokens = ids.split(f" {self.mark} "), tokens.split(f" {name} ")
                 if len(ids) == len(part) == len(tokens):
                     out += zip(ids, tokens)

@@ -402,6 +402,21 @@ def test_long_text_of_tokens():
     assert encoder.encode([text.encode()]) == [encoder.raw(text.encode())]
 
 
+def test_encoder_asks_for_ids_alone():
+    """The same ids as the library's `encode`, without the places of tokens, which cost a quarter of its time."""
+    pytest.importorskip("public_tokenizers")
+    encoder = bpe.ChunkEncoder(bpe.default_tokenizer())
+    tool = encoder.tokenizer
+
+    class IdsAlone:
+        encode_batch_fast = tool.encode_batch_fast
+
+    encoder.tokenizer = IdsAlone()
+    texts = ["", " ", "One two, two.", "don't \u00c9l\u00e8ve e\u0301 \u4e2d\u6587 123 \U0001f600\u200d\u0000", "a<|endoftext|>b", "<|ENDOFTEXT|>x", "w" * 700]
+    want = [" ".join(map(str, tool.encode(x, add_special_tokens=False).ids)) for x in texts]
+    assert [v[0] for v in encoder.encode([x.encode() for x in texts])] == want
+
+
 # Lines
 
 
