@@ -14,13 +14,15 @@ and go on with more of them, until every member has been one. That gives the com
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import arrow_schema, byte_slices, discard, gram_hashes, map_text, mix, stored, word_hashes
+from millrace.llm.common import arrow_schema, byte_slices, discard, gram_hashes, map_text, mix, stored, word_numbers
 from millrace.llm.components import components
 from millrace.llm.registry import query, table
 
@@ -44,19 +46,25 @@ HEADS_GROW = 16
 SPREAD = 1_000
 """Members of a list that are compared with as many others in one group, where every pair is asked for."""
 
+PAIR_BYTES = 4 << 20
+"""Text bytes of the pairs that a task verifies at once."""
+
+KNOWN = 1_000_000
+"""Shingles of verified sets a task remembers for the next pairs, before it starts anew."""
+
 BOUNDARIES = (1, 2, 4, 8, 12, 16, 24, 32, 48, 64)
 SEEN = 200_000
 """Set ids a task remembers to post equal sets once."""
 
 
-def shingle_set(raw: bytes, hashes, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text with A-Z lower-cased; fewer words than `size` are
+def shingle_sets(texts: list[bytes], size: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text its sorted distinct shingle hashes, A-Z lower-cased; fewer words than `size` are
     one shingle; no words, none."""
-    words = raw.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    numbers = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
-    return np.unique(gram_hashes(numbers, min(size, len(words))))
+    for numbers, bounds in word_numbers(texts):
+        runs = gram_hashes(numbers, size)
+        for a, b in zip(bounds, bounds[1:]):
+            grams = np.sort(runs[a : b - size + 1] if b - a >= size else gram_hashes(numbers[a:b], max(1, b - a)))
+            yield grams[np.concatenate([[True], grams[1:] != grams[:-1]])] if len(grams) else grams
 
 
 def set_id(grams: np.ndarray) -> tuple[int, int]:
@@ -118,7 +126,6 @@ def _describe(docs: DataFrame, row_id: str, text: str, size: int) -> DataFrame:
     out = arrow_schema(schema)
 
     def run(batches):
-        hashes = word_hashes()
         held, number, seen = [], 0, set()
 
         def repeated():
@@ -136,8 +143,7 @@ def _describe(docs: DataFrame, row_id: str, text: str, size: int) -> DataFrame:
 
         for piece in byte_slices(batches, [row_id], text):
             rows = []
-            for doc, raw in zip(piece[row_id], piece[text]):
-                grams = shingle_set(raw, hashes, size)
+            for doc, grams in zip(piece[row_id], shingle_sets(piece[text], size)):
                 sid, check = set_id(grams)
                 rows.append((0, doc, len(grams), sid, check))
                 if len(seen) >= SEEN:
@@ -166,12 +172,11 @@ def _postings(docs: DataFrame, text: str, size: int, percent: int, boundary: int
     )
 
     def make():
-        hashes, seen = word_hashes(), set()
+        seen = set()
 
         def run(piece):
             sigs, sids, sizes, places = [], [], [], []
-            for raw in piece[text]:
-                grams = shingle_set(raw, hashes, size)
+            for grams in shingle_sets(piece[text], size):
                 sid = set_id(grams)[0]
                 if len(seen) >= SEEN:
                     seen.clear()
@@ -227,28 +232,36 @@ def _verify(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> Dat
     out = arrow_schema(schema)
 
     def run(batches):
-        hashes, known = word_hashes(), {}
-
-        def grams(sid, body):
-            if len(known) > 1_000:
-                known.clear()
-            if sid not in known:
-                known[sid] = shingle_set(body, hashes, size)
-            return known[sid]
-
+        known: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            columns = [batch.column(i) for i in range(4)]
-            for start in range(0, len(batch), 500):
-                a, b, x, y = (c.slice(start, 500).to_pylist() for c in columns)
+            a, b = (batch.column(i).to_pylist() for i in range(2))
+            texts = [batch.column(i) for i in (2, 3)]
+            ends = np.cumsum(sum(np.asarray(pa.compute.binary_length(c)).astype(np.int64) for c in texts))
+            start = 0
+            while start < len(batch):
+                base = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, base + PAIR_BYTES, "right")))
+                if held > KNOWN:
+                    known, held = {}, 0
+                missing = {}
+                for sids, column in zip((a, b), texts):
+                    for i in range(start, stop):
+                        if sids[i] not in known and sids[i] not in missing:
+                            missing[sids[i]] = column[i].as_py()
+                for sid, grams in zip(missing, shingle_sets(list(missing.values()), size)):
+                    known[sid] = grams
+                    held += len(grams)
                 kept = []
-                for i in range(len(a)):
-                    p, q = grams(a[i], x[i]), grams(b[i], y[i])
+                for i in range(start, stop):
+                    p, q = known[a[i]], known[b[i]]
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     if 100 * both >= percent * (len(p) + len(q) - both):
                         kept.append(i)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([c[i] for i in kept], pa.int64()) for c in (a, b)], schema=out
                 )
+                start = stop
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, schema)
 
@@ -267,13 +280,13 @@ def _bodies(
         return met.select("sid", F.col("_text").cast("binary").alias("body"))
 
     def make():
-        hashes, seen = word_hashes(), set()
+        seen = set()
 
         def run(piece):
             made = []
-            for sid, raw in zip(piece["sid"], piece["_text"]):
+            for sid, raw, grams in zip(piece["sid"], piece["_text"], shingle_sets(piece["_text"], size)):
                 # The rows of an id are in one task. They may repeat a text, or bring another along.
-                if sid not in seen and set_id(shingle_set(raw, hashes, size))[0] == sid:
+                if sid not in seen and set_id(grams)[0] == sid:
                     seen.add(sid)
                     made.append((sid, raw))
             return {"sid": [m[0] for m in made], "body": [m[1] for m in made]}
