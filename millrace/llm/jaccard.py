@@ -46,6 +46,9 @@ HEADS_GROW = 16
 SPREAD = 1_000
 """Members of a list that are compared with as many others in one group, where every pair is asked for."""
 
+TEXTS = 1_000
+"""Rows with texts that go to Python in one Arrow batch."""
+
 PAIR_BYTES = 4 << 20
 """Text bytes of the pairs that a task verifies at once."""
 
@@ -345,7 +348,7 @@ def jaccard_links(
     )
     met = left.join(right, ["sig", "l", "r"]).where("sid < o")
     pairs = stored(spark, _candidates(met, boundary, percent), "all-candidates")
-    links = stored(spark, _verify(pairs, bodies, size, percent), "all-links")
+    links = stored(spark, _verify(pairs, bodies, size, percent), "all-links", TEXTS)
     discard(spark, pairs)
     discard(spark, bodies)
 
@@ -366,7 +369,7 @@ def jaccard_links(
 def _gathered(spark: SparkSession, docs: DataFrame, row_id: str, text: str, size: int, percent: int):
     """(documents with their sets, different sets, lists of the sets that meet, their texts, the
     largest size of a light set)."""
-    told = stored(spark, _describe(docs, row_id, text, size), "shingle-sets")
+    told = stored(spark, _describe(docs, row_id, text, size), "shingle-sets", TEXTS)
     about = told.where("kind = 0")
     classes = stored(
         spark,
@@ -390,13 +393,13 @@ def _gathered(spark: SparkSession, docs: DataFrame, row_id: str, text: str, size
     total = sum(n * c for n, c in histogram)
     boundary = choose_boundary(histogram, float(counts.sum()) / max(1, total), percent)
 
-    posted = stored(spark, _postings(docs, text, size, percent, boundary, frequent), "postings")
+    posted = stored(spark, _postings(docs, text, size, percent, boundary, frequent), "postings", TEXTS)
     shared = posted.groupBy("sig").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("sig")
     lists = stored(spark, posted.join(shared, "sig").distinct(), "lists")
     discard(spark, posted)
     met = stored(spark, lists.select("sid").distinct().join(classes.select("sid", "doc"), "sid"), "met-sets")
     unique = about.groupBy("doc").count().where("count > 1").isEmpty()
-    bodies = stored(spark, _bodies(docs, row_id, text, met, size, unique), "bodies")
+    bodies = stored(spark, _bodies(docs, row_id, text, met, size, unique), "bodies", TEXTS)
     return about, classes, lists, bodies, boundary
 
 
@@ -418,7 +421,8 @@ def _link(
     spark: SparkSession, lists: DataFrame, bodies: DataFrame, boundary: int, size: int, percent: int
 ):
     """(links `a`, `b`; `node`, `root` of every linked set), from lists of `sig`, `sid`, `n`, `pos`."""
-    links = done = spark.createDataFrame([], "a bigint, b bigint")
+    # Nothing yet. A frame made from a list would start Python workers of another kind on every executor.
+    links = done = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     labels, heads = None, HEADS
     while True:
         # Only lists with members that are not known to be connected go on.
@@ -434,7 +438,7 @@ def _link(
         new = _candidates(_head_pairs(placed), boundary, percent).join(done, ["a", "b"], "left_anti")
         new = stored(spark, new, "candidates")
         done = done.unionByName(new)
-        links = links.unionByName(stored(spark, _verify(new, bodies, size, percent), "verified"))
+        links = links.unionByName(stored(spark, _verify(new, bodies, size, percent), "verified", TEXTS))
         if longest <= heads:
             break
         labels = _labels(spark, links)
