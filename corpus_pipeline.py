@@ -12,11 +12,16 @@ from millrace.llm.bpe import default_tokenizer, encode
 from millrace.llm.common import filter_rows, stored
 from millrace.llm.decontaminate import without_passages
 from millrace.llm.jaccard import jaccard_classes
+from millrace.llm.substrings import shared_passages
 from millrace.llm.suffixes import remove_repeats
 from millrace.llm.toxicity import fit_toxicity
 
 TOXIC_FROM = 0.5
 
+PASSAGE_WORDS = 51
+PASSAGE_GRAM = 26
+"""Words of the grams that passages are looked up by first, see `millrace.llm.substrings.levels`."""
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def make():
         score = model.scorer()
-        return lambda texts: [not x.strip() or score(x) < TOXIC_FROM for x in texts]
+        return lambda texts: [not x.strip() or s < TOXIC_FROM for x, s in zip(texts, score(texts).tolist())]
 
     return filter_rows(docs, "text", make)
 
@@ -46,9 +51,11 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 400-byte strings that also start elsewhere. A character that is cut
-    through goes; a document that loses everything stays with an empty text."""
-    cut = remove_repeats(spark, docs, "doc_id", "text", as_text=True).select(
+    """Texts without the bytes of 400-byte strings that also start elsewhere, and without the passages of
+    more than 50 words that another document has too, whatever their bytes; both are judged on the
+    input. A character that is cut through goes; a document that loses everything stays with an empty text."""
+    passages = shared_passages(spark, docs, "doc_id", "text", PASSAGE_WORDS, PASSAGE_GRAM)
+    cut = remove_repeats(spark, docs, "doc_id", "text", as_text=True, more=passages).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept")
     )
     cut = stored(spark, cut.dropDuplicates(["_id", "_key"]), "cut").hint("shuffle_hash")

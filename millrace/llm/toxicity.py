@@ -9,14 +9,17 @@ linear classifier over words and word beginnings, which scores every document.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Cache, fold, map_text
+from millrace.llm.common import Cache, coded_words, fold, map_text
 from millrace.llm.registry import query, table
 from millrace.llm.sampling import labelled_sample, platt, sigmoid
 
@@ -50,6 +53,14 @@ VOTE_PATTERNS = [
     r"!{3,}",
 ]
 
+NEEDED = [
+    [("you",), ("idiot", "moron", "loser", "scum", "trash", "clown", "stupid", "pathetic")],
+    [("**",)],
+    [("shut up", "go away", "get lost", "drop dead")],
+    [("!!!",)],
+]
+"""A text without one string of each group does not fit the pattern, and is not searched for it."""
+
 STRIPPED = " .,;:!?\"'()[]{}<>*#$%&|-_=+/\\…¡¿«»"
 
 
@@ -61,6 +72,39 @@ def words_of(raw: bytes) -> set[str]:
     return set(raw.decode("utf-8", "replace").lower().split())
 
 
+def pattern_bits(raw: bytes) -> int:
+    """The patterns a text fits."""
+    text = raw.decode("utf-8", "replace").lower()
+    found = 0
+    for i, (pattern, groups) in enumerate(zip(VOTE_PATTERNS, NEEDED)):
+        if all(any(s in text for s in group) for group in groups) and re.search(pattern, text):
+            found |= 1 << i
+    return found
+
+
+def distinct_words(texts: list[bytes]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, int]]:
+    """Of some texts at a time, in order: different words, the pairs (text, place of a word) that say which
+    texts have which of them, as `words_of` would, and the number of texts. A word is lower-cased and parted
+    at white space that is not ASCII once for all texts that have it."""
+    for names, at, bounds in coded_words(texts, lower=False):
+        size = len(bounds) - 1
+        joined = b"\n".join(names).decode("utf-8", "replace").lower()
+        lines, words = joined.split("\n"), joined.split()
+        doc = np.repeat(np.arange(size), np.diff(bounds))
+        if lines != words:
+            n = np.array([len(line.split()) for line in lines], np.int64)
+            each = n[at]
+            within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            at = np.repeat((np.cumsum(n) - n)[at], each) + within
+            doc = np.repeat(doc, each)
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        own = coded.indices.to_numpy().astype(np.int64)
+        many = max(1, len(coded.dictionary))
+        pairs = np.sort(doc * many + own[at])
+        doc, word = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], many)
+        yield coded.dictionary, doc, word, size
+
+
 def terms_of(word: str) -> list[str]:
     """The word and its beginnings; the latter tell forms of one stem."""
     return ["=" + word] + [word[:k] for k in PREFIXES if len(word) > k]
@@ -80,9 +124,42 @@ class Voters:
             found |= self.terms.get(term, 0)
         return found
 
-    def bits_of_text(self, text: str) -> int:
+    def bits_of_texts(self, words: np.ndarray, doc: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Votes on some texts. `words` are the bits of the words that the texts `doc` have."""
         at = len(self.names) - len(self.patterns)
-        return sum(1 << (at + i) for i, p in enumerate(self.patterns) if re.search(p, text))
+        found = np.array([pattern_bits(x) << at for x in texts], np.int64)
+        met = np.flatnonzero(words)
+        np.bitwise_or.at(found, doc[met], words[met])
+        return found
+
+
+class Values:
+    """What terms weigh and which voters they are, looked up for many words at a time."""
+
+    def __init__(self, weights: dict[str, float], bits: dict[str, int]):
+        terms = [*(weights.keys() | bits.keys())]
+        self.weight = np.array([0.0] + [weights.get(t, 0.0) for t in terms])
+        self.bits = np.array([0] + [bits.get(t, 0) for t in terms], np.int64)
+        self.words = {t[1:]: i for i, t in enumerate(terms, 1) if t[0] == "="}
+        self.beginnings = {t: i for i, t in enumerate(terms, 1) if t[0] != "="}
+
+    @staticmethod
+    def _places(terms: dict[str, int], sought: pa.Array) -> np.ndarray:
+        get = terms.get
+        return np.array([get(t, 0) for t in sought.to_numpy(zero_copy_only=False)], np.int64)
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of weights, bits) of the terms of each word."""
+        plain = pa.compute.utf8_trim(words, STRIPPED)
+        size = pa.compute.utf8_length(plain).to_numpy()
+        at = self._places(self.words, plain)
+        weight, bits = self.weight[at], self.bits[at]
+        for k in PREFIXES:
+            coded = pa.compute.utf8_slice_codeunits(plain, 0, k).dictionary_encode()
+            known = self._places(self.beginnings, coded.dictionary)
+            at = np.where(size > k, known[coded.indices.to_numpy()], 0) if len(size) else at
+            weight, bits = weight + self.weight[at], bits | self.bits[at]
+        return weight, bits
 
 
 @dataclass(frozen=True)
@@ -226,34 +303,22 @@ class ToxicityModel:
     shift: float
 
     def scorer(self):
-        """Function from a text (bytes) to its score; caches words."""
-
-        def word_value(word: str) -> tuple[float, int]:
-            word = plain_word(word)
-            if not word:
-                return 0.0, 0
-            get = self.weights.get
-            return sum(get(t, 0.0) for t in terms_of(word)), self.voters.bits_of_word(word)
+        """Function from texts (bytes) to their scores."""
 
-        cache = Cache(100_000, word_value)
+        values = Values(self.weights, self.voters.terms)
         matters = {1 << i: float(w) for i, w in enumerate(self.dense)}
-        compiled = [re.compile(p) for p in self.voters.patterns]
-        at = len(self.voters.names) - len(compiled)
-
-        def score(raw: bytes) -> float:
-            text = raw.decode("utf-8", "replace").lower()
-            words = set(text.split())
-            total, bits = 0.0, 0
-            for word in words:
-                weight, found = cache[word]
-                total += weight
-                bits |= found
-            for i, pattern in enumerate(compiled):
-                if pattern.search(text):
-                    bits |= 1 << (at + i)
-            margin = self.offset + total / max(1.0, np.sqrt(len(words)))
-            margin += sum(w for bit, w in matters.items() if bits & bit)
-            return float(sigmoid(self.slope * margin + self.shift))
+        votes_value = Cache(100_000, lambda votes: sum(w for bit, w in matters.items() if votes & bit))
+
+        def score(texts: list[bytes]) -> np.ndarray:
+            out, start = [np.zeros(0)], 0
+            for words, doc, word, size in distinct_words(texts):
+                weight, bits = values.of(words)
+                votes = self.voters.bits_of_texts(bits[word], doc, texts[start : start + size])
+                total = np.bincount(doc, weight[word], size) / np.maximum(1.0, np.sqrt(np.bincount(doc, minlength=size)))
+                margin = self.offset + total + np.array([votes_value[v] for v in votes.tolist()])
+                out.append(sigmoid(self.slope * margin + self.shift))
+                start += size
+            return np.concatenate(out)
 
         return score
 
@@ -263,21 +328,16 @@ def vote_counts(docs: DataFrame, row_id: str, text: str, voters: Voters) -> Data
     schema = T.StructType([T.StructField("votes", T.LongType())])
 
     def make():
-        cache = Cache(100_000, lambda w: voters.bits_of_word(plain_word(w)))
-        compiled = [re.compile(p) for p in voters.patterns]
-        at = len(voters.names) - len(compiled)
-
-        def bits(raw):
-            low = raw.decode("utf-8", "replace").lower()
-            found = 0
-            for word in set(low.split()):
-                found |= cache[word]
-            for i, pattern in enumerate(compiled):
-                if pattern.search(low):
-                    found |= 1 << (at + i)
-            return found
-
-        return lambda piece: {"votes": [bits(x) for x in piece[text]]}
+        values = Values({}, voters.terms)
+
+        def votes(texts):
+            out, start = [np.zeros(0, np.int64)], 0
+            for words, doc, word, size in distinct_words(texts):
+                out.append(voters.bits_of_texts(values.of(words)[1][word], doc, texts[start : start + size]))
+                start += size
+            return np.concatenate(out)
+
+        return lambda piece: {"votes": votes(piece[text])}
 
     return map_text(docs, [], text, schema, make).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
 
@@ -303,14 +363,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, row_id: str, text: str, lab
                 own = sorted(own, key=lambda w: (xxhash.xxh3_64_intdigest(w), w))[:SAMPLE_WORDS]
             return " ".join(own)
 
-        def fits(raw):
-            low = raw.decode("utf-8", "replace").lower()
-            return sum(1 << i for i, p in enumerate(VOTE_PATTERNS) if re.search(p, low))
-
         return lambda piece: {
             "words": [chosen(x) for x in piece[text]],
             "_label": piece["_label"],
-            "bits": [fits(x) for x in piece[text]],
+            "bits": [pattern_bits(x) for x in piece[text]],
         }
 
     picked = labelled_sample(docs, labels, row_id, text, label, SAMPLE)
@@ -389,7 +445,7 @@ def score_toxicity(docs: DataFrame, row_id: str, text: str, model: ToxicityModel
 
     def make():
         score = model.scorer()
-        return lambda piece: {row_id: piece[row_id], "score": [score(x) for x in piece[text]]}
+        return lambda piece: {row_id: piece[row_id], "score": score(piece[text])}
 
     return map_text(docs, [row_id], text, schema, make)
 
