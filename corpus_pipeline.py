@@ -53,8 +53,16 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 400-byte strings that also start elsewhere, and without the passages of
     more than 50 words that another document has too, whatever their bytes; both are judged on the
-    input. A character that is cut through goes; a document that loses everything stays with an empty text."""
-    passages = shared_passages(spark, docs, "doc_id", "text", PASSAGE_WORDS, PASSAGE_GRAM)
+    input. Documents with benchmark passages keep theirs, so that the next stage still finds them. A
+    character that is cut through goes; a document that loses everything stays with an empty text."""
+    passages = stored(spark, shared_passages(spark, docs, "doc_id", "text", PASSAGE_WORDS, PASSAGE_GRAM), "passages")
+    held = passages.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).hint("shuffle_hash")
+    same = (F.xxhash64(docs["text"]) == held["_key"]) & docs["doc_id"].eqNullSafe(held["_id"])
+    clean = drop_contaminated(spark, docs.join(held, same, "left_semi"), sf_dir).select(
+        F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key")
+    )
+    goes = (passages["text_key"] == clean["_key"]) & passages["doc_id"].eqNullSafe(clean["_id"])
+    passages = passages.join(clean, goes, "left_semi")
     cut = remove_repeats(spark, docs, "doc_id", "text", as_text=True, more=passages).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept")
     )

@@ -39,16 +39,22 @@ def test_shared_passages(spark):
     assert substrings.shared_passages(spark, frame(spark, []), "doc_id", "text", size, 3).count() == 0
 
 
-def test_pipeline_cuts_passages_of_few_bytes(spark):
+def test_pipeline_cuts_passages_of_few_bytes(spark, tmp_path):
     draw = random.Random(4)
     prose = lambda n: " ".join(f"{draw.randrange(36**3):x}" for _ in range(n))
     passage, short = prose(55), prose(50)
     assert len(passage) < 400
-    rows = [(k, f"{prose(80)}\n{p} {prose(60)}") for k, p in enumerate([passage, passage, short, short])]
+    item = prose(52)
+    rows = [(k, f"{prose(80)}\n{p} {prose(60)}") for k, p in enumerate([passage, passage, short, short, item, item])]
     docs = frame(spark, rows)
-    cut = dict(corpus_pipeline.cut_repeated_passages(spark, docs, "").select("doc_id", "text").collect())
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    found = stages["repeated_passages"](spark, docs, str(tmp_path))
+    cut = dict(found.select("doc_id", "text").collect())
     assert cut[0] == rows[0][1].replace(passage + " ", "") and cut[1] == rows[1][1].replace(passage + " ", "")
     assert cut[2] == rows[2][1] and cut[3] == rows[3][1]
+    left = stages["decontamination"](spark, found, str(tmp_path)).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in left) == [0, 1, 2, 3]
 
 
 def test_runs_are_told_apart_by_the_order_of_windows():
