@@ -18,6 +18,10 @@ from millrace.llm.toxicity import fit_toxicity
 
 TOXIC_FROM = 0.5
 
+HAD_BENCHMARK = "\ufdd0benchmark passage cut\ufdd0"
+"""Ends a text with a benchmark passage that lost repeated passages, maybe this one. U+FDD0 is kept by Unicode
+for use inside programs; the next stage takes out any document with this mark."""
+
 PASSAGE_WORDS = 51
 PASSAGE_GRAM = 26
 """Words of the grams that passages are looked up by first, see `millrace.llm.substrings.levels`."""
@@ -53,20 +57,22 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 400-byte strings that also start elsewhere, and without the passages of
     more than 50 words that another document has too, whatever their bytes; both are judged on the
-    input. Documents with benchmark passages keep theirs, so that the next stage still finds them. A
-    character that is cut through goes; a document that loses everything stays with an empty text."""
-    passages = stored(spark, shared_passages(spark, docs, "doc_id", "text", PASSAGE_WORDS, PASSAGE_GRAM), "passages")
-    held = passages.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).hint("shuffle_hash")
-    same = (F.xxhash64(docs["text"]) == held["_key"]) & docs["doc_id"].eqNullSafe(held["_id"])
-    clean = drop_contaminated(spark, docs.join(held, same, "left_semi"), sf_dir).select(
-        F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key")
+    input. A text that loses passages of words and would have a benchmark passage with them ends in
+    `HAD_BENCHMARK`, so that the next stage still finds it. A character that is cut through goes; a document that loses
+    everything stays with an empty text."""
+    passages = shared_passages(spark, docs, "doc_id", "text", PASSAGE_WORDS, PASSAGE_GRAM)
+    cut = remove_repeats(spark, docs, "doc_id", "text", as_text=True, more=passages)
+    cut = stored(spark, cut.dropDuplicates(["doc_id", "text_key"]), "cut")
+    without = cut.where("kept_without is not null").select("doc_id", "text_key", F.col("kept_without").alias("text"))
+    clean = drop_contaminated(spark, without, sf_dir).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(True).alias("_clean")
     )
-    goes = (passages["text_key"] == clean["_key"]) & passages["doc_id"].eqNullSafe(clean["_id"])
-    passages = passages.join(clean, goes, "left_semi")
-    cut = remove_repeats(spark, docs, "doc_id", "text", as_text=True, more=passages).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept")
+    same = (cut["text_key"] == clean["_key"]) & cut["doc_id"].eqNullSafe(clean["_id"])
+    note = F.when(cut["kept_without"].isNull() | clean["_clean"].isNotNull(), "").otherwise(HAD_BENCHMARK)
+    cut = cut.join(clean, same, "left").select(
+        cut["doc_id"].alias("_id"), cut["text_key"].alias("_key"), F.concat(cut["kept"], note).alias("_kept")
     )
-    cut = stored(spark, cut.dropDuplicates(["_id", "_key"]), "cut").hint("shuffle_hash")
+    cut = stored(spark, cut, "noted").hint("shuffle_hash")
     same = (F.xxhash64(docs["text"]) == cut["_key"]) & docs["doc_id"].eqNullSafe(cut["_id"])
     whole = cut["_key"].isNull()
     made = {"text": F.when(whole, docs["text"]).otherwise(cut["_kept"])}
@@ -81,7 +87,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage near to a benchmark item."""
+    """Documents without a passage near to a benchmark item, now or before their repeated passages were cut."""
+    docs = docs.where(~F.coalesce(F.col("text").contains(HAD_BENCHMARK), F.lit(False)))
     return without_passages(docs, "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 

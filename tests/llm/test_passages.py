@@ -57,6 +57,32 @@ def test_pipeline_cuts_passages_of_few_bytes(spark, tmp_path):
     assert sorted(r["doc_id"] for r in left) == [0, 1, 2, 3]
 
 
+def test_pipeline_cuts_benchmark_passages_that_repeat(spark, tmp_path):
+    """Cut like all others, whose documents the next stage takes out all the same."""
+    draw = random.Random(7)
+    prose = lambda n: " ".join(f"{draw.randrange(36**3):x}" for _ in range(n))
+    item, once, passage = prose(52), prose(30), prose(60)
+    bodies = [[item], [item], [passage, once], [passage], [prose(20)], [once]]
+    rows = [(k, f"{prose(80)}\n{' '.join(own)} {prose(60)}") for k, own in enumerate(bodies)] + [(None, None), (9, "")]
+    rows += [(None, f"{prose(70)}\n{item} {prose(60)}"), (1, rows[1][1])]
+    spark.createDataFrame([(1, item), (2, once)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages, docs = dict(corpus_pipeline.STAGES), frame(spark, rows)
+    found = stages["repeated_passages"](spark, docs, str(tmp_path))
+    assert found.columns == docs.columns and found.count() == len(rows)
+    noted = corpus_pipeline.HAD_BENCHMARK
+    for doc, text in found.select("doc_id", "text").collect():
+        assert item not in (text or "") and passage not in (text or "")
+        if doc in (3, 4, 5, 9):
+            before = dict(rows)[doc]
+            assert text == before.replace(passage + " ", "")
+        if text:
+            assert text.endswith(noted) == (doc in (0, 2, None))
+    left = stages["decontamination"](spark, found, str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(str, (r["doc_id"] for r in left))) == ["1", "1", "3", "4", "9", "None"]
+    # Row 1 repeats itself in bytes and loses everything without its words being looked at.
+    assert all(noted not in (r["text"] or "") for r in left)
+
+
 def test_runs_are_told_apart_by_the_order_of_windows():
     whole = np.array([7, 8, 7, 8, 8, 7, 7], np.uint64)
     names = substrings.run_names(whole, np.array([0, 2, 4, 6]), np.array([2, 4, 6, 7])).tolist()
