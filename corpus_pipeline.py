@@ -63,12 +63,12 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     passages = shared_passages(spark, docs, "doc_id", "text", PASSAGE_WORDS, PASSAGE_GRAM)
     cut = remove_repeats(spark, docs, "doc_id", "text", as_text=True, more=passages)
     cut = stored(spark, cut.dropDuplicates(["doc_id", "text_key"]), "cut")
-    without = cut.where("kept_without is not null").select("doc_id", "text_key", F.col("kept_without").alias("text"))
+    without = cut.where("kept_without != kept").select("doc_id", "text_key", F.col("kept_without").alias("text"))
     clean = drop_contaminated(spark, without, sf_dir).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(True).alias("_clean")
     )
     same = (cut["text_key"] == clean["_key"]) & cut["doc_id"].eqNullSafe(clean["_id"])
-    note = F.when(cut["kept_without"].isNull() | clean["_clean"].isNotNull(), "").otherwise(HAD_BENCHMARK)
+    note = F.when((cut["kept_without"] != cut["kept"]) & clean["_clean"].isNull(), HAD_BENCHMARK).otherwise("")
     cut = cut.join(clean, same, "left").select(
         cut["doc_id"].alias("_id"), cut["text_key"].alias("_key"), F.concat(cut["kept"], note).alias("_kept")
     )
